@@ -1,0 +1,61 @@
+"""Compare a Spark result with a DuckDB result: columns, types, rows in any order."""
+
+from __future__ import annotations
+
+import glob
+import math
+import os
+
+import duckdb
+from pyspark.sql import DataFrame
+
+# Spark type -> DuckDB type.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "float": "FLOAT",
+    "boolean": "BOOLEAN",
+    "array<float>": "FLOAT[]",
+    "array<int>": "INTEGER[]",
+    "array<bigint>": "BIGINT[]",
+}
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        name = os.path.basename(path).split(".")[0]
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, (list, tuple)):
+        return tuple(_plain(v) for v in value)
+    if isinstance(value, float):
+        return "NaN" if math.isnan(value) else float(f"{value:.9g}")
+    return value
+
+
+def differences(frame: DataFrame, con: duckdb.DuckDBPyConnection, sql: str, limit: int = 5) -> list[str]:
+    """What differs, in words; empty when the results agree."""
+    spark_types = {n: TYPES.get(t, t) for n, t in frame.dtypes}
+    relation = con.sql(sql)
+    duck_types = dict(zip(relation.columns, map(str, relation.types)))
+    found = []
+    if spark_types != duck_types:
+        found.append(f"types: {spark_types} != {duck_types}")
+        if set(spark_types) != set(duck_types):
+            return found
+    names = sorted(spark_types)
+    left = sorted((_plain(tuple(r[n] for n in names)) for r in frame.collect()), key=repr)
+    order = [relation.columns.index(n) for n in names]
+    right = sorted((_plain(tuple(r[i] for i in order)) for r in relation.fetchall()), key=repr)
+    if len(left) != len(right):
+        found.append(f"rows: {len(left)} != {len(right)}")
+    wrong = [(a, b) for a, b in zip(left, right) if a != b]
+    if wrong:
+        found.append(f"{len(wrong)} rows differ, e.g. " + "; ".join(f"{str(a)[:300]} != {str(b)[:300]}" for a, b in wrong[:limit]))
+    return found
