@@ -184,20 +184,24 @@ def bayes_logits(
     rows = spread_small(df.select(*key, F.col(text).alias("_text")))
     split = rows.select(*key, marked_tokens("_text").alias("_tokens"))
     # A null text keeps one null token, which matches nothing and sums to null.
-    places = split.select(*key, F.explode_outer("_tokens").alias("token"))
-    sums = [F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(k)]
+    places = split.select(*key, F.explode_outer("_tokens").alias("_token"))
+    sums = [F.sum(F.col("_w")[c]).alias(f"_s{c}") for c in range(k)]
 
-    hot = F.broadcast(model.weights(spark, "hot").select("token", "w"))
-    totals = places.join(hot, "token", "left").groupBy(*key).agg(*sums)
+    hot = F.broadcast(_for_join(model.weights(spark, "hot")))
+    totals = places.join(hot, "_token", "left").groupBy(*key).agg(*sums)
     if model.has_tail:
-        rare = places.join(hot.select("token"), "token", "left_anti")
+        rare = places.join(hot.select("_token"), "_token", "left_anti")
         # No hint: Spark broadcasts the tail where its files are small, and shuffles otherwise.
-        tail = model.weights(spark, "tail").select("token", "w")
-        extra = rare.join(tail, "token").groupBy(*key).agg(*sums)
-        again = [F.sum(f"s{c}").alias(f"s{c}") for c in range(k)]
+        extra = rare.join(_for_join(model.weights(spark, "tail")), "_token").groupBy(*key).agg(*sums)
+        again = [F.sum(f"_s{c}").alias(f"_s{c}") for c in range(k)]
         totals = totals.unionByName(extra).groupBy(*key).agg(*again)
-    logits = F.array(*[F.col(f"s{c}") for c in range(k)])
-    return totals.select(*key, F.when(F.col("s0").isNotNull(), logits).alias("logits"))
+    logits = F.array(*[F.col(f"_s{c}") for c in range(k)])
+    return totals.select(*key, F.when(F.col("_s0").isNotNull(), logits).alias("logits"))
+
+
+def _for_join(weights: DataFrame) -> DataFrame:
+    """Weights under names no input column is expected to have."""
+    return weights.select(F.col("token").alias("_token"), F.col("w").alias("_w"))
 
 
 def micro_probabilities(logits: Column | str, decimals: int | None = None) -> Column:

@@ -101,15 +101,16 @@ def encode(df: DataFrame, vocab: DataFrame, row_key: str, text: str = "text", ma
     # null entry through the outer explode, which is filtered out again below.
     rows = spread_small(df.select(row_key, text))
     split = rows.select(row_key, F.col(text).isNull().alias("_missing"), _body(text, max_length).alias("_tokens"))
-    places = split.select(row_key, "_missing", F.posexplode_outer("_tokens").alias("pos", "token"))
-    found = places.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    places = split.select(row_key, "_missing", F.posexplode_outer("_tokens").alias("_pos", "_token"))
+    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    found = places.join(F.broadcast(known), "_token", "left")
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(UNK_ID)).alias("_id")))
     # collect_list skips the null entries of empty texts.
     rows = found.groupBy(row_key).agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"), F.first("_missing").alias("_missing")
+        F.array_sort(F.collect_list(entry)).alias("_entries"), F.first("_missing").alias("_missing")
     )
-    ids = rows.select(row_key, "_missing", F.col("entries.id").alias("ids"))
-    input_ids, mask = _frame(F.col("ids"), max_length)
+    ids = rows.select(row_key, "_missing", F.col("_entries._id").alias("_ids"))
+    input_ids, mask = _frame(F.col("_ids"), max_length)
     return ids.select(
         row_key,
         F.when(~F.col("_missing"), input_ids).alias("input_ids"),

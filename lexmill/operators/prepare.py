@@ -147,7 +147,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     below a row group. The optimizer's size estimate is checked: beyond 32 MB per
     core there are row groups enough, and the frame stays as it is, unshuffled.
     """
-    if df.isStreaming:
+    if df.isStreaming or not hasattr(df, "_jdf"):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     # py4j hands small numbers over as int, large ones as an object that prints as digits.

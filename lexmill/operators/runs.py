@@ -10,9 +10,10 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lexmill.functions import drop_last_segment
+from lexmill.functions import class_index, drop_last_segment
 
 # The stages a model version can be in.
 STAGES = ("None", "Staging", "Production", "Archived")
@@ -81,8 +82,14 @@ def run_leaderboard(runs: DataFrame, metric: str, group: str = "experiment", top
 
 
 def current_stages(events: DataFrame) -> DataFrame:
-    """(name, version, current_stage): the last stage event of every model version."""
-    return events.groupBy("name", "version").agg(F.max_by("stage", "event_order").alias("current_stage"))
+    """(name, version, current_stage): the last stage event of every model version.
+
+    Stages are aggregated as numbers: with fixed-width buffers Spark hashes,
+    where for strings it would sort all events first.
+    """
+    last = events.groupBy("name", "version").agg(F.max_by(class_index("stage", STAGES), "event_order").alias("stage"))
+    stage = F.get(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    return last.select("name", "version", stage.alias("current_stage"))
 
 
 def versions_in_stage(versions: DataFrame, events: DataFrame, stage: str = "Production") -> DataFrame:
@@ -105,12 +112,12 @@ class RunStore:
         self.root = root.rstrip("/")
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = jvm_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(jvm_path):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
 
     def _append(self, name: str, row: tuple, schema: str) -> None:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")

@@ -23,7 +23,7 @@ from lexmill.operators.metrics import evaluate
 from lexmill.operators.prepare import spread_small
 from lexmill.operators.runs import checkpoints_to_keep
 from lexmill.operators.scoring import PROBABILITIES, Predictor, score, stable_softmax
-from lexmill.session import shared_dir
+from lexmill.session import delete_path, shared_dir
 
 MAX_WEIGHTS = 16_000_000
 # Rows a worker takes from Arrow at a time; mini-batches are cut from these.
@@ -154,8 +154,11 @@ def _run_epoch(rows: DataFrame, model: SoftmaxModel, batch_size: int, rate: floa
     return table[[f"w{c}" for c in range(k)]].to_numpy(), float(last["loss"] / last["n"]), int(last["steps"])
 
 
-def softmax_predictor(spark: SparkSession, model: SoftmaxModel) -> Predictor:
-    """A predictor for texts. Hashing runs in the JVM, the products in Arrow batches."""
+def softmax_predictor(spark: SparkSession, model: SoftmaxModel, hashed: bool = False) -> Predictor:
+    """A predictor for texts, or for their hashed tokens.
+
+    Hashing runs in the JVM, the products in Arrow batches.
+    """
     shared = spark.sparkContext.broadcast(model.weights)
 
     @F.arrow_udf(PROBABILITIES)
@@ -168,6 +171,8 @@ def softmax_predictor(spark: SparkSession, model: SoftmaxModel) -> Predictor:
             flat = stable_softmax(logits).astype(np.float32).ravel()
             yield pa.ListArray.from_arrays(np.arange(len(offsets), dtype=np.int32) * k, pa.array(flat))
 
+    if hashed:
+        return lambda column, batch_size: predict(column)
     return lambda column, batch_size: predict(hashed_tokens(column, model.bits, model.max_token_length))
 
 
@@ -191,12 +196,9 @@ def save_checkpoint(spark: SparkSession, model: SoftmaxModel, state: TrainingSta
 def save_state(spark: SparkSession, entries: list[dict], global_step: int, path: str) -> None:
     """Write a log history as training-state JSON: one object with all entries, absent keys left out."""
     names = [f.split()[0] for f in LOG_SCHEMA.split(", ")]
-    log = spark.createDataFrame([tuple(e.get(n) for n in names) for e in entries], LOG_SCHEMA)
-    # A log holds a few entries per epoch.
-    ordered = F.array_sort(F.collect_list(F.struct(*names)))
-    log.agg(F.lit(global_step).cast("bigint").alias("global_step"), ordered.alias("log_history")).coalesce(
-        1
-    ).write.mode("overwrite").json(path)
+    log = [tuple(e.get(n) for n in names) for e in entries]
+    schema = f"global_step bigint, log_history array<struct<{LOG_SCHEMA.replace(' ', ': ').replace(',: ', ', ')}>>"
+    spark.createDataFrame([(global_step, log)], schema).coalesce(1).write.mode("overwrite").json(path)
 
 
 def load_softmax(spark: SparkSession, path: str, epoch: int) -> SoftmaxModel:
@@ -206,13 +208,6 @@ def load_softmax(spark: SparkSession, path: str, epoch: int) -> SoftmaxModel:
     return SoftmaxModel(np.vstack(table["w"].to_numpy()), int(first["bits"]), int(first["max_token_length"]))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder this run wrote."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fit_softmax(
     train: DataFrame,
     test: DataFrame,
@@ -237,8 +232,8 @@ def fit_softmax(
     """Train, evaluate once per epoch, keep checkpoints, return the best one.
 
     ``lazy=False`` hashes the texts once into reliable checkpoint files, spread
-    evenly by ``row_key`` (which must identify the row), and visits them in a new
-    seeded order each epoch. ``lazy=True`` reads the table anew each epoch, in
+    evenly by ``row_key`` (which must identify the row), and visits training rows
+    in a new seeded order each epoch. ``lazy=True`` reads the table anew each epoch, in
     file order, without a shuffle. ``max_steps`` bounds the steps per worker
     over all epochs; ``parallelism`` is the number of workers. ``weight_decay``
     shrinks the weights once per epoch.
@@ -247,21 +242,27 @@ def fit_softmax(
     if (2**bits + 1) * num_labels > MAX_WEIGHTS:
         raise ValueError(f"(2**bits + 1) * num_labels may be at most {MAX_WEIGHTS}")
     workers = parallelism or spark.sparkContext.defaultParallelism
-    labelled = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(row_key, text, label)
-    features = (labelled if lazy else spread_small(labelled)).select(
-        F.col(row_key).alias("row_key"),
-        F.col(label).cast("int").alias("label"),
-        hashed_tokens(text, bits, max_token_length).alias("features"),
-    )
+
+
+    def features(df: DataFrame) -> DataFrame:
+        labelled = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(row_key, text, label)
+        return (labelled if lazy else spread_small(labelled)).select(
+            F.col(row_key).alias("row_key"),
+            F.col(label).cast("int").alias("label"),
+            hashed_tokens(text, bits, max_token_length).alias("features"),
+        )
+
     if lazy:
-        rows = features.coalesce(workers)
+        rows, held_out = features(train).coalesce(workers), features(test)
     else:
         shared_dir(spark)
-        rows = features.repartition(workers, "row_key").checkpoint()
+        rows = features(train).repartition(workers, "row_key").checkpoint()
+        held_out = features(test).checkpoint()
 
     model = SoftmaxModel(np.zeros((2**bits + 1, num_labels)), bits, max_token_length)
     best = model
     state = TrainingState(path)
+    no_features = F.array().cast("array<int>")
     started, loss_sum = time.time(), 0.0
     metric_of: dict[int, float] = {}
     for epoch in range(1, epochs + 1):
@@ -276,8 +277,7 @@ def fit_softmax(
         model = SoftmaxModel(weights, bits, max_token_length)
         state.global_step += steps
         loss_sum += loss
-        scored = score(test.select(F.col(text).alias("text"), F.col(label).alias("label")), softmax_predictor(spark, model))
-        found = evaluate(scored)
+        found = evaluate(score(held_out, softmax_predictor(spark, model, hashed=True), "features", empty=no_features))
         state.log_history.append({"step": state.global_step, "epoch": float(epoch), "loss": loss})
         state.log_history.append(
             {
@@ -294,7 +294,7 @@ def fit_softmax(
         save_checkpoint(spark, model, state, epoch)
         keep = checkpoints_to_keep(metric_of, save_total_limit)
         for old in set(state.kept_epochs) - set(keep):
-            _delete(spark, f"{path}/epoch={old}")
+            delete_path(spark, f"{path}/epoch={old}")
         state.kept_epochs = keep
     done = len(metric_of)
     state.log_history.append(

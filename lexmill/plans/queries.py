@@ -86,14 +86,14 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Events as log entries: 20 in a row make a run, two share a step, the last has the runtime."""
-    pos = F.col("event_id") % 20
+    pos, half = F.col("event_id") % 20, F.expr("event_id % 20 div 2")
     is_eval = F.col("event_type").isin("click", "view", "signup")
     value = F.col("value")
     return table(spark, sf, "events").select(
-        F.floor(F.col("event_id") / 20).alias("run_id"),
+        F.expr("event_id div 20").alias("run_id"),
         pos.cast("int").alias("pos"),
-        ((F.floor(pos / 2) + 1) * 100).alias("step"),
-        (F.floor(pos / 2) + 1).cast("double").alias("epoch"),
+        ((half + 1) * 100).alias("step"),
+        (half + 1).cast("double").alias("epoch"),
         F.when(is_eval & (pos < 19), value / 1000).alias("eval_f1"),
         F.when(is_eval & (pos < 19), value / 2000).alias("eval_recall"),
         F.when(pos == 19, value).alias("train_runtime"),
@@ -112,7 +112,7 @@ def stage_events(spark: SparkSession, sf: str) -> DataFrame:
     user = F.col("user_id")
     return table(spark, sf, "events").select(
         F.concat(F.lit("model_"), (user % 10).cast("string")).alias("name"),
-        (F.floor(user / 10) + 1).cast("int").alias("version"),
+        F.expr("cast(user_id div 10 + 1 as int)").alias("version"),
         stage.alias("stage"),
         F.col("event_id").alias("event_order"),
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.session import path_exists
+
 WRITE_MODES = ("overwrite", "append")
 
 
@@ -11,25 +13,13 @@ def _is_path(target: str) -> bool:
     return "/" in target
 
 
-def _plain(path: str) -> str:
-    """A path without scheme and trailing slashes, for comparing."""
-    bare = path.split(":", 1)[1] if ":" in path else path
-    return "/" + bare.strip("/")
-
-
-def _reads_from(df: DataFrame, target: str) -> bool:
-    """Does the frame scan files of the target? Compares the scanned paths only."""
-    spark = df.sparkSession
-    if _is_path(target):
-        root = _plain(target)
-    elif spark.catalog.tableExists(target):
-        rows = spark.sql(f"DESCRIBE FORMATTED {target}").where("col_name = 'Location'").collect()
-        if not rows:
-            return False
-        root = _plain(rows[0]["data_type"])
-    else:
+def _reads_from(df: DataFrame, path: str) -> bool:
+    """Does the frame read files below an existing path?"""
+    if not path_exists(df.sparkSession, path):
         return False
-    return any(_plain(f) == root or _plain(f).startswith(root + "/") for f in df.inputFiles())
+    root = "/" + path.split(":", 1)[-1].strip("/")
+    files = ("/" + f.split(":", 1)[-1].strip("/") for f in df.inputFiles())
+    return any(f == root or f.startswith(root + "/") for f in files)
 
 
 def write_table(
@@ -37,12 +27,12 @@ def write_table(
 ) -> None:
     """Overwrite or append to a managed table, or to a path when the target holds a ``/``.
 
-    Overwriting a table that the frame itself reads is refused before any data
-    is touched.
+    Overwriting what the frame itself reads is refused before any data is
+    touched: by Spark for tables, here for paths, where Spark would delete first.
     """
     if mode not in WRITE_MODES:
         raise ValueError(f"mode must be one of {WRITE_MODES}, got {mode!r}")
-    if mode == "overwrite" and _reads_from(df, target):
+    if mode == "overwrite" and _is_path(target) and _reads_from(df, target):
         raise ValueError(f"{target} is read by the frame that would overwrite it")
     writer = df.write.mode(mode).format(fmt)
     if partition_by:

@@ -1,0 +1,28 @@
+"""Every query against its SQL, on the smallest tables."""
+
+import pytest
+
+import __spark_entry__ as entry_module
+from compare import connect, differences
+from conftest import DATA
+
+SQL = entry_module.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(DATA)
+
+
+def test_every_sql_has_a_query():
+    assert set(SQL) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(spark, con, name):
+    frame = entry_module.queries()[name](spark, DATA)
+    assert differences(frame, con, SQL[name]) == []
+
+
+def test_entry_gives_rows(spark):
+    assert entry_module.entry(spark).count() > 0

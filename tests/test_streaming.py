@@ -1,0 +1,64 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill import streaming
+from lexmill.operators import bayes
+from lexmill.operators.scoring import bayes_predictor, score
+
+
+@pytest.fixture(scope="module")
+def arriving(docs, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("arriving") / "docs")
+    docs.repartition(5).write.parquet(path)
+    return path
+
+
+def test_stream_equals_table(spark, arriving, docs, tmp_path):
+    stream = streaming.read_arriving(spark, arriving, files_per_batch=1)
+    streaming.append_stream(stream, str(tmp_path / "out"), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "out")).exceptAll(docs).isEmpty()
+
+
+def test_restart_takes_only_new_files(spark, docs, tmp_path):
+    source, out, log = (str(tmp_path / n) for n in ("source", "out", "log"))
+    docs.where("doc_id < 50").write.mode("append").parquet(source)
+    streaming.append_stream(streaming.read_arriving(spark, source), out, log)
+    streaming.append_stream(streaming.read_arriving(spark, source), out, log)
+    assert spark.read.parquet(out).count() == 50
+    docs.where("doc_id >= 50").write.mode("append").parquet(source)
+    streaming.append_stream(streaming.read_arriving(spark, source), out, log)
+    assert spark.read.parquet(out).count() == docs.count()
+
+
+def test_streamed_counts_equal_one_pass_even_with_a_replay(spark, arriving, docs, tmp_path):
+    path, log = str(tmp_path / "counts"), str(tmp_path / "log")
+    streaming.stream_token_counts(streaming.read_arriving(spark, arriving, files_per_batch=1), path, log)
+    batches = spark.read.parquet(path).select("batch_id").distinct().count()
+    assert batches == 5
+    # A replay of batch 0 overwrites its own folder.
+    first = spark.read.parquet(f"{path}/batch_id=0").cache()
+    assert first.count() > 0
+    first.write.mode("overwrite").parquet(f"{path}/batch_id=9")
+    first.unpersist()
+    replayed = spark.read.parquet(f"{path}/batch_id=9")
+    replayed.write.mode("overwrite").parquet(f"{path}/batch_id=0")
+    summed = spark.read.parquet(path).where("batch_id <> 9").groupBy("token", "label").agg(F.sum("n").alias("n"))
+    want = bayes.token_counts(docs)
+    assert summed.exceptAll(want).isEmpty() and want.exceptAll(summed).isEmpty()
+
+
+def test_model_from_streamed_counts_equals_batch_model(spark, arriving, docs, tmp_path):
+    path = str(tmp_path / "counts")
+    streaming.stream_token_counts(streaming.read_arriving(spark, arriving), path, str(tmp_path / "log"))
+    streamed = bayes.finish_bayes(streaming.summed_counts(spark, path), str(tmp_path / "m1"), 4)
+    batch = bayes.fit_bayes(docs, str(tmp_path / "m2"), 4)
+    assert streamed.weights(spark).exceptAll(batch.weights(spark)).isEmpty()
+
+
+def test_streamed_scores_equal_table_scores(spark, arriving, docs, model, tmp_path):
+    predictor = bayes_predictor(spark, model)
+    stream = streaming.score_stream(streaming.read_arriving(spark, arriving, files_per_batch=2), predictor)
+    streaming.append_stream(stream, str(tmp_path / "out"), str(tmp_path / "log"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.exceptAll(score(docs, predictor, mode="udf", keep="all")).isEmpty()
+    assert got.count() == docs.count()
