@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# Token separators, and the word a null turns into under stringify.
+# Token separators, the word a null turns into under stringify, and
+# the path scheme that is mounted as a folder.
 TOKEN_SEPARATORS = "[ \t\n\r]+"
 NULL_LITERAL = "None"
+MOUNT_SCHEME = "dbfs"
+MOUNT_FOLDER = "/dbfs"
 
 
 def _col(value: Column | str) -> Column:
@@ -42,9 +45,9 @@ def hash_fraction(key: Column | str, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(seeded), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def rewrite_mount_prefix(path: Column | str, scheme: str = "dbfs", mount: str = "/dbfs") -> Column:
-    """``dbfs:/x`` -> ``/dbfs/x``; other paths stay as they are, decided per path."""
-    return F.regexp_replace(_col(path), f"^{scheme}:/*", f"{mount.rstrip('/')}/")
+def rewrite_mount_prefix(path: Column | str) -> Column:
+    """A path under the mounted scheme as a path in its folder; decided per path, others stay."""
+    return F.regexp_replace(_col(path), f"^{MOUNT_SCHEME}:/*", f"{MOUNT_FOLDER}/")
 
 
 def drop_last_segment(path: Column | str) -> Column:

@@ -27,6 +27,8 @@ MICRO = 1_000_000
 TEXT_MARK = " "
 # The mark counts as more frequent than any token, so a vocabulary limit keeps it.
 MARK_COUNT = 2**62
+# Up to this many classes, counts per class are summed in one wide aggregation.
+WIDE_SUM_CLASSES = 16
 # A class without training rows: a logit no document can make up for.
 ABSENT_CLASS = -(10**15)
 
@@ -42,22 +44,26 @@ def marked_tokens(text: Column | str) -> Column:
     return F.array_append(tokens(text), F.lit(TEXT_MARK))
 
 
+def token_rows(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+    """(token, label), one row per token of every text and one for its mark; rows without a text are left out."""
+    rows = spread_small(df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")))
+    return rows.select(F.explode(marked_tokens("text")).alias("token"), "label")
+
+
 def token_counts(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """(token, label, n), the mark included.
 
     Counts are combined map-side, so a hot token or label shuffles as one row
-    per task. Rows without a text are left out.
+    per task.
     """
-    rows = spread_small(df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")))
-    return (
-        rows.select(F.explode(marked_tokens("text")).alias("token"), "label")
-        .groupBy("token", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return token_rows(df, text, label).groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(counts: DataFrame, num_labels: int, max_vocab: int | None = None) -> DataFrame:
-    """(token, n, by_class) of the mark and all tokens, or the ``max_vocab`` most frequent ones."""
+    """(token, n, by_class) of the mark and all tokens, or the ``max_vocab`` most frequent ones.
+
+    ``counts`` is (token, label, n) with any number of rows per token and label.
+    """
     per_class = [
         F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)) for c in range(num_labels)
     ]
@@ -132,7 +138,19 @@ def fit_bayes(
     max_vocab: int | None = None,
 ) -> BayesModel:
     """Fit on a labelled frame and write the model tables."""
-    return finish_bayes(token_counts(df, text, label), path, num_labels, max_vocab)
+    return finish_bayes(fit_counts(df, num_labels, text, label), path, num_labels, max_vocab)
+
+
+def fit_counts(df: DataFrame, num_labels: int, text: str = "text", label: str = "label") -> DataFrame:
+    """What ``vocabulary`` sums up per token: rows that count one each, or counts per label.
+
+    With few classes a row of per-class sums is built at once, combined map-side,
+    in a single shuffle. With many, wide sums per token and task would cost more
+    than counting per (token, label) first.
+    """
+    if num_labels <= WIDE_SUM_CLASSES:
+        return token_rows(df, text, label).withColumn("n", F.lit(1).cast("bigint"))
+    return token_counts(df, text, label)
 
 
 def finish_bayes(counts: DataFrame, path: str, num_labels: int, max_vocab: int | None = None) -> BayesModel:

@@ -103,8 +103,9 @@ def versions_in_stage(versions: DataFrame, events: DataFrame, stage: str = "Prod
 class RunStore:
     """Run, version and stage tables below one folder.
 
-    Appends only. Version numbers and event order come from the tables' current
-    maxima, so one writer at a time per model.
+    Appends only; runs may be logged from many jobs at once. Version numbers and
+    event order come from the tables' current maxima, so register and move with
+    one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -113,14 +114,18 @@ class RunStore:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").drop("batch")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, row: tuple, schema: str) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+    def _append(self, name: str, rows: DataFrame) -> None:
+        """Every append gets its own folder, so that jobs running side by side do not meet."""
+        rows.write.parquet(f"{self.root}/{name}/batch={uuid.uuid4().hex}")
+
+    def _append_row(self, name: str, row: tuple, schema: str) -> None:
+        self._append(name, self.spark.createDataFrame([row], schema).coalesce(1))
 
     def new_run_id(self) -> str:
         return uuid.uuid4().hex
@@ -133,11 +138,11 @@ class RunStore:
     ) -> None:
         numbers = {k: float(v) for k, v in metrics.items() if v is not None}
         texts = {k: str(v) for k, v in params.items()}
-        self._append("runs", (experiment, run_id, run_name, datetime.now(), numbers, texts), RUN_SCHEMA)
+        self._append_row("runs", (experiment, run_id, run_name, datetime.now(), numbers, texts), RUN_SCHEMA)
 
     def log_runs(self, runs: DataFrame) -> None:
         """Append many run records at once; ``runs`` has the columns of ``RUN_SCHEMA``."""
-        runs.write.mode("append").parquet(f"{self.root}/runs")
+        self._append("runs", runs)
 
     def runs(self) -> DataFrame:
         return self._table("runs", RUN_SCHEMA)
@@ -150,7 +155,7 @@ class RunStore:
         """A new version of a model, in stage None; returns its number."""
         known = self.versions().where(F.col("name") == name).agg(F.max("version")).first()[0]
         version = (known or 0) + 1
-        self._append("versions", (name, version, run_id, self.model_path(run_id), datetime.now()), VERSION_SCHEMA)
+        self._append_row("versions", (name, version, run_id, self.model_path(run_id), datetime.now()), VERSION_SCHEMA)
         self.move(name, version, "None")
         return version
 
@@ -159,7 +164,7 @@ class RunStore:
         if stage not in STAGES:
             raise ValueError(f"stage must be one of {STAGES}, got {stage!r}")
         order = (self.events().agg(F.max("event_order")).first()[0] or 0) + 1
-        self._append("stage_events", (name, version, stage, order), EVENT_SCHEMA)
+        self._append_row("stage_events", (name, version, stage, order), EVENT_SCHEMA)
 
     def versions(self) -> DataFrame:
         return self._table("versions", VERSION_SCHEMA)

@@ -5,7 +5,7 @@ Shared pieces are common table expressions, put together as text.
 
 from __future__ import annotations
 
-from lexmill.plans.queries import ENCODE_VOCAB, LANGS, LOG_METRICS, MAX_LENGTH, MAX_VOCAB, ROLES
+from lexmill.plans.queries import ENCODE_VOCAB, LANGS, LOG_METRICS, MAX_LENGTH, MAX_VOCAB, ROLES, SWEEP_SIZES
 
 
 def _tokens(text: str) -> str:
@@ -155,6 +155,11 @@ def oracle_sql() -> dict[str, str]:
 probs AS (SELECT doc_id, {probabilities} AS probabilities FROM logits)"""
     sides_by_id = f"sides AS (SELECT *, {_split('doc_id')} AS split FROM docs)"
     blanked = "(SELECT doc_id, CASE WHEN label <> 0 THEN text ELSE 'None' END AS text FROM sides WHERE split = 'test')"
+    sweep = " UNION ALL ".join(
+        f"""(WITH {DOCS},{_bayes(K, size)},{_predicted(K, 'doc_id')},{_metric_ctes('predicted')}
+SELECT round(sum(f * support) / sum(support), 6) AS eval_f1 FROM per_class)"""
+        for size in SWEEP_SIZES
+    )
     return {
         "scan_table": "SELECT doc_id, lang, source, n_chars FROM documents",
         "file_manifest": "SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS all_sized FROM documents",
@@ -243,6 +248,8 @@ SELECT vec_id, label, CAST(dense_rank() OVER (ORDER BY class) - 1 AS BIGINT) AS
 SELECT round(sum(f * support) / sum(support), 6) AS f1, round(sum(p * support) / sum(support), 6) AS precision,
 round(sum(r * support) / sum(support), 6) AS recall, CAST(sum(support) AS BIGINT) AS n_rows FROM per_class""",
         "scoring_job": f"WITH {BAYES_TOP},{_predicted(K, 'doc_id')} SELECT doc_id, label, predicted_class FROM predicted",
+        "sweep_leaderboard": f"""SELECT 'lang' AS experiment, 'bayes' AS run_name, eval_f1,
+CAST(row_number() OVER (ORDER BY eval_f1 DESC) AS INTEGER) AS place FROM ({sweep})""",
         "confusion_matrix": f"""WITH {TURNS},{_bayes(len(ROLES))},{_predicted(len(ROLES), 'turn_key')}
 SELECT CAST(label AS BIGINT) AS label, predicted_class, count(*) AS n FROM predicted GROUP BY ALL""",
         "per_class_metrics": f"""WITH {_judged('quality')},{_bayes(2)},{_predicted(2, 'doc_id')},{_metric_ctes('predicted')}

@@ -50,6 +50,7 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 MAX_VOCAB = 30_000
 MAX_LENGTH = 40
 ENCODE_VOCAB = 2_000
+SWEEP_SIZES = (1_000, MAX_VOCAB)
 LOG_METRICS = ("eval_f1", "eval_recall")
 
 
@@ -364,7 +365,7 @@ def token_length_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def nb_weights(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = prepare.split_pair(documents(spark, sf), "text")
-    vocab = bayes.vocabulary(bayes.token_counts(train), len(LANGS))
+    vocab = bayes.vocabulary(bayes.fit_counts(train, len(LANGS)), len(LANGS))
     return bayes.bayes_weights(vocab, len(LANGS)).where(F.col("token") != bayes.TEXT_MARK)
 
 
@@ -460,9 +461,9 @@ def sweep_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     store = runs.RunStore(spark, scratch_path(spark, "sweep"))
     configs = [
         TrainingConfig(model_type="bayes", num_labels=len(LANGS), max_vocab=size, experiment_location="lang")
-        for size in (1_000, MAX_VOCAB)
+        for size in SWEEP_SIZES
     ]
-    run_sweep(spark, configs, store, train, test)
+    run_sweep(spark, configs, store, train, test, side_by_side=2)
     board = store.leaderboard("eval_f1")
     return board.select("experiment", "run_name", _six("eval_f1", "eval_f1"), "place")
 

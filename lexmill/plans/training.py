@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import platform
 import time
-from collections.abc import Iterable
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyspark
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.config import TrainingConfig
@@ -106,10 +108,17 @@ def _run_softmax(spark, config: TrainingConfig, train: DataFrame, test: DataFram
 
 def run_sweep(
     spark: SparkSession,
-    configs: Iterable[TrainingConfig],
+    configs: Sequence[TrainingConfig],
     store: RunStore,
     train: DataFrame | None = None,
     test: DataFrame | None = None,
+    side_by_side: int = 1,
 ) -> list[str]:
-    """One run per configuration, all in one run table; each fit is a distributed job."""
-    return [run_training(spark, config, store, train, test) for config in configs]
+    """One run per configuration, all in one run table; returns run ids in order.
+
+    Each fit is a distributed job; ``side_by_side`` of them are submitted at a
+    time and share the cluster.
+    """
+    fit = inheritable_thread_target(spark)(lambda config: run_training(spark, config, store, train, test))
+    with ThreadPoolExecutor(side_by_side) as pool:
+        return list(pool.map(fit, configs))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lexmill.functions import last_segment
+from lexmill.functions.text import MOUNT_FOLDER, MOUNT_SCHEME
 
 INGEST_FORMATS = ("parquet", "json", "csv", "orc")
 
@@ -37,7 +38,7 @@ def file_manifest(df: DataFrame) -> DataFrame:
 
 def input_files(df: DataFrame) -> list[str]:
     """Paths of the files behind a table, with a mount prefix rewritten; may be empty."""
-    return [re.sub("^dbfs:/*", "/dbfs/", path) for path in df.inputFiles()]
+    return [re.sub(f"^{MOUNT_SCHEME}:/*", f"{MOUNT_FOLDER}/", path) for path in df.inputFiles()]
 
 
 def read_files(

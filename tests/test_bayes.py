@@ -99,6 +99,12 @@ def test_partitioning_does_not_change_anything(spark, split, model, tmp_path):
     assert again.weights(spark).exceptAll(model.weights(spark)).isEmpty()
 
 
+def test_wide_and_long_counting_agree(spark, split, model, tmp_path, monkeypatch):
+    monkeypatch.setattr(bayes, "WIDE_SUM_CLASSES", 0)
+    again = bayes.fit_bayes(split[0], str(tmp_path), 4)
+    assert again.weights(spark).exceptAll(model.weights(spark)).isEmpty()
+
+
 def test_join_and_batched_scores_agree(spark, split, model):
     joined = {r["doc_id"]: (r["probabilities"], r["predicted_class"]) for r in bayes.score_bayes(split[1], model, "doc_id", decimals=4).collect()}
     shipped = score(split[1], bayes_predictor(spark, model), mode="udf", keep="all")

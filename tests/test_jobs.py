@@ -51,7 +51,7 @@ def test_sweep_logs_one_run_per_config(spark, split, store):
     configs = [
         TrainingConfig(model_type="bayes", num_labels=4, max_vocab=n, experiment_location="sweep") for n in (10, 5000)
     ]
-    ids = run_sweep(spark, configs, store, *split)
+    ids = run_sweep(spark, configs, store, *split, side_by_side=2)
     board = store.leaderboard("eval_f1").where("experiment = 'sweep'").orderBy("place").collect()
     assert [r["run_id"] for r in board] == ids[::-1]
 
