@@ -75,19 +75,34 @@ def vocabulary(counts: DataFrame, num_labels: int, max_vocab: int | None = None)
 
 
 def vocabulary_stats(vocab: DataFrame, num_labels: int) -> DataFrame:
-    """One row: texts and tokens per class, tokens, and how many fit the hot tier by length."""
-    is_token = F.col("token") != TEXT_MARK
+    """One row: texts and tokens per class, tokens, bytes, and where the hot tier ends.
+
+    ``hot_floor`` is the smallest count that at most the tier's limit of tokens
+    exceed, 0 when all fit. Rows are grouped by count first: the running total
+    then goes over distinct counts, of which there are few (see ``top_tokens``).
+    """
+    limit = min(HOT_TOKENS, HOT_WEIGHTS // num_labels)
+    by_count = vocab.groupBy("n").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.octet_length("token")).alias("bytes"),
+        F.count(F.when(F.length("token") > HOT_TOKEN_CHARS, 1)).alias("long"),
+        *[F.sum(F.col("by_class")[c]).alias(f"c{c}") for c in range(num_labels)],
+    )
+    is_mark = F.col("n") == MARK_COUNT
+    above = F.sum(F.when(is_mark, 0).otherwise(F.col("rows"))).over(Window.orderBy(F.desc("n")))
+    ranked = by_count.withColumn("above", above - F.col("rows"))
 
     def per_class(which: Column) -> Column:
-        return F.array(
-            *[F.coalesce(F.sum(F.when(which, F.col("by_class")[c])), F.lit(0)) for c in range(num_labels)]
-        )
-
-    return vocab.agg(
-        per_class(~is_token).alias("class_texts"),
-        per_class(is_token).alias("class_tokens"),
-        F.count(F.when(is_token, 1)).alias("vocab_size"),
-        F.count(F.when(is_token & (F.length("token") <= HOT_TOKEN_CHARS), 1)).alias("n_short"),
+        return F.array(*[F.coalesce(F.sum(F.when(which, F.col(f"c{c}"))), F.lit(0)) for c in range(num_labels)])
+
+    size = F.sum(F.when(~is_mark, F.col("rows")))
+    return ranked.agg(
+        per_class(is_mark).alias("class_texts"),
+        per_class(~is_mark).alias("class_tokens"),
+        F.coalesce(size, F.lit(0)).alias("vocab_size"),
+        F.sum("bytes").alias("token_bytes"),
+        F.sum("long").alias("n_long"),
+        F.when(size <= limit, F.lit(0)).otherwise(F.min(F.when(F.col("above") <= limit, F.col("n")))).alias("hot_floor"),
     )
 
 
@@ -117,11 +132,12 @@ def bayes_weights(vocab: DataFrame, num_labels: int, stats: Row | None = None) -
 
 @dataclass(frozen=True)
 class BayesModel:
-    """A fitted model: its folder, classes, and whether any weight lies outside the hot tier."""
+    """A fitted model: its folder, classes, whether any weight lies outside the hot tier, and its size."""
 
     path: str
     num_labels: int
     has_tail: bool
+    size_bytes: int
 
     def weights(self, spark: SparkSession, tier: str | None = None) -> DataFrame:
         schema = "token string, n bigint, w array<bigint>, tier string"
@@ -162,28 +178,24 @@ def finish_bayes(counts: DataFrame, path: str, num_labels: int, max_vocab: int |
     spark = counts.sparkSession
     vocabulary(counts, num_labels, max_vocab).write.mode("overwrite").parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
-    hot_limit = min(HOT_TOKENS, HOT_WEIGHTS // num_labels)
     stats = vocabulary_stats(vocab, num_labels).first()
-    floor = 0 if stats["vocab_size"] <= hot_limit else _hot_floor(vocab, hot_limit)
-    is_hot = (F.col("n") > floor) & (F.length("token") <= HOT_TOKEN_CHARS)
+    is_hot = (F.col("n") > (stats["hot_floor"] or 0)) & (F.length("token") <= HOT_TOKEN_CHARS)
     tiered = bayes_weights(vocab, num_labels, stats).withColumn("tier", F.when(is_hot, "hot").otherwise("tail"))
     tiered.write.mode("overwrite").partitionBy("tier").parquet(f"{path}/weights")
-    return BayesModel(path, num_labels, has_tail=floor > 0 or stats["n_short"] < stats["vocab_size"])
-
-
-def _hot_floor(vocab: DataFrame, limit: int) -> int:
-    """The smallest count with at most ``limit`` rows strictly above it."""
-    sizes = vocab.groupBy("n").agg(F.count(F.lit(1)).alias("n_tokens"))
-    # One row per distinct count reaches this window, see encode.top_tokens.
-    above = F.sum("n_tokens").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") <= limit).agg(F.min("n")).first()[0]
+    has_tail = bool(stats["hot_floor"] or stats["n_long"])
+    return BayesModel(path, num_labels, has_tail, stats["token_bytes"] + 8 * num_labels * (stats["vocab_size"] + 1))
 
 
 def load_bayes(spark: SparkSession, path: str) -> BayesModel:
     """A model written before, from its folder."""
-    model = BayesModel(path, 0, False)
-    n_labels = len(model.weights(spark, "hot").where(F.col("token") == TEXT_MARK).first()["w"])
-    return BayesModel(path, n_labels, has_tail=not model.weights(spark, "tail").isEmpty())
+    weights = BayesModel(path, 0, False, 0).weights(spark)
+    num_labels = len(weights.where(F.col("token") == TEXT_MARK).first()["w"])
+    sizes = spark.read.parquet(f"{path}/weights").agg(
+        F.count(F.when(F.col("tier") == "tail", 1)).alias("n_tail"),
+        F.sum(F.octet_length("token")).alias("token_bytes"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    return BayesModel(path, num_labels, sizes["n_tail"] > 0, sizes["token_bytes"] + 8 * num_labels * sizes["n"])
 
 
 def bayes_logits(

@@ -119,11 +119,9 @@ def bayes_predictor(spark: SparkSession, model: BayesModel) -> Predictor:
     The model's size is checked before it is fetched; a larger one is scored
     with ``score_bayes``, which joins instead.
     """
-    weights = model.weights(spark)
-    size = weights.agg(F.sum(F.octet_length("token") + 8 * model.num_labels)).first()[0] or 0
-    if size > MAX_MODEL_BYTES:
-        raise ValueError(f"{size} bytes of weights are too many to ship; use score_bayes")
-    table = weights.select("token", "w").toArrow()
+    if model.size_bytes > MAX_MODEL_BYTES:
+        raise ValueError(f"{model.size_bytes} bytes of weights are too many to ship; use score_bayes")
+    table = model.weights(spark).select("token", "w").toArrow()
     known = table["token"].combine_chunks()
     matrix = pc.list_flatten(table["w"]).to_numpy().reshape(-1, model.num_labels)
     prior = matrix[known.index(TEXT_MARK).as_py()].astype(np.float64)
