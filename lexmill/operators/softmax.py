@@ -227,10 +227,10 @@ def fit_softmax(
 
     ``lazy=False`` hashes the texts once into reliable checkpoint files, spread
     evenly by ``row_key`` (which must identify the row), and visits training rows
-    in a new seeded order each epoch. ``lazy=True`` reads the table anew each epoch, in
-    file order, without a shuffle. ``max_steps`` bounds the steps per worker
-    over all epochs; ``parallelism`` is the number of workers. ``weight_decay``
-    shrinks the weights once per epoch.
+    in a new seeded order each epoch. ``lazy=True`` reads the table anew each
+    epoch, in file order; only a small table is spread over the workers.
+    ``max_steps`` bounds the steps per worker over all epochs; ``parallelism`` is
+    the number of workers. ``weight_decay`` shrinks the weights once per epoch.
     """
     spark = train.sparkSession
     if (2**bits + 1) * num_labels > MAX_WEIGHTS:
@@ -240,7 +240,7 @@ def fit_softmax(
 
     def features(df: DataFrame) -> DataFrame:
         labelled = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(row_key, text, label)
-        return (labelled if lazy else spread_small(labelled)).select(
+        return spread_small(labelled).select(
             F.col(row_key).alias("row_key"),
             F.col(label).cast("int").alias("label"),
             hashed_tokens(text, bits, max_token_length).alias("features"),

@@ -50,6 +50,7 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 MAX_VOCAB = 30_000
 MAX_LENGTH = 40
 ENCODE_VOCAB = 2_000
+SOFTMAX_BATCH = 16
 SWEEP_SIZES = (1_000, MAX_VOCAB)
 LOG_METRICS = ("eval_f1", "eval_recall")
 
@@ -438,9 +439,8 @@ def scoring_job(spark: SparkSession, sf: str) -> DataFrame:
 
 def _softmax_run(spark: SparkSession, sf: str, **options):
     train, test = prepare.split_pair(documents(spark, sf), "text")
-    return test, *fit_softmax(
-        train, test, scratch_path(spark, "softmax"), len(LANGS), "doc_id", batch_size=32, parallelism=4, **options
-    )
+    path = scratch_path(spark, "softmax")
+    return test, *fit_softmax(train, test, path, len(LANGS), "doc_id", batch_size=SOFTMAX_BATCH, **options)
 
 
 def softmax_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,7 +451,8 @@ def softmax_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
 def epoch_log(spark: SparkSession, sf: str) -> DataFrame:
     """Log of a run that reads its table anew each epoch within a step budget."""
     train, _ = prepare.split_pair(documents(spark, sf), "text")
-    budget = prepare.step_plan(train, batch_size=32, epochs=2, parallelism=4).first()["max_steps"]
+    workers = spark.sparkContext.defaultParallelism
+    budget = prepare.step_plan(train, SOFTMAX_BATCH, epochs=2, parallelism=workers).first()["max_steps"]
     _, _, state = _softmax_run(spark, sf, epochs=2, lazy=True, max_steps=max(1, budget))
     return log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
 

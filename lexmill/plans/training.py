@@ -12,9 +12,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.config import TrainingConfig
-from lexmill.functions import decode
-from lexmill.operators.bayes import MICRO, bayes_logits, fit_bayes, micro_probabilities
-from lexmill.operators.metrics import evaluate, log_loss
+from lexmill.functions import argmax, negative_log_likelihood
+from lexmill.operators.bayes import MICRO, bayes_logits, fit_bayes
+from lexmill.operators.metrics import evaluate
 from lexmill.operators.prepare import require_valid_labels, select_configured, step_plan
 from lexmill.operators.runs import RunStore, best_metrics
 from lexmill.operators.softmax import fit_softmax, save_checkpoint, TrainingState
@@ -57,7 +57,7 @@ def run_training(
         "runtime_version": pyspark.__version__,
         "python_version": platform.python_version(),
     }
-    write_table(input_example(train, "text", order_by=config.row_key), f"{path}/input_example")
+    write_table(input_example(train, "text"), f"{path}/input_example")
     store.log_run(config.experiment_location, run_id, config.model_type, metrics, params)
     return run_id
 
@@ -67,10 +67,10 @@ def _run_bayes(spark, config: TrainingConfig, train: DataFrame, test: DataFrame,
     model = fit_bayes(train, path, config.num_labels, max_vocab=config.max_vocab)
     runtime = time.time() - started
     logits = bayes_logits(test, model, config.row_key, carry=["label"])
-    found = evaluate(decode(logits.withColumn("probabilities", micro_probabilities("logits"))))
-    loss = log_loss(logits, scale=MICRO).first()["log_loss"]
-    metrics = {f"eval_{m}": found[m] for m in ("f1", "precision", "recall")}
-    return {**metrics, "eval_loss": loss, "train_runtime": runtime, "majority_f1": found["majority_f1"]}, "counts"
+    loss = negative_log_likelihood("logits", "label", MICRO)
+    found = evaluate(logits.withColumn("predicted_class", argmax("logits")), loss=loss)
+    metrics = {f"eval_{m}": found[m] for m in ("f1", "precision", "recall", "loss")}
+    return {**metrics, "train_runtime": runtime, "majority_f1": found["majority_f1"]}, "counts"
 
 
 def _run_softmax(spark, config: TrainingConfig, train: DataFrame, test: DataFrame, path: str, workers: int):

@@ -29,10 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; on a cluster a
     machine-local folder would be lost with its executor, so that is refused.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured.rstrip("/")
-    sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir().rstrip("/")
     if not sc.master.startswith("local"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.session import path_exists
 
@@ -49,6 +49,12 @@ def read_back(spark: SparkSession, target: str, fmt: str = "parquet") -> DataFra
 
 
 def input_example(df: DataFrame, feature: str, n: int = 5, order_by: str | None = None) -> DataFrame:
-    """The feature column of ``n`` rows; with ``order_by`` the same rows on every run."""
-    ordered = df.orderBy(order_by) if order_by else df
-    return ordered.limit(n).select(feature)
+    """The feature column of ``n`` rows; with ``order_by``, the first ones by that column.
+
+    The last key wanted is looked up from the key column alone, so that features
+    are read only where the scan finds keys up to it.
+    """
+    if order_by is None:
+        return df.select(feature).limit(n)
+    last = df.select(F.col(order_by).alias("_key")).orderBy("_key").limit(n).agg(F.max("_key")).scalar()
+    return df.where(F.col(order_by) <= last).orderBy(order_by).limit(n).select(feature)

@@ -70,3 +70,9 @@ def test_log_loss(spark):
     frame = spark.createDataFrame([([0.0, 0.0], 0), ([0.0, 0.0], 1), (None, 1)], "logits array<double>, label int")
     row = metrics.log_loss(frame).first()
     assert row["n_rows"] == 2 and row["log_loss"] == pytest.approx(0.6931471805599453)
+
+
+def test_mean_loss_comes_with_the_metrics(spark):
+    frame = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 1, 2.0)], "label int, predicted_class bigint, x double")
+    got = metrics.evaluate(frame, loss=F.col("x"))
+    assert got["loss"] == pytest.approx(2.0) and got["recall"] == pytest.approx(2 / 3)

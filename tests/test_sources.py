@@ -90,3 +90,9 @@ def test_input_example(spark):
     frame = spark.range(50).select(F.col("id"), F.col("id").cast("string").alias("text"))
     assert [r["text"] for r in sources.input_example(frame, "text", order_by="id").collect()] == list("01234")
     assert sources.input_example(frame, "text").count() == 5
+
+
+def test_ordered_input_example_reads_features_behind_the_key_filter(spark, saved):
+    frame = spark.read.parquet(saved).withColumn("text", F.col("id").cast("string"))
+    assert [r["text"] for r in sources.input_example(frame, "text", 3, order_by="id").collect()] == ["0", "1", "2"]
+    assert sources.input_example(frame.where("id < 2"), "text", 3, order_by="id").count() == 2
