@@ -81,3 +81,32 @@ def test_filters_reach_the_scan(table):
     text = plan(prepare.project_feature(table.where("doc_id < 10"), "text"))
     assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,10)]" in text
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+
+
+def test_token_that_is_rare_in_training_but_hot_in_scoring_is_split(spark, tmp_path, monkeypatch):
+    """Adaptive execution splits the partition of a hot token in the join with the tail weights."""
+    monkeypatch.setattr(bayes, "HOT_TOKENS", 2)
+    train = spark.range(400).selectExpr("concat('a b t', id % 200) as text", "cast(id % 2 as int) as label")
+    fitted = bayes.fit_bayes(train, str(tmp_path), 2)
+    assert fitted.has_tail
+    # Every text has the token t7, which training saw twice.
+    queries = spark.range(0, 20000, 1, 8).selectExpr("id", "concat('t7 t', id % 200, ' t', id % 190) as text")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        scored = bayes.bayes_logits(queries, fitted, "id")
+        split = {r["id"]: r["logits"] for r in scored.collect()}
+        assert "skew=true" in plan(scored)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    whole = {r["id"]: r["logits"] for r in bayes.bayes_logits(queries, fitted, "id").collect()}
+    assert split == whole and len(whole) == 20000
