@@ -136,17 +136,17 @@ vocab AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 A
   QUALIFY row_number() OVER (ORDER BY n DESC, token) <= %d)"""
 
 
-def _encoded(length: str, extra: str = "") -> str:
-    """SELECT of whole encoded arrays, from ``vocab``; ``length`` is an SQL integer."""
+def _encoded(length: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTE ``encoded`` with whole arrays, from ``vocab``; ``length`` is an SQL integer."""
     used = f"(least(len(tokens), {length} - 2) + 2)"
     return f"""
-cut AS (SELECT doc_id, {_tokens('text')} AS tokens FROM documents),
-places AS (SELECT doc_id, unnest(tokens[1:{length} - 2]) AS token, generate_subscripts(tokens[1:{length} - 2], 1) AS pos FROM cut),
-found AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM places LEFT JOIN vocab USING (token) GROUP BY doc_id),
-encoded AS (SELECT doc_id,
+cut AS (SELECT {key}, {_tokens(text)} AS tokens FROM {source}),
+places AS (SELECT {key}, unnest(tokens[1:{length} - 2]) AS token, generate_subscripts(tokens[1:{length} - 2], 1) AS pos FROM cut),
+found AS (SELECT {key}, list(coalesce(id, 1) ORDER BY pos) AS ids FROM places LEFT JOIN vocab USING (token) GROUP BY {key}),
+encoded AS (SELECT {key},
   list_concat([2], coalesce(ids, []), [3], list_resize([]::INTEGER[], {length} - {used}, 0)) AS input_ids,
   list_concat(list_resize([]::INTEGER[], {used}, 1), list_resize([]::INTEGER[], {length} - {used}, 0)) AS attention_mask,
-  {used} AS used FROM cut LEFT JOIN found USING (doc_id))"""
+  {used} AS used FROM cut LEFT JOIN found USING ({key}))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -214,6 +214,8 @@ CAST(greatest(1, floor(floor(10 * n / 256) / 10)) AS BIGINT) AS eval_every FROM
 SELECT doc_id, input_ids, attention_mask FROM encoded""",
         "encode_batched": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH))}
 SELECT doc_id, lang, input_ids, attention_mask FROM encoded JOIN documents USING (doc_id)""",
+        "encode_pages": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH), 'pages', 'page_id', 'html')}
+SELECT page_id, input_ids, attention_mask FROM encoded""",
         "encode_full_length": f"""WITH {VOCAB % ENCODE_VOCAB},
 longest AS (SELECT max(len({_tokens('text')})) + 2 AS n FROM documents),{_encoded('(SELECT n FROM longest)')}
 SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_ids, CAST(used AS BIGINT) AS n_used,
@@ -234,6 +236,10 @@ SELECT doc_id, text, label, probabilities, list_max(probabilities) AS predicted_
         "score_udf": f"""{udf_scored}
 SELECT text, probabilities, list_max(probabilities) AS predicted_probability,
 {_decode('probabilities')} AS predicted_class FROM probs JOIN sides USING (doc_id)""",
+        "score_unlabelled": f"""WITH {BAYES_ALL},{_logits(K, 'item_id', 'benchmark')},
+probs AS (SELECT item_id, {probabilities} AS probabilities FROM logits)
+SELECT item_id, text, probabilities, list_max(probabilities) AS predicted_probability,
+{_decode('probabilities')} AS predicted_class FROM probs JOIN benchmark USING (item_id)""",
         "score_null_literal": f"""WITH {BAYES_TOP},{_logits(K, 'doc_id', blanked)},
 probs AS (SELECT doc_id, {probabilities} AS probabilities FROM logits)
 SELECT doc_id, probabilities, {_decode('probabilities')} AS predicted_class FROM probs""",

@@ -344,6 +344,12 @@ def encode_batched(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", "lang", "input_ids", "attention_mask")
 
 
+def encode_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw pages, encoded with a vocabulary of other texts."""
+    vocab = encode.build_vocab(table(spark, sf, "documents"), size=ENCODE_VOCAB)
+    return encode.encode(table(spark, sf, "pages"), vocab, "page_id", text="html", max_length=MAX_LENGTH)
+
+
 def encode_full_length(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     vocab = encode.load_vocab(encode.build_vocab(docs, size=ENCODE_VOCAB))
@@ -388,6 +394,12 @@ def score_udf(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score(test, scoring.bayes_predictor(spark, model), "text", mode="udf", partitions=8)
 
 
+def score_unlabelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that have no label at all, scored by join."""
+    model, _ = fitted(spark, documents(spark, sf), len(LANGS))
+    return bayes.score_bayes(table(spark, sf, "benchmark"), model, "item_id", decimals=4)
+
+
 def score_null_literal(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of one language blanked out and scored as the word a null turns into."""
     rows = documents(spark, sf)
@@ -570,7 +582,8 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = fitted(spark, documents(spark, sf), len(LANGS), MAX_VOCAB)
     stream = arriving(spark, sf, "documents").select("doc_id", "text")
-    scored = score_stream(stream, scoring.bayes_predictor(spark, model))
+    spread = prepare.small_table_partitions(table(spark, sf, "documents"))
+    scored = score_stream(stream, scoring.bayes_predictor(spark, model), partitions=spread)
     target = scratch_path(spark, "stream-score")
     append_stream(scored.drop("text"), target, scratch_path(spark, "stream-score-log"))
     return read_back(spark, target)
@@ -609,12 +622,14 @@ QUERIES: dict[str, Query] = {
     "build_vocab": build_vocab,
     "encode_text": encode_text,
     "encode_batched": encode_batched,
+    "encode_pages": encode_pages,
     "encode_full_length": encode_full_length,
     "token_length_profile": token_length_profile,
     "nb_weights": nb_weights,
     "predictions_table": predictions_table,
     "score_batch": score_batch,
     "score_udf": score_udf,
+    "score_unlabelled": score_unlabelled,
     "score_null_literal": score_null_literal,
     "score_vectors": score_vectors,
     "score_and_evaluate": score_and_evaluate,
