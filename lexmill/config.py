@@ -26,7 +26,7 @@ class TrainingConfig:
     metric_for_best_model: str = "f1"
     seed: int = 123
     weight_decay: float = 0.01
-    learning_rate: float = 5.0
+    learning_rate: float = 10.0
     parallelism: int | None = None
     max_vocab: int | None = 30_000
     feature_bits: int = 14

@@ -91,6 +91,8 @@ def _epoch_task(shared, batch_size: int, rate: float, decay: float, max_steps: i
         rows = steps = 0
         loss = 0.0
         for batch in batches:
+            if max_steps is not None and steps >= max_steps:
+                break
             labels = batch.column(0).to_numpy()
             features, offsets = _flat(batch.column(1))
             for start in range(0, len(labels), batch_size):
@@ -212,7 +214,7 @@ def fit_softmax(
     label: str = "label",
     batch_size: int = 64,
     epochs: int = 3,
-    learning_rate: float = 5.0,
+    learning_rate: float = 10.0,
     weight_decay: float = 0.01,
     bits: int = 14,
     seed: int = 123,

@@ -122,9 +122,9 @@ def stage_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_versions(events: DataFrame) -> DataFrame:
     run_id = F.concat_ws("-", "name", F.col("version").cast("string"))
-    return events.select("name", "version").distinct().select(
-        "name", "version", run_id.alias("run_id"), F.concat(F.lit("dbfs:/runs/"), run_id, F.lit("/artifacts/model")).alias("source")
-    )
+    source = F.concat(F.lit("dbfs:/runs/"), run_id, F.lit("/artifacts/model"))
+    pairs = events.select("name", "version").distinct()
+    return pairs.select("name", "version", run_id.alias("run_id"), source.alias("source"))
 
 
 def fitted(
@@ -513,7 +513,8 @@ def log_loss(spark: SparkSession, sf: str) -> DataFrame:
 def best_metrics(spark: SparkSession, sf: str) -> DataFrame:
     entries = log_entries(spark, sf)
     evals = entries.withColumn("metric", F.col("eval_f1"))
-    best = runs.best_checkpoint(evals, metric="metric").select("run_id", (F.col("best_epoch") * 100).cast("bigint").alias("best_step"))
+    best_step = (F.col("best_epoch") * 100).cast("bigint").alias("best_step")
+    best = runs.best_checkpoint(evals, metric="metric").select("run_id", best_step)
     return runs.best_metrics(entries.join(best, "run_id"), LOG_METRICS, "eval_f1")
 
 

@@ -37,7 +37,10 @@ def file_manifest(df: DataFrame) -> DataFrame:
 
 
 def input_files(df: DataFrame) -> list[str]:
-    """Paths of the files behind a table, with a mount prefix rewritten; may be empty."""
+    """Paths of the files behind a table, with a mount prefix rewritten; may be empty.
+
+    A list on the driver; ``file_manifest`` has the same as a table.
+    """
     return [re.sub(f"^{MOUNT_SCHEME}:/*", f"{MOUNT_FOLDER}/", path) for path in df.inputFiles()]
 
 

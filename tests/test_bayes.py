@@ -4,9 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import class_index
 from lexmill.operators import bayes
-from lexmill.operators.prepare import split_pair
 from lexmill.operators.scoring import bayes_predictor, score
 
 
