@@ -1,0 +1,37 @@
+import pytest
+import reference
+from pyspark.sql import types as T
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def edge(spark):
+    """Small documents: null, empty and very long texts, copies, repeated rows, null sources, clashing column names."""
+    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t or "")) for i, t in reference.EDGE_TEXTS]
+    rows.append(rows[0])
+    rows.append((None, reference.PROSE, None, None, None))
+    extra = "row", "key", "size", "w", "h", "copies", "score", "bucket"
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    return df.selectExpr("*", *[f"'x' as {c}" for c in extra])
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def no_labels(spark):
+    return spark.createDataFrame([], T.StructType.fromDDL("doc_id long, quality int, toxic int"))
+
+
+@pytest.fixture(scope="session")
+def sample(spark):
+    """The smallest given documents."""
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def sample_rows(sample):
+    return [(r["doc_id"], r["text"]) for r in sample.select("doc_id", "text").collect()]
