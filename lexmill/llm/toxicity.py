@@ -33,6 +33,8 @@ MAX_TERMS, MAX_EXCEPTIONS = 2_000, 2_000
 STEMS = (4, 5, 6)
 #: Texts that a term must occur in, and the least lower bound of its log odds.
 MIN_TEXTS, MIN_LOG_ODDS = 8, 1.5
+#: A word beginning is dropped if one longer term has this share of its texts.
+OWED = 0.6
 
 # Letters of other scripts that look like Latin ones, and what they look like.
 LOOK_ALIKES = {
@@ -99,12 +101,12 @@ class Matcher:
         import ahocorasick
 
         self.lexicon, self.automaton = lexicon, ahocorasick.Automaton()
-        patterns: dict[str, list[tuple[int, float | None]]] = {}
+        patterns: dict[str, list[tuple[int, float | None, bool]]] = {}
         for term, weight in lexicon.weights.items():
             pattern = f" {term[1:]} " if term[0] == "=" else f" {term}"
-            patterns.setdefault(pattern, []).append((len(pattern) - 1, weight))
+            patterns.setdefault(pattern, []).append((len(pattern) - 1, weight, term[0] != "="))
         for phrase in lexicon.exceptions:
-            patterns.setdefault(f" {phrase} ", []).append((len(phrase) + 1, None))
+            patterns.setdefault(f" {phrase} ", []).append((len(phrase) + 1, None, False))
         for pattern, found in patterns.items():
             self.automaton.add_word(pattern, found)
         if patterns:
@@ -130,7 +132,9 @@ class Matcher:
         found: dict[int, float] = {}
         harmless: list[tuple[int, int]] = []
         for end, values in self.automaton.iter(line):
-            for back, weight in values:
+            for back, weight, goes_on in values:
+                if goes_on and line[end + 1] == " ":
+                    continue
                 if weight is None:
                     harmless.append((end - back, end))
                 else:
@@ -240,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
         .orderBy(F.desc("sure"), "term")
         .limit(MAX_TERMS)
     )
-    weights = {r["term"]: r["weight"] for r in terms.collect()}  # at most MAX_TERMS
+    found = terms.collect()  # at most MAX_TERMS
+    texts = {r["term"]: r["pos"] for r in found}
+    weights = {r["term"]: r["weight"] for r in found if not _speaks_for_another(r["term"], texts)}
     bare = Matcher(Lexicon(weights))
     phrases = _counted(sample, lambda text: _phrases(bare, text))
     harmless = (
@@ -252,6 +258,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
     return lexicon
 
 
+def _speaks_for_another(term: str, texts: dict[str, int]) -> bool:
+    """Whether a word beginning owes most of its texts to one longer term, which then stands alone."""
+    if term[0] == "=":
+        return False
+    longer = [n for t, n in texts.items() if t != term and t.lstrip("=").startswith(term) and len(t.lstrip("=")) > len(term)]
+    return max(longer, default=0) >= OWED * texts[term]
+
+
 def _phrases(matcher: Matcher, text: str) -> set[str]:
     """Pairs of words around each match."""
     words = fold(text)
