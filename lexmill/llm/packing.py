@@ -9,10 +9,13 @@ sequence and offset on. Pieces take their place by rank within their length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +26,22 @@ from lexmill.llm.shared import kept, whole_text
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words remembered by a task, and the longest word worth remembering; neither changes a result.
-MEMO_WORDS, MEMO_CHARS = 200_000, 64
+MEMO_WORDS, MEMO_CHARS = 500_000, 64
+# The tokenizer's pattern, for text in lower case made of the letters that ``UNCOMMON`` leaves.
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+#: Anything but ASCII signs and plain Latin letters (no digits of other kinds, no letter that grows in
+#: lower case), or the mark that begins a special token.
+UNCOMMON = re.compile("[^!-~¡-±´-¸º»¿-įı-ɏ]|<\\|")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in the tokenizer's vocabulary: itself if it prints, else one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+BYTE_SIGNS = _byte_signs()
 END_ID = 0
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
@@ -31,36 +49,60 @@ PLAN = "length int, rank_from long, rank_to long, per_sequence int, sequence_fro
 
 
 class _Encoder:
-    """Token ids as little-endian bytes, word by word.
+    """Token ids as little-endian bytes, word by word and piece by piece.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are the ids of its words in a row; words come again and again.
+    are the ids of its words in a row, and words come again and again. A new word
+    of common letters, digits and signs falls into the pieces of the tokenizer's
+    pattern, and only new pieces go through its merges. Any other word goes through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in one.ids) for one in found]
+        self.model = self.tokenizer.model
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join([BYTE_SIGNS[b] for b in piece.encode("utf-8")])
+        known = b"".join([self.ids[t.id] for t in self.model.tokenize(shown)])
+        if len(self.pieces) >= MEMO_WORDS:
+            self.pieces.clear()
+        if len(piece) <= MEMO_CHARS:
+            self.pieces[piece] = known
+        return known
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8")
+        if UNCOMMON.search(word):
+            return b"".join([self.ids[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+        known, make = self.pieces.get, self._piece
+        return b"".join([known(p) or make(p) for p in PIECE.findall(word.lower())])
 
     def __call__(self, text: str) -> bytes:
-        words = [w.decode("utf-8") for w in text.encode("utf-8").split()]
-        memo = self.memo
-        new = list({w for w in words if w not in memo})
-        if not new:
-            return b"".join([memo[w] for w in words])
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        out = b"".join([memo[w] if w in memo else fresh[w] for w in words])
-        if len(memo) + len(fresh) > MEMO_WORDS:
-            memo.clear()
-        memo.update((w, b) for w, b in fresh.items() if len(w) <= MEMO_CHARS)
+        raws = text.encode("utf-8").split()
+        fresh = {raw: self._word(raw) for raw in set(raws).difference(self.words)}
+        if not fresh:
+            return b"".join(map(self.words.__getitem__, raws))
+        known = self.words.get
+        out = b"".join([known(raw) or fresh.get(raw, b"") for raw in raws])
+        if len(self.words) + len(fresh) > MEMO_WORDS:
+            self.words.clear()
+        self.words.update((raw, ids) for raw, ids in fresh.items() if len(raw) <= MEMO_CHARS)
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a Python worker."""
+    return _Encoder(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of at most ``capacity`` ids; (part, length, rank) names it. Not yet written."""
 
@@ -70,7 +112,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
             import public_tokenizers
 
             path = str(public_tokenizers.path(TOKENIZER))
-        encode, part, ranks = _Encoder(path), TaskContext.get().partitionId(), Counter()
+        encode, part, ranks = _encoder(path), TaskContext.get().partitionId(), Counter()
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             columns: list[list[int | None]] = [[] for _ in range(7)]

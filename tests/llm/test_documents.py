@@ -123,6 +123,23 @@ def test_plan_fills_sequences_without_gaps():
         assert len(plan) <= 36 * len(histogram)
 
 
+def test_encoder_equals_the_tokenizer(sample_rows):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer, encoder = Tokenizer.from_file(path), packing._Encoder(path)
+    rng = random.Random(9)
+    signs = "abcXYZéÉßñÑ019 \t\n\r\x0b.,!?'’\"-_&%$#<|>²½ªºİıſKé́\xa0\x85\x1c\x1f​　漢字ДжΣς😀ŉǅ\xad\x00\x7f"
+    texts = [t for _, t in sample_rows] + ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(20_000)]
+    texts += ["I'LL don't WE'VE 's't 'RE !'s ''d it's", "<|startoftext|> a<|endoftext|>b", "".join(map(chr, range(0x250)))]
+    for text in texts:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder(text) == b"".join(i.to_bytes(4, "little") for i in ids), repr(text)
+
+
 @pytest.mark.parametrize("which", ["edge", "sample"])
 def test_packing_cuts_and_places_every_document(which, request):
     import public_tokenizers
