@@ -28,7 +28,7 @@ class TrainingConfig:
     weight_decay: float = 0.01
     learning_rate: float = 10.0
     parallelism: int | None = None
-    max_vocab: int | None = 30_000
+    max_vocab: int | None = None
     feature_bits: int = 14
 
     def __post_init__(self) -> None:

@@ -83,6 +83,6 @@ def decode(df: DataFrame, probabilities: str = "probabilities") -> DataFrame:
     Chained, so the second expression reads the first one's column and a Python
     model feeding ``probabilities`` is planned once.
     """
-    return df.selectExpr("*", f"array_max(`{probabilities}`) as predicted_probability").selectExpr(
-        "*", f"array_position(`{probabilities}`, predicted_probability) - 1 as predicted_class"
-    )
+    highest = df.withColumn("predicted_probability", F.array_max(F.col(probabilities)))
+    place = F.array_position(F.col(probabilities), F.col("predicted_probability"))
+    return highest.withColumn("predicted_class", place - F.lit(1))

@@ -206,8 +206,9 @@ def bayes_logits(
     Exploded tokens meet the bounded hot tier in a broadcast join and are summed
     per row map-side, so what is shuffled is one row of sums per text. Only
     tokens outside the hot tier are shuffled, and those are rare by definition.
-    ``row_key`` must identify the row; ``carry`` names narrow columns to pass
-    along, such as a label.
+    Rows with equal ``row_key``, ``carry`` and text come out as one. ``carry`` names
+    narrow columns to pass along, such as a label, or what tells rows apart that
+    share a key.
     """
     spark, k = df.sparkSession, model.num_labels
     key = [row_key, *carry]
@@ -216,16 +217,18 @@ def bayes_logits(
     # A null text keeps one null token, which matches nothing and sums to null.
     places = split.select(*key, F.explode_outer("_tokens").alias("_token"))
     sums = [F.sum(F.col("_w")[c]).alias(f"_s{c}") for c in range(k)]
+    # Each text has one mark: equal rows are as many as their marks.
+    marks = F.count(F.when(F.col("_token") == TEXT_MARK, 1)).alias("_rows")
 
     hot = F.broadcast(_for_join(model.weights(spark, "hot")))
-    totals = places.join(hot, "_token", "left").groupBy(*key).agg(*sums)
+    totals = places.join(hot, "_token", "left").groupBy(*key).agg(marks, *sums)
     if model.has_tail:
         rare = places.join(hot.select("_token"), "_token", "left_anti")
         # No hint: Spark broadcasts the tail where its files are small, and shuffles otherwise.
-        extra = rare.join(_for_join(model.weights(spark, "tail")), "_token").groupBy(*key).agg(*sums)
-        again = [F.sum(f"_s{c}").alias(f"_s{c}") for c in range(k)]
+        extra = rare.join(_for_join(model.weights(spark, "tail")), "_token").groupBy(*key).agg(marks, *sums)
+        again = [F.sum(c).alias(c) for c in ("_rows", *[f"_s{c}" for c in range(k)])]
         totals = totals.unionByName(extra).groupBy(*key).agg(*again)
-    logits = F.array(*[F.col(f"_s{c}") for c in range(k)])
+    logits = F.array(*[F.expr(f"_s{c} div greatest(_rows, 1)") for c in range(k)])
     return totals.select(*key, F.when(F.col("_s0").isNotNull(), logits).alias("logits"))
 
 
@@ -243,8 +246,16 @@ def micro_probabilities(logits: Column | str, decimals: int | None = None) -> Co
 def score_bayes(
     df: DataFrame, model: BayesModel, row_key: str, text: str = "text", decimals: int | None = None
 ) -> DataFrame:
-    """All input columns plus ``probabilities``, ``predicted_probability``, ``predicted_class``."""
-    scored = bayes_logits(df, model, row_key, text).select(
-        row_key, micro_probabilities("logits", decimals).alias("probabilities")
+    """All input columns plus ``probabilities``, ``predicted_probability``, ``predicted_class``.
+
+    Every row is kept, also where ``row_key`` is null or repeated.
+    """
+    content = F.xxhash64(text).alias("_content")
+    logits = bayes_logits(df.select("*", content), model, row_key, text, carry=["_content"])
+    scored = logits.select(
+        F.col(row_key).alias("_key"),
+        F.col("_content").alias("_scored"),
+        micro_probabilities("logits", decimals).alias("probabilities"),
     )
-    return decode(df.join(scored, row_key))
+    same = F.col(row_key).eqNullSafe(F.col("_key")) & (F.col("_content") == F.col("_scored"))
+    return decode(df.select("*", content).join(scored, same).drop("_content", "_key", "_scored"))

@@ -16,10 +16,8 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
 SPECIAL_TOKENS_PER_TEXT = 2
 
-# A vocabulary is broadcast, and shipped to Python workers, only up to this many
-# entries of at most this many characters each (40 MB of token text).
+# A vocabulary has at most this many entries, which bounds what Python workers load.
 MAX_VOCAB = 200_000
-MAX_TOKEN_CHARS = 200
 
 
 def token_totals(df: DataFrame, text: str = "text") -> DataFrame:
@@ -56,8 +54,7 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 30_000) -> DataFr
     """(token, n, id) for the ``size`` most frequent tokens, ids from 4 on by (n desc, token)."""
     if not 0 < size <= MAX_VOCAB:
         raise ValueError(f"vocabulary size must be in 1..{MAX_VOCAB}")
-    eligible = token_totals(df, text).where(F.length("token") <= MAX_TOKEN_CHARS)
-    top = top_tokens(eligible, size)
+    top = top_tokens(token_totals(df, text), size)
     # At most `size` rows reach this window.
     place = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     return top.select("token", "n", (place + (FIRST_TOKEN_ID - 1)).cast("int").alias("id"))
@@ -92,21 +89,22 @@ def _frame(ids: Column, max_length: int) -> tuple[Column, Column]:
 def encode(df: DataFrame, vocab: DataFrame, row_key: str, text: str = "text", max_length: int = 40) -> DataFrame:
     """(row_key, input_ids, attention_mask), by joining token positions with the vocabulary.
 
-    ``row_key`` must identify the row. Texts are cut to ``max_length`` before
-    they are exploded, so a group that is collected back holds at most that many
-    entries and the shuffle carries encoded arrays, never texts. The vocabulary
-    is bounded by ``MAX_VOCAB`` and broadcast. Null texts give null arrays.
+    Every row gives one, also where ``row_key`` is null or repeated. Texts are cut
+    to ``max_length`` before they are exploded, so a group that is collected back
+    holds at most that many entries and the shuffle carries encoded arrays, never
+    texts. Spark broadcasts the vocabulary only if it is small by its measured
+    size. Null texts give null arrays.
     """
     # A token outside the vocabulary becomes UNK; a text without tokens keeps one
     # null entry through the outer explode, which is filtered out again below.
-    rows = spread_small(df.select(row_key, text))
-    split = rows.select(row_key, F.col(text).isNull().alias("_missing"), _body(text, max_length).alias("_tokens"))
-    places = split.select(row_key, "_missing", F.posexplode_outer("_tokens").alias("_pos", "_token"))
+    rows = spread_small(df.select(row_key, text)).withColumn("_row", F.monotonically_increasing_id())
+    split = rows.select("_row", row_key, F.col(text).isNull().alias("_missing"), _body(text, max_length).alias("_tokens"))
+    places = split.select("_row", row_key, "_missing", F.posexplode_outer("_tokens").alias("_pos", "_token"))
     known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
-    found = places.join(F.broadcast(known), "_token", "left")
+    found = places.join(known, "_token", "left")
     entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(UNK_ID)).alias("_id")))
     # collect_list skips the null entries of empty texts.
-    rows = found.groupBy(row_key).agg(
+    rows = found.groupBy("_row", row_key).agg(
         F.array_sort(F.collect_list(entry)).alias("_entries"), F.first("_missing").alias("_missing")
     )
     ids = rows.select(row_key, "_missing", F.col("_entries._id").alias("_ids"))

@@ -94,7 +94,7 @@ def require_valid_labels(df: DataFrame, label: str, num_labels: int) -> None:
         problems.append(f"{row['n_null']} null labels")
     if row["n_not_integer"]:
         problems.append(f"{row['n_not_integer']} labels are not integers")
-    if row["min_label"] is None or row["min_label"] < 0:
+    if row["min_label"] != 0:
         problems.append("labels must start at 0")
     if row["max_label"] is not None and row["max_label"] >= num_labels:
         problems.append(f"label {row['max_label']} is outside 0..{num_labels - 1}")
@@ -110,15 +110,19 @@ def row_identity() -> Column:
 def shuffle_rows(df: DataFrame, key: Column | str | None = None, seed: int = 123) -> DataFrame:
     """Give every row its place ``shuffle_rank`` (1..n) in a seeded random order.
 
-    ``key`` must identify the row (a primary key). Without one, the row's file
-    and position are used, which holds for exact copies too.
+    ``key`` must identify the row (a primary key); rows whose key is null go by
+    their contents, equal ones in any order. Without a key, the row's file and
+    position are used, which holds for exact copies too.
 
     The order is that of ``md5(seed:key)``. Rows are ranked inside hash buckets,
     which are even because the keys are distinct, and bucket offsets come from a
     running total over the bucket sizes: rows never meet in one task.
     """
     identity = row_identity() if key is None else (F.col(key) if isinstance(key, str) else key)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), identity.cast("string")))
+    named = identity.cast("string")
+    if key is not None:
+        named = F.coalesce(named, F.to_json(F.struct("*")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), named))
     hashed = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
 
     # Only the digest is needed for the sizes, so this scan reads the key alone.

@@ -71,14 +71,15 @@ def best_metrics(entries: DataFrame, metrics: Sequence[str], required: str, run:
     return rows.select(run, "best.*", "total.*")
 
 
-def run_leaderboard(runs: DataFrame, metric: str, group: str = "experiment", top: int = 10) -> DataFrame:
-    """The ``top`` runs of every experiment with their place, best first.
+def run_leaderboard(runs: DataFrame, metric: str, group: str = "experiment", top: int | None = None) -> DataFrame:
+    """All runs of every experiment, or its ``top`` ones, with their place, best first.
 
-    A rank filter on a window lets each task drop all but its own ``top`` rows
+    With ``top``, a rank filter on a window lets each task drop all but its own ``top`` rows
     per experiment before the shuffle, so an experiment may hold any number of runs.
     """
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(metric), "run_id"))
-    return runs.where(F.col(metric).isNotNull()).withColumn("place", place).where(F.col("place") <= top)
+    placed = runs.where(F.col(metric).isNotNull()).withColumn("place", place)
+    return placed if top is None else placed.where(F.col("place") <= top)
 
 
 def current_stages(events: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ class RunStore:
     def runs(self) -> DataFrame:
         return self._table("runs", RUN_SCHEMA)
 
-    def leaderboard(self, metric: str, top: int = 10) -> DataFrame:
+    def leaderboard(self, metric: str, top: int | None = None) -> DataFrame:
         flat = self.runs().select("experiment", "run_id", "run_name", F.col("metrics")[metric].alias(metric))
         return run_leaderboard(flat, metric, top=top)
 

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexmill.functions import tokens
 from lexmill.operators.encode import SPECIAL_TOKENS_PER_TEXT
 from lexmill.operators.metrics import evaluate
-from lexmill.operators.prepare import spread_small
 from lexmill.operators.runs import checkpoints_to_keep
 from lexmill.operators.scoring import PROBABILITIES, Predictor, score, stable_softmax
 from lexmill.session import delete_path, shared_dir
@@ -230,7 +229,7 @@ def fit_softmax(
     ``lazy=False`` hashes the texts once into reliable checkpoint files, spread
     evenly by ``row_key`` (which must identify the row), and visits training rows
     in a new seeded order each epoch. ``lazy=True`` reads the table anew each
-    epoch, in file order; only a small table is spread over the workers.
+    epoch, in file order, as it is partitioned, whatever its size.
     ``max_steps`` bounds the steps per worker over all epochs; ``parallelism`` is
     the number of workers. ``weight_decay`` shrinks the weights once per epoch.
     """
@@ -242,7 +241,7 @@ def fit_softmax(
 
     def features(df: DataFrame) -> DataFrame:
         labelled = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(row_key, text, label)
-        return spread_small(labelled).select(
+        return labelled.select(
             F.col(row_key).alias("row_key"),
             F.col(label).cast("int").alias("label"),
             hashed_tokens(text, bits, max_token_length).alias("features"),

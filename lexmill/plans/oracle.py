@@ -5,7 +5,7 @@ Shared pieces are common table expressions, put together as text.
 
 from __future__ import annotations
 
-from lexmill.plans.queries import ENCODE_VOCAB, LANGS, LOG_METRICS, MAX_LENGTH, MAX_VOCAB, ROLES, SWEEP_SIZES
+from lexmill.plans.queries import ENCODE_VOCAB, LANGS, LOG_METRICS, MAX_LENGTH, ROLES, SWEEP_SIZES, VOCAB_SIZE
 
 
 def _tokens(text: str) -> str:
@@ -128,10 +128,10 @@ current AS (SELECT name, version, stage AS current_stage FROM stage_events
 
 K = len(LANGS)
 BAYES_ALL = f"{DOCS},{_bayes(K)}"
-BAYES_TOP = f"{DOCS},{_bayes(K, MAX_VOCAB)}"
+BAYES_TOP = f"{DOCS},{_bayes(K)}"
 
 VOCAB = f"""all_tokens AS (SELECT unnest({_tokens('text')}) AS token FROM documents),
-ranked AS (SELECT token, count(*) AS n FROM all_tokens WHERE length(token) <= 200 GROUP BY token),
+ranked AS (SELECT token, count(*) AS n FROM all_tokens GROUP BY token),
 vocab AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id FROM ranked
   QUALIFY row_number() OVER (ORDER BY n DESC, token) <= %d)"""
 
@@ -209,7 +209,7 @@ c AS (SELECT count(*) AS n FROM sides WHERE split = 'train')
 SELECT n AS n_rows, CAST(256 AS BIGINT) AS effective_batch, CAST(floor(10 * n / 256) AS BIGINT) AS max_steps,
 CAST(floor(floor(10 * n / 256) / 10) AS BIGINT) AS eval_steps,
 CAST(greatest(1, floor(floor(10 * n / 256) / 10)) AS BIGINT) AS eval_every FROM c""",
-        "build_vocab": f"WITH {VOCAB % MAX_VOCAB} SELECT token, n, id FROM vocab",
+        "build_vocab": f"WITH {VOCAB % VOCAB_SIZE} SELECT token, n, id FROM vocab",
         "encode_text": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH))}
 SELECT doc_id, input_ids, attention_mask FROM encoded""",
         "encode_batched": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH))}
@@ -285,7 +285,7 @@ SELECT run_id, epoch, metric, is_best,
 is_best OR row_number() OVER (PARTITION BY run_id, is_best ORDER BY epoch DESC) <= 2 AS kept FROM marked""",
         "run_leaderboard": """SELECT event_type AS experiment, event_id AS run_id, value / 1000 AS f1,
 CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INTEGER) AS place FROM events
-QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 10""",
+WHERE value IS NOT NULL""",
         "run_log_append": """SELECT 'events' AS experiment, CAST(user_id AS VARCHAR) AS run_id, 'run_' || user_id AS run_name,
 max(value) AS f1, CAST(count(*) AS DOUBLE) AS n, CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS streaming_read
 FROM events GROUP BY user_id""",

@@ -47,11 +47,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 LANGS = ("de", "en", "es", "fr")
 ROLES = ("assistant", "system", "user")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-MAX_VOCAB = 30_000
+VOCAB_SIZE = 30_000
 MAX_LENGTH = 40
-ENCODE_VOCAB = 2_000
+ENCODE_VOCAB = encode.MAX_VOCAB
 SOFTMAX_BATCH = 16
-SWEEP_SIZES = (1_000, MAX_VOCAB)
+SWEEP_SIZES = (1_000, VOCAB_SIZE)
 LOG_METRICS = ("eval_f1", "eval_recall")
 
 
@@ -221,7 +221,7 @@ def input_example_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
-    model, _ = fitted(spark, documents(spark, sf), len(LANGS), MAX_VOCAB)
+    model, _ = fitted(spark, documents(spark, sf), len(LANGS))
     return model.weights(spark).where(F.col("token") != bayes.TEXT_MARK)
 
 
@@ -329,7 +329,7 @@ def step_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.build_vocab(table(spark, sf, "documents"), size=MAX_VOCAB)
+    return encode.build_vocab(table(spark, sf, "documents"), size=VOCAB_SIZE)
 
 
 def encode_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,13 +384,13 @@ def predictions_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = fitted(spark, documents(spark, sf), len(LANGS), MAX_VOCAB)
+    model, test = fitted(spark, documents(spark, sf), len(LANGS))
     scored = scoring.score(test, scoring.bayes_predictor(spark, model), "text", mode="batch", batch_size=1000)
     return scored.select("doc_id", "text", "label", "probabilities", "predicted_probability", "predicted_class")
 
 
 def score_udf(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = fitted(spark, documents(spark, sf), len(LANGS), MAX_VOCAB)
+    model, test = fitted(spark, documents(spark, sf), len(LANGS))
     return scoring.score(test, scoring.bayes_predictor(spark, model), "text", mode="udf", partitions=8)
 
 
@@ -403,7 +403,7 @@ def score_unlabelled(spark: SparkSession, sf: str) -> DataFrame:
 def score_null_literal(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of one language blanked out and scored as the word a null turns into."""
     rows = documents(spark, sf)
-    model, test = fitted(spark, rows, len(LANGS), MAX_VOCAB)
+    model, test = fitted(spark, rows, len(LANGS))
     blanked = test.withColumn("text", F.when(F.col("label") != 0, F.col("text")))
     scored = scoring.score(
         blanked, scoring.bayes_predictor(spark, model), mode="udf", keep="all", null_policy="literal"
@@ -422,7 +422,7 @@ def score_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = fitted(spark, documents(spark, sf), len(LANGS), MAX_VOCAB)
+    model, test = fitted(spark, documents(spark, sf), len(LANGS))
     scored = scoring.score(test, scoring.bayes_predictor(spark, model), "text", mode="batch")
     row = metrics.weighted_metrics(metrics.confusion_matrix(scored))
     return row.select(_six("f1", "f1"), _six("precision", "precision"), _six("recall", "recall"), "n_rows")
@@ -432,7 +432,7 @@ def scoring_job(spark: SparkSession, sf: str) -> DataFrame:
     """Train, register, promote, score a table by stage, read the written predictions."""
     train, test = prepare.split_pair(documents(spark, sf), "text")
     store = runs.RunStore(spark, scratch_path(spark, "store"))
-    config = TrainingConfig(model_type="bayes", num_labels=len(LANGS), max_vocab=MAX_VOCAB)
+    config = TrainingConfig(model_type="bayes", num_labels=len(LANGS))
     run_id = run_training(spark, config, store, train, test)
     store.move("language", store.register("language", run_id), "Production")
     source = scratch_path(spark, "job-input")
@@ -532,7 +532,7 @@ def run_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     scored = table(spark, sf, "events").select(
         F.col("event_type").alias("experiment"), F.col("event_id").alias("run_id"), (F.col("value") / 1000).alias("f1")
     )
-    return runs.run_leaderboard(scored, "f1", top=10)
+    return runs.run_leaderboard(scored, "f1")
 
 
 def run_log_append(spark: SparkSession, sf: str) -> DataFrame:
@@ -581,7 +581,7 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    model, _ = fitted(spark, documents(spark, sf), len(LANGS), MAX_VOCAB)
+    model, _ = fitted(spark, documents(spark, sf), len(LANGS))
     stream = arriving(spark, sf, "documents").select("doc_id", "text")
     spread = prepare.small_table_partitions(table(spark, sf, "documents"))
     scored = score_stream(stream, scoring.bayes_predictor(spark, model), partitions=spread)

@@ -143,3 +143,14 @@ def test_long_batches_are_cut_into_chunks(spark, split, model, monkeypatch):
     as_dict = lambda rows: {r["doc_id"]: r["probabilities"] for r in rows}
     one, two = as_dict(whole), as_dict(cut)
     assert one.keys() == two.keys() and all(np.array_equal(one[k], two[k]) for k in one)
+
+
+def test_scoring_keeps_rows_with_null_and_repeated_keys(spark, split, model):
+    texts = [r["text"] for r in split[1].limit(3).collect()]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[0]), (2, texts[1]), (2, texts[1]), (None, None)]
+    got = bayes.score_bayes(spark.createDataFrame(rows, "doc_id long, text string"), model, "doc_id").collect()
+    assert len(got) == len(rows)
+    single = [(n, t) for n, t in enumerate(texts)] + [(9, None)]
+    alone = bayes.score_bayes(spark.createDataFrame(single, "doc_id long, text string"), model, "doc_id")
+    expected = {r["text"]: r["probabilities"] for r in alone.collect()}
+    assert all(r["probabilities"] == expected[r["text"]] for r in got)

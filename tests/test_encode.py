@@ -78,3 +78,12 @@ def test_top_tokens_equals_plain_sort(docs, size):
 def test_vocab_size_is_bounded(docs):
     with pytest.raises(ValueError):
         encode.build_vocab(docs, size=encode.MAX_VOCAB + 1)
+
+
+def test_rows_with_null_and_repeated_keys_stay(spark):
+    rows = [(1, "a b"), (1, "c"), (None, "a"), (None, None), (2, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = spark.createDataFrame([("a", 9, 4), ("b", 8, 5), ("c", 7, 6)], "token string, n long, id int")
+    got = encode.encode(frame, vocab, "doc_id", max_length=4).collect()
+    want = [(1, [2, 4, 5, 3]), (1, [2, 6, 3, 0]), (None, [2, 4, 3, 0]), (None, None), (2, [2, 3, 0, 0])]
+    assert sorted(map(str, ((r["doc_id"], r["input_ids"]) for r in got))) == sorted(map(str, want))

@@ -104,3 +104,15 @@ def test_spread_small_leaves_large_tables_alone(spark, docs, monkeypatch):
     assert prepare.spread_small(docs) is not docs
     monkeypatch.setattr(prepare, "SPREAD_BYTES_PER_CORE", 0)
     assert prepare.spread_small(docs) is docs
+
+
+def test_shuffle_keeps_rows_with_null_keys(spark):
+    frame = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c"), (2, "d"), (None, "c")], "k long, v string")
+    got = prepare.shuffle_rows(frame, "k").collect()
+    assert sorted(r["shuffle_rank"] for r in got) == [1, 2, 3, 4, 5]
+    assert sorted(r["v"] for r in got) == ["a", "b", "c", "c", "d"]
+
+
+def test_labels_must_start_at_zero(spark):
+    with pytest.raises(ValueError, match="start at 0"):
+        prepare.require_valid_labels(spark.createDataFrame([(1,), (2,)], "label int"), "label", 3)
