@@ -2,6 +2,8 @@ import pytest
 import reference
 from pyspark.sql import types as T
 
+#: Also what the tests above import from a module of this name.
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -29,7 +31,7 @@ def no_labels(spark):
 @pytest.fixture(scope="session")
 def sample(spark):
     """The smallest given documents."""
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
 @pytest.fixture(scope="session")
