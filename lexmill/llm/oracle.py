@@ -8,20 +8,20 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def substring_dedup() -> str:
     return f"""
     with d as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
-    windows as (
-        select r, doc_id, s, array_to_string(w[s : s + 49], ' ') as words
-        from d, unnest(range(1, len(w) - 48)) as t(s) where len(w) >= 50
-    ),
+    starts as (select r, doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50),
+    windows as (select r, doc_id, s, array_to_string(w[s : s + 49], ' ') as words from starts),
     firsts as (select words, min(doc_id) as low from windows group by words),
-    covered as (select distinct r, s + i as at from windows join firsts using (words), range(50) as o(i) where doc_id > low),
-    kept as (
-        select d.r, count(c.at) as n_removed,
-            coalesce(string_agg(case when c.at is null then d.w[p.at] end, ' ' order by p.at), '') as line
-        from d, unnest(range(1, len(w) + 1)) as p(at) left join covered c on c.r = d.r and c.at = p.at group by d.r
+    late as (select r, s from windows join firsts on windows.words = firsts.words where doc_id > low),
+    covered as (select distinct r, place from (select r, unnest(range(s, s + 50)) as place from late) x),
+    places as (select r, unnest(w) as word, generate_subscripts(w, 1) as place from d),
+    lines as (
+        select p.r, count(c.place) as n_removed,
+            string_agg(case when c.place is null then word end, ' ' order by p.place) as line
+        from places p left join covered c on c.r = p.r and c.place = p.place group by p.r
     )
-    select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+    select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
         sha256(coalesce(line, '')) as kept_sha256
-    from d left join kept using (r)
+    from d left join lines on d.r = lines.r
     """
 
 
