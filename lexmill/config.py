@@ -20,6 +20,7 @@ class TrainingConfig:
     num_labels: int = 2
     streaming_read: bool = False
     max_token_length: int = -1
+    eval_steps: int | None = None
     batch_size: int = 64
     num_train_epochs: int = 3
     save_total_limit: int = 10

@@ -10,6 +10,7 @@ from lexmill.functions.arrays import (
 from lexmill.functions.text import (
     class_index,
     drop_last_segment,
+    first_tokens,
     hash_fraction,
     last_segment,
     normalized_text,
@@ -23,6 +24,7 @@ __all__ = [
     "class_index",
     "decode",
     "drop_last_segment",
+    "first_tokens",
     "hash_fraction",
     "last_segment",
     "negative_log_likelihood",

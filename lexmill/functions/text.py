@@ -23,6 +23,11 @@ def tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(_col(text)), TOKEN_SEPARATORS), "")
 
 
+def first_tokens(text: Column | str, n: int) -> Column:
+    """The first ``n`` tokens of a text, joined by single blanks."""
+    return F.array_join(F.slice(tokens(text), 1, n), " ")
+
+
 def normalized_text(text: Column | str) -> Column:
     """The tokens of a text, joined by single blanks."""
     return F.array_join(tokens(text), " ")

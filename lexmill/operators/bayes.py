@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from lexmill.functions import decode, round_half_even, softmax, tokens
 from lexmill.operators.encode import top_tokens
@@ -44,10 +44,17 @@ def marked_tokens(text: Column | str) -> Column:
     return F.array_append(tokens(text), F.lit(TEXT_MARK))
 
 
+def _marked(df: DataFrame, text: str) -> Column:
+    """Marked tokens of a text column, or of a column of ids, each of which counts as a token."""
+    if isinstance(df.schema[text].dataType, T.ArrayType):
+        return F.array_append(F.col(text).cast("array<string>"), F.lit(TEXT_MARK))
+    return marked_tokens(text)
+
+
 def token_rows(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """(token, label), one row per token of every text and one for its mark; rows without a text are left out."""
     rows = spread_small(df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")))
-    return rows.select(F.explode(marked_tokens("text")).alias("token"), "label")
+    return rows.select(F.explode(_marked(rows, "text")).alias("token"), "label")
 
 
 def token_counts(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
@@ -153,7 +160,7 @@ def fit_bayes(
     label: str = "label",
     max_vocab: int | None = None,
 ) -> BayesModel:
-    """Fit on a labelled frame and write the model tables."""
+    """Fit on a labelled frame and write the model tables; ``text`` is a column of texts, or of ids."""
     return finish_bayes(fit_counts(df, num_labels, text, label), path, num_labels, max_vocab)
 
 
@@ -213,7 +220,7 @@ def bayes_logits(
     spark, k = df.sparkSession, model.num_labels
     key = [row_key, *carry]
     rows = spread_small(df.select(*key, F.col(text).alias("_text")))
-    split = rows.select(*key, marked_tokens("_text").alias("_tokens"))
+    split = rows.select(*key, _marked(rows, "_text").alias("_tokens"))
     # A null text keeps one null token, which matches nothing and sums to null.
     places = split.select(*key, F.explode_outer("_tokens").alias("_token"))
     sums = [F.sum(F.col("_w")[c]).alias(f"_s{c}") for c in range(k)]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions import tokens
 from lexmill.operators.prepare import spread_small
@@ -72,7 +72,7 @@ def resolve_max_length(df: DataFrame, text: str, max_length: int, model_max_leng
     return max_length
 
 
-def _body(text: str, max_length: int) -> Column:
+def _body(text: Column | str, max_length: int) -> Column:
     """The tokens that fit between the start and the end mark."""
     return F.slice(tokens(text), 1, max_length - SPECIAL_TOKENS_PER_TEXT)
 
@@ -130,7 +130,39 @@ def encode_batched(df: DataFrame, vocab_tokens: list[str], text: str = "text", m
     Splitting, cutting and padding stay in the JVM; only the cut token arrays go
     through Arrow, where one vectorised lookup handles a whole batch.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocab_tokens)
+    with_ids = spread_small(df).withColumn("_ids", _lookup(df.sparkSession, vocab_tokens)(_body(text, max_length)))
+    input_ids, mask = _frame(F.col("_ids"), max_length)
+    return with_ids.withColumn("input_ids", input_ids).withColumn("attention_mask", mask).drop("_ids")
+
+
+def encoded_struct(spark: SparkSession, text: Column | str, vocab_tokens: list[str], max_length: int = 40) -> Column:
+    """A struct of ``input_ids`` and ``attention_mask`` of a text, to encode inside a larger expression."""
+    input_ids, mask = _frame(_lookup(spark, vocab_tokens)(_body(text, max_length)), max_length)
+    return F.struct(input_ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+def training_rows(
+    df: DataFrame,
+    vocab_tokens: list[str],
+    text: str = "text",
+    label: str = "label",
+    max_length: int = 40,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """``keep``, ``input_ids``, ``attention_mask`` and an integer label: what a model is trained and measured on."""
+    encoded = encode_batched(df.select(*keep, text, F.col(label).cast("int").alias(label)), vocab_tokens, text, max_length)
+    return encoded.select(*keep, "input_ids", "attention_mask", label)
+
+
+def used_ids(input_ids: Column | str = "input_ids", attention_mask: Column | str = "attention_mask") -> Column:
+    """The ids that the mask shows."""
+    ids, mask = (F.col(c) if isinstance(c, str) else c for c in (input_ids, attention_mask))
+    return F.filter(ids, lambda x, i: F.get(mask, i) == 1)
+
+
+def _lookup(spark: SparkSession, vocab_tokens: list[str]):
+    """Arrays of tokens to arrays of ids; a vectorised lookup handles a whole batch."""
+    shared = spark.sparkContext.broadcast(vocab_tokens)
 
     @F.arrow_udf("array<int>")
     def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -140,9 +172,7 @@ def encode_batched(df: DataFrame, vocab_tokens: list[str], text: str = "text", m
             ids = pc.fill_null(pc.add(found, FIRST_TOKEN_ID), UNK_ID)
             yield pa.ListArray.from_arrays(column.offsets, ids.cast(pa.int32()), mask=column.is_null())
 
-    with_ids = spread_small(df).withColumn("_ids", lookup(_body(text, max_length)))
-    input_ids, mask = _frame(F.col("_ids"), max_length)
-    return with_ids.withColumn("input_ids", input_ids).withColumn("attention_mask", mask).drop("_ids")
+    return lookup
 
 
 def token_length_profile(df: DataFrame, group: str, text: str = "text", max_length: int = 40) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lexmill.functions import decode, normalized_text, round_half_even, stringify
 from lexmill.operators.bayes import MICRO, TEXT_MARK, BayesModel
+from lexmill.operators.encode import encoded_struct
 from lexmill.operators.prepare import repartition_for_scoring, spread_small
 
 Predictor = Callable[[Column, int], Column]
@@ -57,6 +58,36 @@ def batch_model(
     return predictor
 
 
+def encoded_model(make_predict_fn: Callable, max_length: int) -> Predictor:
+    """A predictor from a user model over structs of ``input_ids`` and ``attention_mask``.
+
+    ``make_predict_fn()`` returns ``predict(input_ids, attention_mask) -> (n, k) array``,
+    both inputs being (n, max_length) arrays.
+    """
+
+    def predictor(column: Column, batch_size: int) -> Column:
+        udf = predict_batch_udf(
+            make_predict_fn,
+            return_type=PROBABILITIES,
+            batch_size=batch_size,
+            input_tensor_shapes=[[max_length], [max_length]],
+        )
+        return udf(column["input_ids"], column["attention_mask"])
+
+    return predictor
+
+
+def encoding_predictor(spark: SparkSession, vocab_tokens: list[str], model: Predictor, max_length: int) -> Predictor:
+    """A predictor of texts that encodes them itself and hands the pairs of arrays to ``model``."""
+    return lambda column, batch_size: model(encoded_struct(spark, column, vocab_tokens, max_length), batch_size)
+
+
+def empty_encoding(max_length: int) -> Column:
+    """What a model over encoded texts sees in place of a null."""
+    zeros = F.array_repeat(F.lit(0), max_length)
+    return F.struct(zeros.alias("input_ids"), zeros.alias("attention_mask"))
+
+
 def predict_column(
     feature: Column | str,
     predictor: Predictor,
@@ -119,12 +150,7 @@ def bayes_predictor(spark: SparkSession, model: BayesModel) -> Predictor:
     The model's size is checked before it is fetched; a larger one is scored
     with ``score_bayes``, which joins instead.
     """
-    if model.size_bytes > MAX_MODEL_BYTES:
-        raise ValueError(f"{model.size_bytes} bytes of weights are too many to ship; use score_bayes")
-    table = model.weights(spark).select("token", "w").toArrow()
-    known = table["token"].combine_chunks()
-    matrix = pc.list_flatten(table["w"]).to_numpy().reshape(-1, model.num_labels)
-    prior = matrix[known.index(TEXT_MARK).as_py()].astype(np.float64)
+    known, matrix, prior = _fetched(spark, model)
     # One more row, of zeros, for unknown tokens.
     weight = np.vstack([matrix, np.zeros_like(matrix[:1])]).astype(np.float64)
     shared = spark.sparkContext.broadcast((known, weight, prior))
@@ -142,6 +168,40 @@ def bayes_predictor(spark: SparkSession, model: BayesModel) -> Predictor:
     return batch_model(make_predict_fn, prepare=normalized_text)
 
 
+def _fetched(spark: SparkSession, model: BayesModel) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(tokens, their weights, prior) of a model whose size is checked first."""
+    if model.size_bytes > MAX_MODEL_BYTES:
+        raise ValueError(f"{model.size_bytes} bytes of weights are too many to ship; use score_bayes")
+    table = model.weights(spark).select("token", "w").toArrow()
+    known = table["token"].combine_chunks()
+    matrix = pc.list_flatten(table["w"]).to_numpy().reshape(-1, model.num_labels)
+    return known, matrix, matrix[known.index(TEXT_MARK).as_py()].astype(np.float64)
+
+
+def bayes_encoded_predictor(spark: SparkSession, model: BayesModel, max_length: int) -> Predictor:
+    """A predictor over encoded texts from a model that was fitted on their used ids."""
+    known, matrix, prior = _fetched(spark, model)
+    names = known.to_pylist()
+    ids = np.array([-1 if name == TEXT_MARK else int(name) for name in names], np.int64)
+    # The last row, of zeros, is for ids that training never saw and for what the mask hides.
+    weight = np.zeros((max(ids.max(initial=0), 0) + 2, model.num_labels))
+    weight[ids[ids >= 0]] = matrix[ids >= 0]
+    shared = spark.sparkContext.broadcast((weight, prior))
+
+    def make_predict_fn():
+        weight, prior = shared.value
+
+        def predict(input_ids: np.ndarray, attention_mask: np.ndarray) -> np.ndarray:
+            none = len(weight) - 1
+            at = np.where(attention_mask == 1, np.minimum(input_ids, none), none).astype(np.int64)
+            logits = np.column_stack([weight[:, c][at].sum(axis=1) + prior[c] for c in range(weight.shape[1])])
+            return stable_softmax(logits / MICRO).astype(np.float32)
+
+        return predict
+
+    return encoded_model(make_predict_fn, max_length)
+
+
 def _bayes_chunk(texts: np.ndarray, known: pa.Array, weight: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Class probabilities of normalized texts."""
     words = pc.split_pattern(pa.array(texts, pa.string()), " ")

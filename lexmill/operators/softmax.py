@@ -26,8 +26,6 @@ from lexmill.operators.scoring import PROBABILITIES, Predictor, score, stable_so
 from lexmill.session import delete_path, shared_dir
 
 MAX_WEIGHTS = 16_000_000
-# Rows a worker takes from Arrow at a time; mini-batches are cut from these.
-ARROW_ROWS = 2_000
 
 
 def hashed_tokens(text: Column | str, bits: int, max_token_length: int = -1) -> Column:
@@ -131,7 +129,7 @@ def _epoch_task(shared, batch_size: int, rate: float, decay: float, max_steps: i
 
 
 def _run_epoch(rows: DataFrame, model: SoftmaxModel, batch_size: int, rate: float, decay: float, max_steps: int | None):
-    """(averaged weights, mean loss, steps) after one pass over the training rows."""
+    """(averaged weights, mean loss, steps of all workers) after one pass over the training rows."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model.weights)
     task = _epoch_task(shared, batch_size, rate, decay, max_steps)
@@ -141,7 +139,7 @@ def _run_epoch(rows: DataFrame, model: SoftmaxModel, batch_size: int, rate: floa
     k = model.num_labels
     mean = [(F.sum(F.col("w")[c] * F.col("n")) / F.sum("n")).alias(f"w{c}") for c in range(k)]
     merged = pieces.groupBy("feature").agg(
-        *mean, F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.max("steps").alias("steps")
+        *mean, F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("steps").alias("steps")
     )
     table = merged.toPandas().sort_values("feature")
     shared.destroy()
@@ -223,22 +221,27 @@ def fit_softmax(
     max_token_length: int = -1,
     metric: str = "f1",
     save_total_limit: int = 10,
+    eval_steps: int | None = None,
 ) -> tuple[SoftmaxModel, TrainingState]:
-    """Train, evaluate once per epoch, keep checkpoints, return the best one.
+    """Train, evaluate once per epoch or about every ``eval_steps`` steps, keep checkpoints, return the best one.
 
     ``lazy=False`` hashes the texts once into reliable checkpoint files, spread
     evenly by ``row_key`` (which must identify the row), and visits training rows
     in a new seeded order each epoch. ``lazy=True`` reads the table anew each
     epoch, in file order, as it is partitioned, whatever its size.
-    ``max_steps`` bounds the steps per worker over all epochs; ``parallelism`` is
-    the number of workers. ``weight_decay`` shrinks the weights once per epoch.
+    ``max_steps`` bounds the steps over all epochs, counted as those of all workers
+    together divided by ``parallelism``, their number: a worker with many rows uses
+    its own share and that of idle ones, not everyone's. In the last pass every
+    partition may take an equal part of what is left. ``weight_decay`` shrinks the
+    weights once per epoch. With ``eval_steps`` an epoch falls into rounds by a
+    hash of the row key; each is merged, evaluated and saved under its number like
+    an epoch.
     """
     spark = train.sparkSession
     if (2**bits + 1) * num_labels > MAX_WEIGHTS:
         raise ValueError(f"(2**bits + 1) * num_labels may be at most {MAX_WEIGHTS}")
     workers = parallelism or spark.sparkContext.defaultParallelism
 
-
     def features(df: DataFrame) -> DataFrame:
         labelled = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(row_key, text, label)
         return labelled.select(
@@ -254,31 +257,44 @@ def fit_softmax(
         rows = features(train).repartition(workers, "row_key").checkpoint()
         held_out = features(test).checkpoint()
 
+    partitions = rows.rdd.getNumPartitions() if max_steps is not None else workers
+    parts = 1
+    if eval_steps:
+        steps_per_epoch = -(-rows.count() // (batch_size * workers))
+        parts = max(1, -(-steps_per_epoch // eval_steps))
+    decay = weight_decay if parts == 1 else 1.0 - (1.0 - weight_decay) ** (1.0 / parts)
+
     model = SoftmaxModel(np.zeros((2**bits + 1, num_labels)), bits, max_token_length)
     best = model
     state = TrainingState(path)
     no_features = F.array().cast("array<int>")
     started, loss_sum = time.time(), 0.0
     metric_of: dict[int, float] = {}
-    for epoch in range(1, epochs + 1):
+    for epoch in range(1, epochs * parts + 1):
         left = None if max_steps is None else max_steps - state.global_step
         if left is not None and left <= 0:
             break
-        order = F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("row_key").cast("string")))
-        visited = rows if lazy else rows.sortWithinPartitions(order)
-        weights, loss, steps = _run_epoch(visited, model, batch_size, learning_rate, weight_decay, left)
+        each = None if left is None else -(-left * workers // max(1, partitions))
+        whole, part = divmod(epoch - 1, parts)
+        order = F.md5(F.concat_ws(":", F.lit(seed), F.lit(whole + 1), F.col("row_key").cast("string")))
+        visited = rows if parts == 1 else rows.where(F.pmod(F.xxhash64(order), F.lit(parts)) == part)
+        visited = visited if lazy else visited.sortWithinPartitions(order)
+        weights, loss, steps = _run_epoch(visited, model, batch_size, learning_rate, decay, each)
         if steps == 0:
+            if parts > 1:
+                continue
             break
         model = SoftmaxModel(weights, bits, max_token_length)
-        state.global_step += steps
+        state.global_step += -(-steps // workers)
         loss_sum += loss
-        found = evaluate(score(held_out, softmax_predictor(spark, model, hashed=True), "features", empty=no_features))
-        state.log_history.append({"step": state.global_step, "epoch": float(epoch), "loss": loss})
+        scored = score(held_out, softmax_predictor(spark, model, hashed=True), "features", empty=no_features)
+        found = evaluate(scored, loss=-F.log(F.greatest(F.get("probabilities", F.col("label")), F.lit(1e-30))))
+        state.log_history.append({"step": state.global_step, "epoch": epoch / parts, "loss": loss})
         state.log_history.append(
             {
                 "step": state.global_step,
-                "epoch": float(epoch),
-                **{f"eval_{m}": found[m] for m in ("f1", "precision", "recall")},
+                "epoch": epoch / parts,
+                **{f"eval_{m}": found[m] for m in ("f1", "precision", "recall", "loss")},
             }
         )
         metric_of[epoch] = found[metric]
@@ -295,7 +311,7 @@ def fit_softmax(
     state.log_history.append(
         {
             "step": state.global_step,
-            "epoch": float(done),
+            "epoch": done / parts,
             "train_runtime": time.time() - started,
             "train_loss": loss_sum / max(done, 1),
         }

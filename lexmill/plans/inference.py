@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.config import ScoringJob
+from lexmill.functions import first_tokens
 from lexmill.operators.bayes import load_bayes
+from lexmill.operators.encode import SPECIAL_TOKENS_PER_TEXT
 from lexmill.operators.runs import RunStore
 from lexmill.operators.scoring import Predictor, bayes_predictor, score
 from lexmill.operators.softmax import load_softmax, softmax_predictor
@@ -19,7 +21,11 @@ def load_predictor(spark: SparkSession, store: RunStore, run_id: str) -> Predict
         raise LookupError(f"no run {run_id!r}")
     path = store.model_path(run_id)
     if row["params"]["model_type"] == "bayes":
-        return bayes_predictor(spark, load_bayes(spark, path))
+        predictor = bayes_predictor(spark, load_bayes(spark, path))
+        length = int(row["params"]["max_token_length"])
+        if length == -1:
+            return predictor
+        return lambda column, size: predictor(first_tokens(column, length - SPECIAL_TOKENS_PER_TEXT), size)
     return softmax_predictor(spark, load_softmax(spark, f"{path}/best", 0))
 
 

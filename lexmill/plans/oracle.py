@@ -5,7 +5,16 @@ Shared pieces are common table expressions, put together as text.
 
 from __future__ import annotations
 
-from lexmill.plans.queries import ENCODE_VOCAB, LANGS, LOG_METRICS, MAX_LENGTH, ROLES, SWEEP_SIZES, VOCAB_SIZE
+from lexmill.plans.queries import (
+    ENCODE_VOCAB,
+    LANGS,
+    LOG_METRICS,
+    MAX_LENGTH,
+    PART_SIZES,
+    ROLES,
+    SWEEP_SIZES,
+    VOCAB_SIZE,
+)
 
 
 def _tokens(text: str) -> str:
@@ -50,8 +59,8 @@ def _judged(label: str) -> str:
     return f"docs AS (SELECT doc_id, text, {label} AS label FROM documents JOIN labels USING (doc_id))"
 
 
-def _bayes(k: int, max_vocab: int | None = None) -> str:
-    """CTEs from ``docs``: sides, dense counts, stats, prior ``b`` and weights ``weights(token, n, w)``."""
+def _bayes(k: int, max_vocab: int | None = None, text: str = "text", key: str = "text") -> str:
+    """CTEs from ``docs``: sides by ``key``, dense counts, stats, prior ``b`` and weights ``weights(token, n, w)``."""
     counts = ", ".join(f"count(*) FILTER (label = {c})" for c in range(k))
     limit = f"ORDER BY n DESC, token LIMIT {max_vocab}" if max_vocab else ""
     tokens_of = ", ".join(f"sum(by_class[{c}])" for c in range(1, k + 1))
@@ -66,8 +75,8 @@ def _bayes(k: int, max_vocab: int | None = None) -> str:
         for c in range(1, k + 1)
     )
     return f"""
-sides AS (SELECT *, {_split('text')} AS split FROM docs),
-train_tokens AS (SELECT label, unnest({_tokens('text')}) AS token FROM sides WHERE split = 'train'),
+sides AS (SELECT *, {_split(key)} AS split FROM docs),
+train_tokens AS (SELECT label, unnest({_tokens(text)}) AS token FROM sides WHERE split = 'train'),
 dense AS (SELECT token, count(*) AS n, [{counts}] AS by_class FROM train_tokens GROUP BY token {limit}),
 stats AS (SELECT [{tokens_of}] AS class_tokens, count(*) AS vocab_size FROM dense),
 texts AS (SELECT [{texts_of}] AS docs_of, count(*) AS total FROM sides WHERE split = 'train'),
@@ -149,6 +158,15 @@ encoded AS (SELECT {key},
   {used} AS used FROM cut LEFT JOIN found USING ({key}))"""
 
 
+TRAIN_VOCAB = VOCAB.replace("FROM documents", f"FROM documents WHERE {_split('text')} = 'train'") % ENCODE_VOCAB
+ENCODED = f"{TRAIN_VOCAB},{_encoded(str(MAX_LENGTH))}"
+ENCODED_SCORES = f"""WITH {ENCODED},
+docs AS (SELECT doc_id, text, {_class('lang', LANGS)} AS label, array_to_string(input_ids[1:used], ' ') AS ids
+  FROM documents JOIN encoded USING (doc_id)),{_bayes(K, text='ids')},{_logits(K, 'doc_id', text='ids')},
+probs AS (SELECT doc_id, {_probabilities(4)} AS probabilities FROM logits)"""
+PARTS = "docs AS (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS text, p_size - 1 AS label FROM part)"
+
+
 def oracle_sql() -> dict[str, str]:
     probabilities = _probabilities(4)
     udf_scored = f"""WITH {BAYES_TOP},{_logits(K, 'doc_id')},
@@ -214,6 +232,31 @@ CAST(greatest(1, floor(floor(10 * n / 256) / 10)) AS BIGINT) AS eval_every FROM
 SELECT doc_id, input_ids, attention_mask FROM encoded""",
         "encode_batched": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH))}
 SELECT doc_id, lang, input_ids, attention_mask FROM encoded JOIN documents USING (doc_id)""",
+        "encode_training_rows": f"""WITH {ENCODED}
+SELECT doc_id, input_ids, attention_mask, {_class('lang', LANGS)} AS label, {_split('text')} AS split
+FROM encoded JOIN documents USING (doc_id)""",
+        "score_encoded": f"""{ENCODED_SCORES}
+SELECT doc_id, label, probabilities, {_decode('probabilities')} AS predicted_class FROM probs JOIN sides USING (doc_id)""",
+        **{
+            name: f"""{ENCODED_SCORES}
+SELECT doc_id, text, probabilities, {_decode('probabilities')} AS predicted_class FROM probs JOIN sides USING (doc_id)"""
+            for name in ("score_encoding_batch", "score_encoding_udf")
+        },
+        "many_classes": f"""WITH {PARTS},{_bayes(PART_SIZES, key='p_partkey')},{_predicted(PART_SIZES, 'p_partkey')}
+SELECT p_partkey, label, predicted_class FROM predicted""",
+        "catalog_table": f"WITH {DOCS} SELECT doc_id, label FROM docs UNION ALL SELECT doc_id, label FROM docs",
+        "scoring_job_udf": f"""{udf_scored},
+once AS (SELECT text, probabilities, list_max(probabilities) AS predicted_probability,
+{_decode('probabilities')} AS predicted_class FROM probs JOIN sides USING (doc_id))
+SELECT * FROM once UNION ALL SELECT * FROM once""",
+        "softmax_quality": f"""WITH {DOCS}, sides AS (SELECT *, {_split('text')} AS split FROM docs)
+SELECT count(*) AS n_rows, true AS beats_majority, count(*) AS n_ids FROM sides WHERE split = 'test'""",
+        "epoch_log_shape": """SELECT CAST(7 AS BIGINT) AS n_entries, CAST(3 AS BIGINT) AS n_evaluations,
+CAST(3 AS BIGINT) AS n_losses, CAST(3 AS BIGINT) AS n_epochs, true AS steps_rise, true AS runtime_last, true AS runtime_once""",
+        "step_evaluations": "SELECT CAST(6 AS BIGINT) AS n_evaluations, CAST(2 AS DOUBLE) AS epochs",
+        "step_budget": f"""WITH {DOCS}, sides AS (SELECT *, {_split('text')} AS split FROM docs)
+SELECT CAST(floor(4 * count(*) / 32) AS BIGINT) AS max_steps, CAST(4 AS BIGINT) AS n_evaluations, true AS spent
+FROM sides WHERE split = 'train'""",
         "encode_pages": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH), 'pages', 'page_id', 'html')}
 SELECT page_id, input_ids, attention_mask FROM encoded""",
         "encode_full_length": f"""WITH {VOCAB % ENCODE_VOCAB},

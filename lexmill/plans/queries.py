@@ -7,6 +7,7 @@ rows, so that all work grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -51,6 +52,7 @@ VOCAB_SIZE = 30_000
 MAX_LENGTH = 40
 ENCODE_VOCAB = encode.MAX_VOCAB
 SOFTMAX_BATCH = 16
+PART_SIZES = 50
 SWEEP_SIZES = (1_000, VOCAB_SIZE)
 LOG_METRICS = ("eval_f1", "eval_recall")
 
@@ -344,6 +346,19 @@ def encode_batched(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", "lang", "input_ids", "attention_mask")
 
 
+def _encoded_sides(spark: SparkSession, sf: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """A vocabulary of the train side, and both sides encoded with their integer label."""
+    train, test = prepare.split_pair(documents(spark, sf), "text")
+    vocab = encode.load_vocab(encode.build_vocab(train, size=ENCODE_VOCAB))
+    return vocab, *(encode.training_rows(side, vocab, max_length=MAX_LENGTH, keep=["doc_id"]) for side in (train, test))
+
+
+def encode_training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What a model is trained and measured on: ids, mask and label of both sides."""
+    _, train, test = _encoded_sides(spark, sf)
+    return prepare.pair_splits(train, test)
+
+
 def encode_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Raw pages, encoded with a vocabulary of other texts."""
     vocab = encode.build_vocab(table(spark, sf, "documents"), size=ENCODE_VOCAB)
@@ -411,6 +426,51 @@ def score_null_literal(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "probabilities", "predicted_class")
 
 
+def _encoded_model(spark: SparkSession, sf: str) -> tuple[list[str], scoring.Predictor, DataFrame]:
+    """A vocabulary, a model that was trained on encoded rows, and the encoded test side."""
+    vocab, train, test = _encoded_sides(spark, sf)
+    rows = train.select(encode.used_ids().alias("used"), "label")
+    model = bayes.fit_bayes(rows, scratch_path(spark, "encoded-model"), len(LANGS), text="used")
+    return vocab, scoring.bayes_encoded_predictor(spark, model, MAX_LENGTH), test
+
+
+def score_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode, train on the ids, score ids and masks."""
+    _, predictor, test = _encoded_model(spark, sf)
+    rows = test.withColumn(
+        "encoded", F.when(F.col("input_ids").isNotNull(), F.struct("input_ids", "attention_mask"))
+    ).drop("input_ids", "attention_mask")
+    scored = scoring.score(rows, predictor, "encoded", decimals=4, empty=scoring.empty_encoding(MAX_LENGTH))
+    return scored.select("doc_id", "label", "probabilities", "predicted_class")
+
+
+def _score_raw(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    vocab, predictor, _ = _encoded_model(spark, sf)
+    _, test = prepare.split_pair(documents(spark, sf), "text")
+    whole = scoring.encoding_predictor(spark, vocab, predictor, MAX_LENGTH)
+    return scoring.score(test, whole, "text", mode=mode, keep="all", decimals=4)
+
+
+def score_encoding_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw texts, encoded inside batch scoring."""
+    return _score_raw(spark, sf, "batch").select("doc_id", "text", "probabilities", "predicted_class")
+
+
+def score_encoding_udf(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw texts, encoded inside the function that scores."""
+    return _score_raw(spark, sf, "udf").select("doc_id", "text", "probabilities", "predicted_class")
+
+
+def many_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Part descriptions in 50 classes, fitted on one side and predicted on the other."""
+    words = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    rows = table(spark, sf, "part").select("p_partkey", words.alias("text"), (F.col("p_size") - 1).alias("label"))
+    train, test = prepare.split_pair(rows, F.col("p_partkey"))
+    model = bayes.fit_bayes(train, scratch_path(spark, "many-classes"), PART_SIZES)
+    logits = bayes.bayes_logits(test, model, "p_partkey", carry=["label"])
+    return logits.select("p_partkey", "label", argmax("logits").alias("predicted_class"))
+
+
 def score_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """A user model on dense vectors: nearest class centroid."""
     vectors = table(spark, sf, "embeddings")
@@ -428,8 +488,8 @@ def score_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return row.select(_six("f1", "f1"), _six("precision", "precision"), _six("recall", "recall"), "n_rows")
 
 
-def scoring_job(spark: SparkSession, sf: str) -> DataFrame:
-    """Train, register, promote, score a table by stage, read the written predictions."""
+def _promoted(spark: SparkSession, sf: str) -> tuple[runs.RunStore, dict[str, str]]:
+    """A run that is trained, registered and promoted, and the parameters of a job that scores the test side."""
     train, test = prepare.split_pair(documents(spark, sf), "text")
     store = runs.RunStore(spark, scratch_path(spark, "store"))
     config = TrainingConfig(model_type="bayes", num_labels=len(LANGS))
@@ -437,18 +497,36 @@ def scoring_job(spark: SparkSession, sf: str) -> DataFrame:
     store.move("language", store.register("language", run_id), "Production")
     source = scratch_path(spark, "job-input")
     write_table(test, source)
-    job = ScoringJob.from_params(
-        {
-            "model_name": "language",
-            "input_table": source,
-            "output_table": scratch_path(spark, "job-output"),
-            "batch_inference": "True",
-            "batch_size": "2000",
-        }
-    )
+    names = {"model_name": "language", "input_table": source, "output_table": scratch_path(spark, "job-output")}
+    return store, {**names, "batch_size": "2000"}
+
+
+def scoring_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Train, register, promote, score a table by stage, read the written predictions."""
+    store, params = _promoted(spark, sf)
+    job = ScoringJob.from_params({**params, "batch_inference": "True"})
     return run_scoring(spark, job, store).select("doc_id", "label", "predicted_class")
 
 
+def scoring_job_udf(spark: SparkSession, sf: str) -> DataFrame:
+    """The job in its other mode, run twice, the second one appending."""
+    store, params = _promoted(spark, sf)
+    params |= {"batch_inference": "False", "df_repartition_num": "5", "write_mode": "append"}
+    for _ in range(2):
+        written = run_scoring(spark, ScoringJob.from_params(params), store)
+    return written
+
+
+def catalog_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A managed table, overwritten, appended to and read by name."""
+    name = f"lexmill_{uuid.uuid4().hex}"
+    docs = documents(spark, sf).select("doc_id", "label")
+    write_table(docs, name)
+    write_table(docs, name)
+    write_table(docs, name, mode="append")
+    return read_table(spark, name)
+
+
 def _softmax_run(spark: SparkSession, sf: str, **options):
     train, test = prepare.split_pair(documents(spark, sf), "text")
     path = scratch_path(spark, "softmax")
@@ -469,6 +547,55 @@ def epoch_log(spark: SparkSession, sf: str) -> DataFrame:
     return log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
 
 
+def softmax_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of every run: each test row is predicted once, and better than by the largest class."""
+    scored = softmax_fit_predict(spark, sf)
+    found = metrics.weighted_metrics(metrics.confusion_matrix(scored))
+    n_ids = scored.agg(F.count_distinct("doc_id")).scalar()
+    return found.select("n_rows", (F.col("f1") > F.col("majority_f1")).alias("beats_majority"), n_ids.alias("n_ids"))
+
+
+def epoch_log_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of every log: two entries an epoch, one of them an evaluation with its loss, rising steps, runtime last."""
+    _, _, state = _softmax_run(spark, sf, epochs=3, parallelism=4)
+    log = log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
+    last = F.max_by("train_runtime", "pos")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))), lambda e: e["step"])  # seven entries
+    return log.agg(
+        F.count(F.lit(1)).alias("n_entries"),
+        F.count("eval_f1").alias("n_evaluations"),
+        F.count("eval_loss").alias("n_losses"),
+        F.count_distinct(F.when(F.col("eval_f1").isNotNull(), F.col("epoch"))).alias("n_epochs"),
+        (F.array_sort(steps) == steps).alias("steps_rise"),
+        (last > 0).alias("runtime_last"),
+        (F.count("train_runtime") == 1).alias("runtime_once"),
+    )
+
+
+def step_evaluations(spark: SparkSession, sf: str) -> DataFrame:
+    """A run evaluated a number of times an epoch, by steps."""
+    train, _ = prepare.split_pair(documents(spark, sf), "text")
+    per_epoch = -(-train.count() // (SOFTMAX_BATCH * 2))
+    _, _, state = _softmax_run(spark, sf, epochs=2, parallelism=2, eval_steps=-(-per_epoch // 3))
+    log = log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
+    return log.agg(F.count("eval_f1").alias("n_evaluations"), F.max("epoch").alias("epochs"))
+
+
+def step_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over one partition that two workers' steps are planned for: it is as long as planned."""
+    train, test = prepare.split_pair(documents(spark, sf), "text")
+    plan = prepare.step_plan(train, SOFTMAX_BATCH, epochs=4, parallelism=2).first()["max_steps"]
+    path = scratch_path(spark, "softmax")
+    options = {"batch_size": SOFTMAX_BATCH, "epochs": 4, "parallelism": 2, "lazy": True, "max_steps": plan}
+    _, state = fit_softmax(train.coalesce(1), test, path, len(LANGS), "doc_id", **options)
+    log = log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
+    return log.agg(
+        F.lit(plan).cast("bigint").alias("max_steps"),
+        F.count("eval_f1").alias("n_evaluations"),
+        (F.abs(F.max("step") - F.lit(plan)) <= 1).alias("spent"),
+    )
+
+
 def sweep_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     train, test = prepare.split_pair(documents(spark, sf), "text")
     store = runs.RunStore(spark, scratch_path(spark, "sweep"))
@@ -623,6 +750,7 @@ QUERIES: dict[str, Query] = {
     "build_vocab": build_vocab,
     "encode_text": encode_text,
     "encode_batched": encode_batched,
+    "encode_training_rows": encode_training_rows,
     "encode_pages": encode_pages,
     "encode_full_length": encode_full_length,
     "token_length_profile": token_length_profile,
@@ -632,11 +760,21 @@ QUERIES: dict[str, Query] = {
     "score_udf": score_udf,
     "score_unlabelled": score_unlabelled,
     "score_null_literal": score_null_literal,
+    "score_encoded": score_encoded,
+    "score_encoding_batch": score_encoding_batch,
+    "score_encoding_udf": score_encoding_udf,
+    "many_classes": many_classes,
     "score_vectors": score_vectors,
     "score_and_evaluate": score_and_evaluate,
     "scoring_job": scoring_job,
+    "scoring_job_udf": scoring_job_udf,
+    "catalog_table": catalog_table,
     "softmax_fit_predict": softmax_fit_predict,
     "epoch_log": epoch_log,
+    "softmax_quality": softmax_quality,
+    "epoch_log_shape": epoch_log_shape,
+    "step_evaluations": step_evaluations,
+    "step_budget": step_budget,
     "sweep_leaderboard": sweep_leaderboard,
     "confusion_matrix": confusion_matrix,
     "per_class_metrics": per_class_metrics,

@@ -12,15 +12,16 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.config import TrainingConfig
-from lexmill.functions import argmax, negative_log_likelihood
+from lexmill.functions import argmax, first_tokens, negative_log_likelihood
 from lexmill.operators.bayes import MICRO, bayes_logits, fit_bayes
+from lexmill.operators.encode import SPECIAL_TOKENS_PER_TEXT
 from lexmill.operators.metrics import evaluate
 from lexmill.operators.prepare import require_valid_labels, select_configured, step_plan
 from lexmill.operators.runs import RunStore, best_metrics
 from lexmill.operators.softmax import fit_softmax, save_checkpoint, TrainingState
 from lexmill.sources import input_example, log_history, read_log_history, read_table, write_table
 
-EVAL_METRICS = ("eval_f1", "eval_precision", "eval_recall")
+EVAL_METRICS = ("eval_f1", "eval_precision", "eval_recall", "eval_loss")
 
 
 def run_training(
@@ -63,6 +64,9 @@ def run_training(
 
 
 def _run_bayes(spark, config: TrainingConfig, train: DataFrame, test: DataFrame, path: str, workers: int):
+    if config.max_token_length != -1:
+        cut = first_tokens("text", config.max_token_length - SPECIAL_TOKENS_PER_TEXT)
+        train, test = train.withColumn("text", cut), test.withColumn("text", cut)
     started = time.time()
     model = fit_bayes(train, path, config.num_labels, max_vocab=config.max_vocab)
     runtime = time.time() - started
@@ -93,6 +97,7 @@ def _run_softmax(spark, config: TrainingConfig, train: DataFrame, test: DataFram
         parallelism=workers,
         lazy=config.streaming_read,
         max_steps=max_steps,
+        eval_steps=config.eval_steps,
         max_token_length=config.max_token_length,
         metric=config.metric_for_best_model,
         save_total_limit=config.save_total_limit,

@@ -64,3 +64,15 @@ def test_labels_are_checked_before_training(spark, split, store):
 def test_scratch_paths_are_fresh_and_below_the_shared_folder(spark):
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one != two and one.startswith(shared_dir(spark))
+
+
+def test_count_based_model_honours_the_token_length(spark, store, tmp_path):
+    rows = [(i, ("red " if i % 2 else "blue ") + "filler " * 5 + ("blue " if i % 2 else "red ") * 4, i % 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    config = TrainingConfig(model_type="bayes", num_labels=2, max_token_length=3, experiment_location="short")
+    run_id = run_training(spark, config, store, frame, frame)
+    assert store.runs().where(f"run_id = '{run_id}'").first()["metrics"]["eval_f1"] == 1.0
+    store.move("short", store.register("short", run_id), "Production")
+    frame.write.parquet(str(tmp_path / "in"))
+    job = ScoringJob("short", str(tmp_path / "in"), str(tmp_path / "out"))
+    assert run_scoring(spark, job, store).where("label <> predicted_class").count() == 0

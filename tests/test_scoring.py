@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.config import ScoringJob
-from lexmill.operators.scoring import batch_model, bayes_predictor, score
+from lexmill.operators import encode
+from lexmill.operators.scoring import batch_model, bayes_predictor, empty_encoding, encoded_model, encoding_predictor, score
 
 TEXTS = [(1, "aa"), (2, None), (3, "bbbb"), (4, "")]
 
@@ -93,3 +94,29 @@ def test_probabilities_sum_to_one(spark, split, model):
     for mode, slack in (("batch", 1e-5), ("udf", 4 * 5e-5)):
         sums = [sum(r["probabilities"]) for r in score(split[1], predictor, mode=mode).collect()]
         assert max(abs(s - 1) for s in sums) <= slack
+
+
+def by_mask():
+    """A user model over encoded texts: two classes, by the number of used places and the sum of the ids."""
+
+    def make_predict_fn():
+        def predict(input_ids, attention_mask):
+            used = attention_mask.sum(axis=1)
+            return np.column_stack([used, (input_ids * attention_mask).sum(axis=1)]).astype(np.float32)
+
+        return predict
+
+    return encoded_model(make_predict_fn, 6)
+
+
+@pytest.mark.parametrize("mode", ["batch", "udf"])
+def test_encoding_inside_scoring_equals_encoding_before(spark, mode):
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "zzz a a a a a a")], "id int, text string")
+    vocab = ["a", "b"]
+    inside = score(rows, encoding_predictor(spark, vocab, by_mask(), 6), mode=mode, keep="all")
+    encoded = encode.encode_batched(rows, vocab, max_length=6)
+    pair = F.when(F.col("input_ids").isNotNull(), F.struct("input_ids", "attention_mask"))
+    before = score(encoded.withColumn("pair", pair), by_mask(), "pair", mode=mode, keep="all", empty=empty_encoding(6))
+    want = {1: [4.0, 2 + 4 + 5 + 3], 2: None, 3: [2.0, 5.0], 4: [6.0, 2 + 1 + 4 + 4 + 4 + 3]}
+    for scored in (inside, before):
+        assert {r["id"]: r["probabilities"] for r in scored.collect()} == want

@@ -57,6 +57,26 @@ def test_lazy_run_stops_at_its_step_budget(spark, split, tmp_path):
     assert state.global_step == 20
 
 
+def test_one_large_partition_gets_the_steps_of_idle_workers(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"w{i % 7} x{i % 3}", i % 2) for i in range(1100)], "doc_id long, text string, label int")
+    _, state = fit_softmax(
+        rows.coalesce(1), rows, str(tmp_path), 2, "doc_id", batch_size=10, epochs=10, parallelism=2, lazy=True, max_steps=550
+    )
+    assert state.global_step == 550
+    assert len([e for e in state.log_history if "eval_f1" in e]) == 10
+
+
+def test_evaluates_by_steps(split, tmp_path):
+    n = split[0].count()
+    steps = -(-n // 16)  # two workers of eight rows
+    _, state = fit_softmax(
+        *split, str(tmp_path), 4, "doc_id", batch_size=8, epochs=2, parallelism=2, eval_steps=-(-steps // 2)
+    )
+    evaluations = [e for e in state.log_history if "eval_f1" in e]
+    assert [e["epoch"] for e in evaluations] == [0.5, 1.0, 1.5, 2.0]
+    assert all(e["eval_loss"] > 0 for e in evaluations)
+
+
 def test_weights_are_bounded(split, tmp_path):
     with pytest.raises(ValueError, match="at most"):
         fit_softmax(*split, str(tmp_path), 4, "doc_id", bits=24)
