@@ -24,6 +24,8 @@ from lexmill.llm.shared import kept, row_key, whole_text
 
 WINDOW = 50
 MEMO_WORDS, MEMO_CHARS = 500_000, 64
+#: Keys with more than one in this many rows are joined by broadcast; there are fewer than this many such keys.
+HOT_PARTS = 1_000
 #: Odd multipliers of the two rolling hashes (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -174,6 +176,17 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(compute, schema)
 
 
+def _meet(rows: DataFrame, found: DataFrame, key: list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``found``, a written table that has each key once with the number ``n`` of its rows.
+
+    ``total`` is at least the number of rows. A key of more than its HOT_PARTS-th part stays where its rows
+    are; there are fewer than HOT_PARTS of them, whatever the size. The others are shuffled.
+    """
+    is_hot = F.col("n") * HOT_PARTS > total
+    hot, rest = F.broadcast(found.where(is_hot).drop("n")), found.where(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
 def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, row_key, n_words, n_removed, kept_sha256 (and kept_text, null if nothing goes) of every row.
 
@@ -191,12 +204,14 @@ def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False) ->
     )
     originals = judged.where("doc_id = first_id").dropDuplicates(["doc_id", "row_key"])
     marks = originals.select("doc_id", "row_key", F.explode("landmarks").alias("mark"))
-    repeated = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    found = marks.join(repeated.select("mark"), "mark")
+    spans = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    repeated = kept(marks.groupBy("mark").agg(*spans).where("low < high").select("mark", "n"), "substring-marks")
+    n_marks = judged.agg(F.coalesce(F.sum(F.size("landmarks")), F.lit(0))).first()[0]
+    found = _meet(marks, repeated, ["mark"], n_marks)
     wanted = found.groupBy("doc_id", "row_key").agg(F.collect_list("mark").alias("landmarks"))
     windows = kept(_windows(_keyed(docs).join(wanted, ["doc_id", "row_key"]), window), "substring-windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    covered = windows.join(least, ["h1", "h2"]).where("doc_id > low")
+    least = kept(windows.groupBy("h1", "h2").agg(*spans).where("low < high").drop("high"), "substring-least")
+    covered = _meet(windows, least, ["h1", "h2"], windows.count()).where("doc_id > low")
     # Repeated rows share a key: a set, so that their starts count once.
     starts = covered.groupBy("doc_id", "row_key").agg(F.collect_set("start").alias("starts"))
     cut = _cut(_keyed(docs).join(starts, ["doc_id", "row_key"]), window).dropDuplicates(["doc_id", "row_key"])
