@@ -198,10 +198,9 @@ def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False) ->
     rows = kept(_profiles(docs, window), "substring-rows")
     long_rows = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     # A row whose words are all those of a smaller id loses every word and names no first window.
-    first = long_rows.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"))
-    judged = kept(
-        long_rows.join(first, "words_sha256").select("doc_id", "row_key", "first_id", "landmarks"), "substring-firsts"
-    )
+    groups = long_rows.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    firsts = _meet(long_rows, kept(groups, "substring-groups"), ["words_sha256"], long_rows.count())
+    judged = kept(firsts.select("doc_id", "row_key", "first_id", "landmarks"), "substring-firsts")
     originals = judged.where("doc_id = first_id").dropDuplicates(["doc_id", "row_key"])
     marks = originals.select("doc_id", "row_key", F.explode("landmarks").alias("mark"))
     spans = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
