@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 
 from lexmill.functions import decode, round_half_even, softmax, tokens
 from lexmill.operators.encode import top_tokens
-from lexmill.operators.prepare import spread_small
 
 MICRO = 1_000_000
 TEXT_MARK = " "
@@ -53,7 +52,7 @@ def _marked(df: DataFrame, text: str) -> Column:
 
 def token_rows(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """(token, label), one row per token of every text and one for its mark; rows without a text are left out."""
-    rows = spread_small(df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")))
+    rows = df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     return rows.select(F.explode(_marked(rows, "text")).alias("token"), "label")
 
 
@@ -219,7 +218,7 @@ def bayes_logits(
     """
     spark, k = df.sparkSession, model.num_labels
     key = [row_key, *carry]
-    rows = spread_small(df.select(*key, F.col(text).alias("_text")))
+    rows = df.select(*key, F.col(text).alias("_text"))
     split = rows.select(*key, _marked(rows, "_text").alias("_tokens"))
     # A null text keeps one null token, which matches nothing and sums to null.
     places = split.select(*key, F.explode_outer("_tokens").alias("_token"))

@@ -9,23 +9,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions import tokens
-from lexmill.operators.prepare import spread_small
 
 # Reserved ids, in front of the vocabulary.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
 SPECIAL_TOKENS_PER_TEXT = 2
 
-# A vocabulary has at most this many entries, which bounds what Python workers load.
+# What Python workers load has at most this many entries; a join takes any vocabulary.
 MAX_VOCAB = 200_000
 
 
 def token_totals(df: DataFrame, text: str = "text") -> DataFrame:
     """How often each token occurs; hot tokens are combined before the shuffle."""
-    rows = spread_small(df.select(text))
-    return (
-        rows.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _count_cutoff(totals: DataFrame, size: int) -> Column:
@@ -51,22 +47,27 @@ def top_tokens(totals: DataFrame, size: int) -> DataFrame:
 
 
 def build_vocab(df: DataFrame, text: str = "text", size: int = 30_000) -> DataFrame:
-    """(token, n, id) for the ``size`` most frequent tokens, ids from 4 on by (n desc, token)."""
-    if not 0 < size <= MAX_VOCAB:
-        raise ValueError(f"vocabulary size must be in 1..{MAX_VOCAB}")
+    """(token, n, id) for the ``size`` most frequent tokens, ids from 4 on by (n desc, token).
+
+    One task holds ``size`` tokens at the end, whatever the size of the table.
+    """
+    if size < 1:
+        raise ValueError("vocabulary size must be 1 or more")
     top = top_tokens(token_totals(df, text), size)
     # At most `size` rows reach this window.
     place = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     return top.select("token", "n", (place + (FIRST_TOKEN_ID - 1)).cast("int").alias("id"))
 
 
-def resolve_max_length(df: DataFrame, text: str, max_length: int, model_max_length: int | None = None) -> int:
-    """The length to pad and cut to; -1 means the model's maximum, or the longest text of the table."""
+def resolve_max_length(max_length: int, model_max_length: int | None = None) -> int:
+    """The length to pad and cut to; -1 means the model's maximum, which must be given then.
+
+    It is never taken from the table: one long text would pad every row to its length.
+    """
     if max_length == -1:
-        if model_max_length:
-            return model_max_length
-        longest = spread_small(df.select(text)).agg(F.max(F.size(tokens(text)))).first()[0]
-        return (longest or 0) + SPECIAL_TOKENS_PER_TEXT
+        if not model_max_length:
+            raise ValueError("max_length -1 needs the model's maximum")
+        return model_max_length
     if max_length < SPECIAL_TOKENS_PER_TEXT:
         raise ValueError(f"max_length must be -1 or at least {SPECIAL_TOKENS_PER_TEXT}")
     return max_length
@@ -97,7 +98,7 @@ def encode(df: DataFrame, vocab: DataFrame, row_key: str, text: str = "text", ma
     """
     # A token outside the vocabulary becomes UNK; a text without tokens keeps one
     # null entry through the outer explode, which is filtered out again below.
-    rows = spread_small(df.select(row_key, text)).withColumn("_row", F.monotonically_increasing_id())
+    rows = df.select(row_key, text).withColumn("_row", F.monotonically_increasing_id())
     split = rows.select("_row", row_key, F.col(text).isNull().alias("_missing"), _body(text, max_length).alias("_tokens"))
     places = split.select("_row", row_key, "_missing", F.posexplode_outer("_tokens").alias("_pos", "_token"))
     known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
@@ -130,7 +131,7 @@ def encode_batched(df: DataFrame, vocab_tokens: list[str], text: str = "text", m
     Splitting, cutting and padding stay in the JVM; only the cut token arrays go
     through Arrow, where one vectorised lookup handles a whole batch.
     """
-    with_ids = spread_small(df).withColumn("_ids", _lookup(df.sparkSession, vocab_tokens)(_body(text, max_length)))
+    with_ids = df.withColumn("_ids", _lookup(df.sparkSession, vocab_tokens)(_body(text, max_length)))
     input_ids, mask = _frame(F.col("_ids"), max_length)
     return with_ids.withColumn("input_ids", input_ids).withColumn("attention_mask", mask).drop("_ids")
 
@@ -181,7 +182,7 @@ def token_length_profile(df: DataFrame, group: str, text: str = "text", max_leng
     Lengths are counted per (group, length) first: the exact percentiles then
     work on weighted distinct lengths, whatever the size of a group.
     """
-    lengths = spread_small(df.select(group, text)).groupBy(group, F.size(tokens(text)).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    lengths = df.groupBy(group, F.size(tokens(text)).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     cut = F.sum(F.when(F.col("length") > max_length - SPECIAL_TOKENS_PER_TEXT, F.col("n")).otherwise(0))
     return lengths.groupBy(group).agg(
         F.sum("n").alias("n_texts"),

@@ -11,7 +11,6 @@ from lexmill.functions import hash_fraction
 # Hex digits of an md5 that name a shuffle bucket: 16**4 buckets at most, which
 # bounds the one-task running total over bucket sizes to 65,536 rows.
 BUCKET_DIGITS = 4
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
 
 
 def cast_label(df: DataFrame, text: str = "text", label: str = "label", strict: bool = True) -> DataFrame:
@@ -144,29 +143,6 @@ def shuffle_rows(df: DataFrame, key: Column | str | None = None, seed: int = 123
     )
 
 
-def small_table_partitions(df: DataFrame) -> int | None:
-    """The number of cores if a table is small enough to be spread over them, else None.
-
-    The optimizer's size estimate is checked against 32 MB per core; beyond
-    that, a table has files and row groups enough for all cores.
-    """
-    if df.isStreaming or not hasattr(df, "_jdf"):
-        return None
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # py4j hands small numbers over as int, large ones as an object that prints as digits.
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return cores if estimate < cores * SPREAD_BYTES_PER_CORE else None
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Even out a small table that sits in a few large row groups over all cores.
-
-    Splitting texts is the costly part of most jobs here, and a scan cannot cut
-    below a row group. Large tables stay as they are, unshuffled.
-    """
-    return repartition_for_scoring(df, small_table_partitions(df))
-
-
 def repartition_for_scoring(df: DataFrame, n: int | None) -> DataFrame:
     """Spread rows evenly over ``n`` partitions; unset or 0 leaves the frame alone.
 

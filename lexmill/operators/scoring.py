@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from lexmill.functions import decode, normalized_text, round_half_even, stringify
 from lexmill.operators.bayes import MICRO, TEXT_MARK, BayesModel
 from lexmill.operators.encode import encoded_struct
-from lexmill.operators.prepare import repartition_for_scoring, spread_small
+from lexmill.operators.prepare import repartition_for_scoring
 
 Predictor = Callable[[Column, int], Column]
 PROBABILITIES = T.ArrayType(T.FloatType())
@@ -139,7 +139,7 @@ def score(
     if decimals is None and mode == "udf":
         decimals = UDF_DECIMALS
     source = df if keep == "all" else df.select(feature_col)
-    source = repartition_for_scoring(source, partitions) if partitions else spread_small(source)
+    source = repartition_for_scoring(source, partitions)
     probabilities = predict_column(feature_col, predictor, batch_size, null_policy, decimals, empty)
     return decode(source.withColumn("probabilities", probabilities))
 

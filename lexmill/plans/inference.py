@@ -2,45 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.config import ScoringJob
 from lexmill.functions import first_tokens
-from lexmill.operators.bayes import load_bayes
+from lexmill.operators import scoring
+from lexmill.operators.bayes import BayesModel, load_bayes, score_bayes
 from lexmill.operators.encode import SPECIAL_TOKENS_PER_TEXT
+from lexmill.operators.prepare import repartition_for_scoring
 from lexmill.operators.runs import RunStore
-from lexmill.operators.scoring import Predictor, bayes_predictor, score
+from lexmill.operators.scoring import UDF_DECIMALS, bayes_predictor, score
 from lexmill.operators.softmax import load_softmax, softmax_predictor
 from lexmill.sources import read_back, read_table, write_table
 
 
-def load_predictor(spark: SparkSession, store: RunStore, run_id: str) -> Predictor:
-    """The predictor of a logged run."""
-    row = store.runs().where(F.col("run_id") == run_id).first()
-    if row is None:
-        raise LookupError(f"no run {run_id!r}")
-    path = store.model_path(run_id)
-    if row["params"]["model_type"] == "bayes":
-        predictor = bayes_predictor(spark, load_bayes(spark, path))
-        length = int(row["params"]["max_token_length"])
-        if length == -1:
-            return predictor
-        return lambda column, size: predictor(first_tokens(column, length - SPECIAL_TOKENS_PER_TEXT), size)
-    return softmax_predictor(spark, load_softmax(spark, f"{path}/best", 0))
+def score_counted(
+    df: DataFrame,
+    model: BayesModel,
+    feature_col: str,
+    decimals: int | None = None,
+    max_token_length: int = -1,
+    batch_size: int = 1000,
+    partitions: int | None = None,
+) -> DataFrame:
+    """All columns plus the three of a prediction, by a count-based model of any size; both ways give the same.
+
+    A model that workers can hold is shipped to them: nothing is shuffled. A larger
+    one is joined to the tokens, its sums by the md5 of a text to the rows: texts
+    are shuffled once then, as each row meets sums from an unbounded table.
+    """
+    if model.size_bytes <= scoring.MAX_MODEL_BYTES:
+        shipped = bayes_predictor(df.sparkSession, model)
+
+        def predictor(column: Column, size: int) -> Column:
+            return shipped(_cut(column, max_token_length), size)
+
+        return score(df, predictor, feature_col, decimals=decimals, batch_size=batch_size, partitions=partitions)
+    body = _cut(F.col(feature_col), max_token_length)
+    named = df.select("*", F.md5(feature_col).alias("_text_md5"), body.alias("_body"))
+    named = repartition_for_scoring(named, partitions)
+    return score_bayes(named, model, "_text_md5", "_body", decimals).drop("_text_md5", "_body")
+
+
+def _cut(text: Column, max_token_length: int) -> Column:
+    return text if max_token_length == -1 else first_tokens(text, max_token_length - SPECIAL_TOKENS_PER_TEXT)
 
 
 def run_scoring(spark: SparkSession, job: ScoringJob, store: RunStore) -> DataFrame:
     """Score the job's input table with the model in its stage; returns the written table."""
     version = store.resolve(job.model_name, job.stage)
-    predictor = load_predictor(spark, store, version["run_id"])
-    scored = score(
-        read_table(spark, job.input_table, job.input_database),
-        predictor,
-        job.feature_col,
-        mode="batch" if job.batch_inference else "udf",
-        batch_size=job.batch_size,
-        partitions=None if job.batch_inference else job.df_repartition_num,
-    )
+    source = read_table(spark, job.input_table, job.input_database)
+    if not job.batch_inference:
+        source = source.select(job.feature_col)
+    decimals = None if job.batch_inference else UDF_DECIMALS
+    partitions = None if job.batch_inference else job.df_repartition_num
+    scored = _score_run(source, store, version["run_id"], job, decimals, partitions)
     target = f"{job.output_database}.{job.output_table}" if job.output_database else job.output_table
     write_table(scored, target, job.write_mode)
     return read_back(spark, target)
+
+
+def _score_run(
+    df: DataFrame, store: RunStore, run_id: str, job: ScoringJob, decimals: int | None, partitions: int | None
+) -> DataFrame:
+    """Score with the model of a logged run."""
+    spark = df.sparkSession
+    row = store.runs().where(F.col("run_id") == run_id).first()
+    if row is None:
+        raise LookupError(f"no run {run_id!r}")
+    path = store.model_path(run_id)
+    if row["params"]["model_type"] == "bayes":
+        length = int(row["params"]["max_token_length"])
+        return score_counted(df, load_bayes(spark, path), job.feature_col, decimals, length, job.batch_size, partitions)
+    predictor = softmax_predictor(spark, load_softmax(spark, f"{path}/best", 0))
+    return score(df, predictor, job.feature_col, decimals=decimals, batch_size=job.batch_size, partitions=partitions)

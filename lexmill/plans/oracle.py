@@ -10,6 +10,7 @@ from lexmill.plans.queries import (
     LANGS,
     LOG_METRICS,
     MAX_LENGTH,
+    MODEL_MAX_LENGTH,
     PART_SIZES,
     ROLES,
     SWEEP_SIZES,
@@ -260,7 +261,7 @@ FROM sides WHERE split = 'train'""",
         "encode_pages": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH), 'pages', 'page_id', 'html')}
 SELECT page_id, input_ids, attention_mask FROM encoded""",
         "encode_full_length": f"""WITH {VOCAB % ENCODE_VOCAB},
-longest AS (SELECT max(len({_tokens('text')})) + 2 AS n FROM documents),{_encoded('(SELECT n FROM longest)')}
+{_encoded(str(MODEL_MAX_LENGTH))}
 SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_ids, CAST(used AS BIGINT) AS n_used,
 md5(array_to_string(input_ids, ' ')) AS ids_md5 FROM encoded""",
         "token_length_profile": f"""WITH sizes AS (SELECT lang, CAST(len({_tokens('text')}) AS INTEGER) AS length FROM documents)

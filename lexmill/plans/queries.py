@@ -26,14 +26,14 @@ from lexmill.functions import (
 from lexmill.operators import bayes, encode, metrics, prepare, runs, scoring
 from lexmill.operators.softmax import fit_softmax, softmax_predictor
 from lexmill.plans.centroid import centroid_predictor, fit_centroids
-from lexmill.plans.inference import run_scoring
+from lexmill.plans.inference import run_scoring, score_counted
 from lexmill.plans.training import run_sweep, run_training
 from lexmill.session import scratch_path
 from lexmill.sources import (
     file_manifest,
     ingest,
     input_example,
-    input_files,
+    input_roots,
     log_history,
     read_back,
     read_files,
@@ -45,12 +45,15 @@ from lexmill.streaming import append_stream, read_arriving, score_stream, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+SPREAD_SETTING = "lexmill.scan.partitions"
+
 LANGS = ("de", "en", "es", "fr")
 ROLES = ("assistant", "system", "user")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 VOCAB_SIZE = 30_000
 MAX_LENGTH = 40
 ENCODE_VOCAB = encode.MAX_VOCAB
+MODEL_MAX_LENGTH = 512
 SOFTMAX_BATCH = 16
 PART_SIZES = 50
 SWEEP_SIZES = (1_000, VOCAB_SIZE)
@@ -60,10 +63,19 @@ LOG_METRICS = ("eval_f1", "eval_recall")
 # -- inputs ------------------------------------------------------------------
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def scan(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as its files are cut, or in as many partitions as the session asks for in SPREAD_SETTING.
+
+    A scan cannot cut below a row group; the setting is for tables of a few large ones.
+    """
+    partitions = spark.conf.get(SPREAD_SETTING, None)
+    return prepare.repartition_for_scoring(scan(spark, sf, name), int(partitions) if partitions else None)
+
+
 def arriving(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The table as a stream; the pattern matches it as one file and as a folder of files."""
     return read_arriving(spark, f"{sf.rstrip('/')}/{name}.parquet*")
@@ -156,19 +168,19 @@ def scan_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_manifest_query(spark: SparkSession, sf: str) -> DataFrame:
-    return file_manifest(table(spark, sf, "documents")).groupBy().agg(
+    return file_manifest(scan(spark, sf, "documents")).groupBy().agg(
         F.sum("n_rows").alias("n_rows"), F.min(F.col("file_bytes") > 0).alias("all_sized")
     )
 
 
 def read_files_query(spark: SparkSession, sf: str) -> DataFrame:
-    files = input_files(table(spark, sf, "documents"))
-    return read_files(spark, files).select("doc_id", "text")
+    roots = input_roots(scan(spark, sf, "documents"))
+    return read_files(spark, roots).select("doc_id", "text")
 
 
 def read_lazy(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return read_files(spark, input_files(docs), schema=docs.schema).select("doc_id", "lang", "n_chars")
+    docs = scan(spark, sf, "documents")
+    return read_files(spark, input_roots(docs), schema=docs.schema).select("doc_id", "lang", "n_chars")
 
 
 def stream_read(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,7 +380,7 @@ def encode_pages(spark: SparkSession, sf: str) -> DataFrame:
 def encode_full_length(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     vocab = encode.load_vocab(encode.build_vocab(docs, size=ENCODE_VOCAB))
-    length = encode.resolve_max_length(docs, "text", -1)
+    length = encode.resolve_max_length(-1, MODEL_MAX_LENGTH)
     whole = encode.encode_batched(docs, vocab, max_length=length)
     return whole.select(
         "doc_id",
@@ -394,7 +406,7 @@ def nb_weights(spark: SparkSession, sf: str) -> DataFrame:
 def predictions_table(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: split, fit, score, softmax, round, decode."""
     model, test = fitted(spark, documents(spark, sf), len(LANGS))
-    scored = bayes.score_bayes(test, model, "doc_id", decimals=4)
+    scored = score_counted(test, model, "text", decimals=4)
     return scored.select("doc_id", "text", "probabilities", "predicted_probability", "predicted_class")
 
 
@@ -710,8 +722,7 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = fitted(spark, documents(spark, sf), len(LANGS))
     stream = arriving(spark, sf, "documents").select("doc_id", "text")
-    spread = prepare.small_table_partitions(table(spark, sf, "documents"))
-    scored = score_stream(stream, scoring.bayes_predictor(spark, model), partitions=spread)
+    scored = score_stream(stream, scoring.bayes_predictor(spark, model))
     target = scratch_path(spark, "stream-score")
     append_stream(scored.drop("text"), target, scratch_path(spark, "stream-score-log"))
     return read_back(spark, target)

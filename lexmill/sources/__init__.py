@@ -2,6 +2,7 @@ from lexmill.sources.readers import (
     file_manifest,
     ingest,
     input_files,
+    input_roots,
     log_history,
     read_files,
     read_log_history,
@@ -14,6 +15,7 @@ __all__ = [
     "ingest",
     "input_example",
     "input_files",
+    "input_roots",
     "log_history",
     "read_back",
     "read_files",

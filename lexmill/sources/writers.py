@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.session import path_exists
+from lexmill.sources.readers import input_roots
 
 WRITE_MODES = ("overwrite", "append")
 
@@ -14,12 +15,11 @@ def _is_path(target: str) -> bool:
 
 
 def _reads_from(df: DataFrame, path: str) -> bool:
-    """Does the frame read files below an existing path?"""
+    """Does the frame read from an existing path, from below it, or from a folder around it?"""
     if not path_exists(df.sparkSession, path):
         return False
-    root = "/" + path.split(":", 1)[-1].strip("/")
-    files = ("/" + f.split(":", 1)[-1].strip("/") for f in df.inputFiles())
-    return any(f == root or f.startswith(root + "/") for f in files)
+    target, *roots = ("/" + p.split(":", 1)[-1].strip("/") + "/" for p in (path, *input_roots(df)))
+    return any(root.startswith(target) or target.startswith(root) for root in roots)
 
 
 def write_table(

@@ -51,13 +51,14 @@ def test_shortest_lengths(small, vocab):
     got = rows(encode.encode(small, vocab, "id", max_length=2))
     assert got[6] == ([2, 3], [1, 1])
     with pytest.raises(ValueError):
-        encode.resolve_max_length(small, "text", 1)
+        encode.resolve_max_length(1)
 
 
-def test_max_length_sentinel(small):
-    assert encode.resolve_max_length(small, "text", -1) == 7
-    assert encode.resolve_max_length(small, "text", -1, model_max_length=512) == 512
-    assert encode.resolve_max_length(small, "text", 40) == 40
+def test_max_length_sentinel():
+    with pytest.raises(ValueError, match="maximum"):
+        encode.resolve_max_length(-1)
+    assert encode.resolve_max_length(-1, model_max_length=512) == 512
+    assert encode.resolve_max_length(40) == 40
 
 
 def test_vocab_ties_and_cutoff(spark):
@@ -75,9 +76,14 @@ def test_top_tokens_equals_plain_sort(docs, size):
     assert got == set(want)
 
 
-def test_vocab_size_is_bounded(docs):
+def test_loaded_vocabulary_is_bounded_a_joined_one_is_not(docs, monkeypatch):
     with pytest.raises(ValueError):
-        encode.build_vocab(docs, size=encode.MAX_VOCAB + 1)
+        encode.build_vocab(docs, size=0)
+    whole = encode.build_vocab(docs, size=2 * encode.MAX_VOCAB)
+    assert whole.count() == encode.token_totals(docs).count()
+    monkeypatch.setattr(encode, "MAX_VOCAB", 10)
+    with pytest.raises(ValueError):
+        encode.load_vocab(whole)
 
 
 def test_rows_with_null_and_repeated_keys_stay(spark):

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.config import ScoringJob, TrainingConfig
+from lexmill.operators import scoring
 from lexmill.operators.runs import RunStore
 from lexmill.plans import run_scoring, run_sweep, run_training
 from lexmill.session import scratch_path, shared_dir
@@ -37,6 +39,22 @@ def test_train_register_score(spark, split, store, tmp_path, model_type, mode):
     assert spark.read.parquet(f"{store.model_path(run_id)}/input_example").count() == 5
 
 
+@pytest.mark.parametrize("mode, length", [("True", -1), ("False", 12)])
+def test_model_too_large_for_the_workers_is_scored_by_join(spark, split, store, tmp_path, monkeypatch, mode, length):
+    name = f"large-{mode}"
+    config = TrainingConfig(model_type="bayes", num_labels=4, max_token_length=length, experiment_location=name)
+    run_id = run_training(spark, config, store, *split)
+    store.move(name, store.register(name, run_id), "Production")
+    nulls = split[1].limit(2).withColumn("text", F.lit(None).cast("string"))
+    split[1].unionByName(nulls).unionByName(split[1].limit(3)).write.parquet(str(tmp_path / "in"))
+    wanted = run_scoring(spark, ScoringJob(name, str(tmp_path / "in"), str(tmp_path / "one"), batch_inference=mode == "True"), store)
+    monkeypatch.setattr(scoring, "MAX_MODEL_BYTES", 10)
+    joined = run_scoring(spark, ScoringJob(name, str(tmp_path / "in"), str(tmp_path / "two"), batch_inference=mode == "True"), store)
+    assert joined.columns == wanted.columns and joined.count() == wanted.count() == split[1].count() + 5
+    both = [sorted(map(str, frame.collect())) for frame in (wanted, joined)]
+    assert both[0] == both[1]
+
+
 def test_lazy_training_logs_its_best_epoch(spark, split, store):
     config = TrainingConfig(
         num_labels=4, num_train_epochs=2, batch_size=8, parallelism=1, streaming_read=True, experiment_location="lazy"

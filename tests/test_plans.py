@@ -7,12 +7,29 @@ import pytest
 from conftest import DATA
 from lexmill.operators import bayes, encode, metrics, prepare, runs
 from lexmill.operators.scoring import bayes_predictor, score
+from lexmill.plans.inference import score_counted
 
 
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def exchanged(frame):
+    """Names of all columns that cross an exchange of the plan, payload included."""
+    names = set()
+
+    def visit(node):
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            names.update(node.output().apply(i).name() for i in range(node.output().size()))
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            visit(node.executedPlan())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(frame._jdf.queryExecution().executedPlan())
+    return names
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
@@ -24,32 +41,32 @@ def test_python_model_is_evaluated_once(spark, table, model):
     assert "ReadSchema: struct<text:string>" in text
 
 
-def test_batch_scoring_of_a_large_table_has_no_shuffle(spark, table, model, monkeypatch):
-    monkeypatch.setattr(prepare, "SPREAD_BYTES_PER_CORE", 0)
+def test_batch_scoring_has_no_shuffle(spark, table, model):
     text = plan(score(table, bayes_predictor(spark, model), mode="batch"))
     assert "Exchange" not in text
 
 
-def test_batched_encoding_has_no_shuffle(table, monkeypatch):
-    monkeypatch.setattr(prepare, "SPREAD_BYTES_PER_CORE", 0)
+def test_batched_encoding_has_no_shuffle(table):
     text = plan(encode.encode_batched(table, ["a", "b"]))
     assert "Exchange" not in text and len(re.findall("ArrowEvalPython", text)) == 1
 
 
-def test_token_counts_combine_before_the_shuffle(table, monkeypatch):
-    monkeypatch.setattr(prepare, "SPREAD_BYTES_PER_CORE", 0)
+def test_token_counts_combine_before_the_shuffle(table):
     text = plan(bayes.token_counts(table.withColumnRenamed("lang", "label").withColumn("label", prepare.F.lit(1))))
     assert len(re.findall(r"Exchange", text)) == 1 and "partial_count" in text
     assert "ReadSchema: struct<text:string>" in text
 
 
-def test_scoring_by_join_shuffles_sums_not_texts(table, model, monkeypatch):
-    monkeypatch.setattr(prepare, "SPREAD_BYTES_PER_CORE", 0)
+def test_scoring_by_join_shuffles_sums_not_texts(table, model):
     text = plan(bayes.bayes_logits(table, model, "doc_id"))
     assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "NestedLoop" not in text
-    for exchange in re.findall(r"Exchange hashpartitioning\((.*?)\)", text):
-        assert "text" not in exchange
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+    assert exchanged(bayes.bayes_logits(table, model, "doc_id"))
+    assert not any("text" in column for column in exchanged(bayes.bayes_logits(table, model, "doc_id")))
+
+
+def test_predictions_by_a_model_that_workers_hold_move_no_row(table, model):
+    assert exchanged(score_counted(table, model, "text", decimals=4)) == set()
 
 
 def test_metrics_shuffle_cells(table):

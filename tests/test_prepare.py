@@ -100,12 +100,6 @@ def test_random_split_is_disjoint_and_repeatable(docs):
     assert train.exceptAll(again).isEmpty()
 
 
-def test_spread_small_leaves_large_tables_alone(spark, docs, monkeypatch):
-    assert prepare.spread_small(docs) is not docs
-    monkeypatch.setattr(prepare, "SPREAD_BYTES_PER_CORE", 0)
-    assert prepare.spread_small(docs) is docs
-
-
 def test_shuffle_keeps_rows_with_null_keys(spark):
     frame = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c"), (2, "d"), (None, "c")], "k long, v string")
     got = prepare.shuffle_rows(frame, "k").collect()

@@ -21,6 +21,7 @@ def test_manifest_counts_every_row(spark, saved):
 
 
 def test_file_list_with_base_path_keeps_partition_columns(spark, saved):
+    assert [r.split(":", 1)[-1] for r in sources.input_roots(spark.read.parquet(saved).groupBy().count())] == [saved]
     files = sources.input_files(spark.read.parquet(saved))
     assert "k" not in sources.read_files(spark, files).columns
     whole = sources.read_files(spark, files, base_path=saved)
@@ -29,6 +30,7 @@ def test_file_list_with_base_path_keeps_partition_columns(spark, saved):
 
 def test_empty_file_list(spark):
     assert sources.input_files(spark.createDataFrame([], "a int")) == []
+    assert sources.input_roots(spark.createDataFrame([], "a int")) == []
     assert sources.read_files(spark, [], schema="a int").count() == 0
     with pytest.raises(ValueError):
         sources.read_files(spark, [])
