@@ -22,8 +22,8 @@ from lexmill.llm.shared import kept
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 8, 6, 1.5, 100
 SEED = 11
-#: Vectors of a bucket that stand in one block, and rows of a group of blocks.
-BLOCK, GROUP = 4096, 20_000
+#: Vectors of a bucket that stand in one block, rows of a group of blocks, and queries that meet a group at once (about).
+BLOCK, GROUP, QUERIES = 4096, 20_000, 20_000
 
 
 def _functions(table: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embe
     non-finite components take no part. Vectors of other lengths than the query's
     are no candidates. Rows that share an id are candidates for others, not for each
     other, and appear once with their best score. Large buckets are cut into blocks
-    of about ``BLOCK`` rows, so no task holds a bucket. A query that found fewer than
+    of about ``BLOCK`` rows, and a group of blocks meets the queries that ask for it in
+    parts, so no task holds a bucket or all queries. A query that found fewer than
     k looks at all vectors, block by block. An empty table gives an empty result.
     """
     rows = kept(usable(vectors, vector), "nn-vectors")
@@ -215,12 +216,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embe
     )
     total = sizes.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // GROUP))
+    query_parts = max(1, -(-queries.count() // QUERIES))
+    query_part = F.pmod(F.xxhash64("vec_id"), F.lit(query_parts)).cast("int")
+    meeting = ["g", "query_part"]
     block = F.xxhash64("table", "bucket", "part")
     blocks = (
         index.join(sizes, ["table", "bucket"])
         .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
         .select("vec_id", "v", "table", block.alias("block"))
         .withColumn("g", F.pmod("block", F.lit(groups)))
+        .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
     )
     asked = (
         _probes(queries)
@@ -231,13 +236,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embe
         .groupBy("g", "vec_id")
         .agg(F.collect_list("block").alias("blocks"))
         .join(queries, "vec_id")
-        .select("g", "vec_id", "v", "blocks")
+        .select("g", query_part.alias("query_part"), "vec_id", "v", "blocks")
     )
-    first = kept(blocks.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(_compare(k), FOUND), "nn-found")
+    first = kept(blocks.groupBy(*meeting).cogroup(asked.groupBy(*meeting)).applyInPandas(_compare(k), FOUND), "nn-found")
     enough = _ranked(first, k).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = kept(
         queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti").select(
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"),
+            query_part.alias("query_part"),
             "vec_id",
             "v",
             F.lit(None).cast("array<long>").alias("blocks"),
@@ -247,5 +253,5 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embe
     found = first
     if not short.isEmpty():
         whole = blocks.where("table = 0")
-        found = first.unionAll(whole.groupBy("g").cogroup(short.groupBy("g")).applyInPandas(_compare(k), FOUND))
+        found = first.unionAll(whole.groupBy(*meeting).cogroup(short.groupBy(*meeting)).applyInPandas(_compare(k), FOUND))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

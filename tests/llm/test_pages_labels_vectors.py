@@ -192,6 +192,7 @@ def test_probes_come_in_order():
 def test_equal_vectors_blocks_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "GROUP", 100)
+    monkeypatch.setattr(neighbours, "QUERIES", 2)
     rng = random.Random(6)
     rows = [(i, [1.0, 2.0, 3.0, 4.0], 0) for i in range(120)]
     rows += [(200 + i, [rng.gauss(0, 1) for _ in range(4)], 0) for i in range(60)]
