@@ -178,14 +178,8 @@ def components(edges: DataFrame) -> DataFrame:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, row_key, fingerprint (signed) and component_id of every row.
-
-    Null and empty texts have fingerprint 0 and are linked like any other, as are
-    texts of any length. Rows with a null id belong to a component but never name
-    it; a component of such rows alone has a null id. Repeated rows come out
-    repeated. An empty table gives an empty result. Further columns are not read.
-    """
+def _rooted_rows(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, row_key, fingerprint, component_id and the component's smallest fingerprint (root) of every row."""
     prints = kept(fingerprints(docs), "prints")
     different = kept(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints-different")
     stars = components(links(different.select("fingerprint"), radius))
@@ -196,23 +190,35 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "prints-rooted",
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fingerprint", "component_id")
-    return prints.join(by_print, "fingerprint").select("doc_id", "row_key", "fingerprint", "component_id")
+    by_print = rooted.join(named, "root").select("fingerprint", "component_id", "root")
+    return prints.join(by_print, "fingerprint").select("doc_id", "row_key", "fingerprint", "component_id", "root")
 
 
-def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows that name their component, one of each; all columns as they came.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, row_key, fingerprint (signed) and component_id of every row.
 
-    In a component without any id, the rows with the smallest row key stay for it.
+    Null and empty texts have fingerprint 0 and are linked like any other, as are
+    texts of any length. Rows with a null id belong to a component but never name
+    it; a component of such rows alone has a null id. Repeated rows come out
+    repeated. An empty table gives an empty result. Further columns are not read.
     """
-    found = near_duplicates(docs, radius)
-    keep = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id")
-        .agg(F.min("row_key").alias("row_key"))
-    )
+    return _rooted_rows(docs, radius).drop("root")
+
+
+def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``rooted`` (doc_id, row_key, root), all columns as they came.
+
+    That with the smallest id, then row key; rows without an id come last.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")
+    keep = rooted.groupBy("root").agg(least).select("least.doc_id", "least.row_key")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("key"))
     joined = rows.alias("d").join(
         keep.alias("k"), F.col("key").eqNullSafe(F.col("k.row_key")) & F.col("id").eqNullSafe(F.col("k.doc_id")), "left_semi"
     )
     return joined.dropDuplicates(["id", "key"]).select("row.*")
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with or without ids; all columns as they came."""
+    return one_of_each(docs, _rooted_rows(docs, radius))

@@ -63,6 +63,14 @@ def test_simhash_groups_larger_than_a_block(spark, monkeypatch):
     assert sorted(len(g) for g in roots.values()) == [16, 40]
 
 
+def test_simhash_keeps_one_row_of_each_component_without_ids(spark):
+    unlike = [" ".join(f"{c}{n}" for n in range(60)) for c in "abcde"]
+    rows = [(None, unlike[0]), (None, unlike[0] + " "), (None, unlike[1]), (None, unlike[2]), (7, unlike[3]), (7, unlike[4])]
+    kept = rows_of(simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert len(kept) == 5
+    assert {(r["doc_id"], r["text"].strip()) for r in kept} == {(i, t.strip()) for i, t in rows}
+
+
 # -- substrings --------------------------------------------------------------
 
 
