@@ -5,12 +5,13 @@ above its cap (so many passes over its data) is clamped, and what is left over
 goes to the others by weight, again until none is above. Each round is one small
 aggregate over the sources. Taken: whole passes first, then documents in seeded
 hash order as long as they fit the rest, then the one further document that
-comes closest to what is still missing.
+comes closest to what is still missing. ``mix`` stops at the first document that
+does not fit, as the query's SQL does; ``filled`` goes on behind it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lexmill.llm.shared import kept, whole_text, word_count
@@ -19,6 +20,8 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Hex digits of the hash that name a bucket; 4,096 buckets a source.
 BUCKET_DIGITS = 3
+#: Passes over what the documents taken so far leave of a target, when documents that do not fit are passed over.
+FILL_ROUNDS = 8
 
 
 def _ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -48,12 +51,8 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.when(cap < share, cap).otherwise(share))
 
 
-def mixing_plan(units: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source: source_size, target, whole passes, cut and extra hash.
-
-    ``units`` has (source, h, size), one row per hash. A unit is taken once more
-    than the whole passes if its hash is at most ``cut_hash``, or ``extra_hash``.
-    """
+def _targets(units: DataFrame, max_epochs: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes by source and bucket, and one row per source: source_size, weight, target, whole passes, what they leave."""
     buckets = kept(
         units.groupBy("source", F.substring("h", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("size")),
         "mix-buckets",
@@ -67,6 +66,16 @@ def mixing_plan(units: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         .withColumn("want", F.col("target") - F.col("whole") * size),
         "mix-targets",
     )
+    return buckets, plan
+
+
+def mixing_plan(units: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per source: source_size, target, whole passes, cut and extra hash.
+
+    ``units`` has (source, h, size), one row per hash. A unit is taken once more
+    than the whole passes if its hash is at most ``cut_hash``, or ``extra_hash``.
+    """
+    buckets, plan = _targets(units, max_epochs)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = buckets.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     edge = (
@@ -113,6 +122,102 @@ def mixing_plan(units: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     )
 
 
+def _is_in(steps: str, h: str, length: str) -> Column:
+    """Whether one of the steps takes a document of this hash and length."""
+    return F.expr(f"coalesce(exists({steps}, s -> {h} > s.start and {h} <= s.last and {length} <= s.want), false)")
+
+
+def filling_plan(units: DataFrame, max_epochs: int = MAX_EPOCHS, rounds: int = FILL_ROUNDS) -> DataFrame:
+    """One row per source: source_size, target, whole passes, steps and extra hash.
+
+    ``units`` has (source, h, length, size): size is that of all rows of a hash,
+    length that of one. Each step goes on in hash order behind the unit that did
+    not fit before, with units no longer than what is left, up to the next one
+    that does not fit. After the steps one further unit is taken if it comes
+    closer to the target.
+    """
+    _, plan = _targets(units, max_epochs)
+    left = plan.where("want > 0").select("source", "want", F.lit("").alias("start"))
+    steps = []
+    for n in range(rounds):
+        left = kept(left, "mix-left")
+        fitting = (
+            units.alias("u")
+            .join(left.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
+            .where("h > start and length <= want")
+            .select("u.source", "h", "size", F.substring("h", 1, BUCKET_DIGITS).alias("bucket"))
+        )
+        before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = kept(
+            fitting.groupBy("source", "bucket")
+            .agg(F.sum("size").alias("size"))
+            .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))),
+            "mix-fitting",
+        )
+        edge = kept(
+            sums.alias("b")
+            .join(left.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
+            .where((F.col("before") <= F.col("want")) & (F.col("before") + F.col("size") > F.col("want")))
+            .select("s.source", "want", "bucket", "before"),
+            "mix-edge",
+        )
+        upto = Window.partitionBy("u.source").orderBy("u.h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        fits = F.col("reached") <= F.col("want")
+        inside = (
+            fitting.alias("u")
+            .join(edge.alias("e"), F.col("u.source").eqNullSafe(F.col("e.source")) & (F.col("u.bucket") == F.col("e.bucket")))
+            .select("u.source", "u.h", "want", "before", "e.bucket", (F.col("before") + F.sum("u.size").over(upto)).alias("reached"))
+            .groupBy("source")
+            .agg(
+                F.coalesce(F.max(F.when(fits, F.col("h"))), F.max("bucket")).alias("last"),
+                F.coalesce(F.max(F.when(fits, F.col("reached"))), F.max("before")).alias("reached"),
+                F.min(F.when(~fits, F.col("h"))).alias("next"),
+            )
+        )
+        whole = sums.groupBy("source").agg(F.sum("size").alias("all"))
+        step = kept(
+            left.alias("s")
+            .join(inside.alias("i"), F.col("s.source").eqNullSafe(F.col("i.source")), "left")
+            .join(whole.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left")
+            .select(
+                "s.source",
+                F.lit(n).alias("n"),
+                "start",
+                F.coalesce("last", F.lit("g")).alias("last"),  # behind all hex digits
+                "want",
+                (F.col("want") - F.coalesce("reached", "all", F.lit(0))).alias("gap"),
+                "next",
+            ),
+            "mix-step",
+        )
+        steps.append(step)
+        left = step.where("next is not null and gap > 0").select("source", F.col("gap").alias("want"), F.col("next").alias("start"))
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionAll(step)
+    taken = kept(
+        every.groupBy("source").agg(
+            F.collect_list(F.struct("start", "last", "want")).alias("steps"), F.max_by("gap", "n").alias("gap")  # one a round
+        ),
+        "mix-taken",
+    )
+    off = F.abs(F.col("gap") - F.col("size"))
+    extra = (
+        units.alias("u")
+        .join(taken.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
+        .where(~_is_in("steps", "h", "length") & (off < F.col("gap")))
+        .groupBy("u.source")
+        .agg(F.min(F.struct(off.alias("off"), F.col("h").alias("h")))["h"].alias("extra_hash"))
+    )
+    return kept(
+        plan.alias("p")
+        .join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left")
+        .join(extra.alias("x"), F.col("p.source").eqNullSafe(F.col("x.source")), "left")
+        .select("p.source", "source_size", "target", "whole", "steps", "extra_hash"),
+        "mix-plan",
+    )
+
+
 def seeded_hash(seed: str = SEED):
     """32 hex digits of id and text; rows with equal id and text have equal hashes and are taken alike."""
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -128,17 +233,34 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
     columns of any name are carried inside ``row``. Equal input gives equal
     output, however it is partitioned.
     """
+    units, rows = _units(docs, seed)
+    plan = mixing_plan(units, max_epochs)
+    more = (F.col("h") <= F.col("cut_hash")) | (F.col("h") == F.col("extra_hash"))
+    return _with_copies(rows, plan, more)
+
+
+def filled(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rounds: int = FILL_ROUNDS) -> DataFrame:
+    """As ``mix``, but documents that do not fit what is left of a target are passed over, and later ones fill it."""
+    units, rows = _units(docs, seed)
+    plan = filling_plan(units, max_epochs, rounds)
+    return _with_copies(rows, plan, _is_in("steps", "h", "size") | F.col("h").eqNullSafe(F.col("extra_hash")))
+
+
+def _units(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(source, h, length, size) of every hash, and every row with its source, hash and size."""
     h = seeded_hash(seed)
     narrow = docs.select(F.col("source").cast("string").alias("source"), h.alias("h"), word_count(whole_text()).alias("size"))
-    units = kept(narrow.groupBy("source", "h").agg(F.sum("size").alias("size")), "mix-units")
-    plan = mixing_plan(units, max_epochs)
+    units = kept(narrow.groupBy("source", "h").agg(F.max("size").alias("length"), F.sum("size").alias("size")), "mix-units")
     rows = docs.select(
         F.struct("*").alias("row"),
         F.col("source").cast("string").alias("source"),
         h.alias("h"),
         word_count(whole_text()).alias("size"),
     )
-    more = (F.col("h") <= F.col("cut_hash")) | (F.col("h") == F.col("extra_hash"))
+    return units, rows
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame, more: Column) -> DataFrame:
     copies = F.col("whole") + F.when(more, 1).otherwise(0)
     return (
         rows.alias("d")
@@ -149,7 +271,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
 
 def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the input's columns."""
-    repeated = mix(docs, max_epochs, seed).select(
+    repeated = filled(docs, max_epochs, seed).select(
         "row", F.explode(F.expr("case when copies > 0 then sequence(1, copies) end")).alias("_copy")
     )
     return repeated.select("row.*")

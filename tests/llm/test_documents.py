@@ -196,6 +196,22 @@ def test_mixing_meets_targets(which, request):
     assert sorted(map(key, mixing.mix(docs).collect())) == sorted(map(key, again.collect()))
 
 
+def _worst_miss(found):
+    rows = [{"s": r["row"]["source"], "t": r["target"], "n": r["size"] * r["copies"]} for r in found.collect()]
+    parts = ref.grouped(rows, "s").values()
+    return max(abs(sum(r["n"] for r in p) - p[0]["t"]) / p[0]["t"] for p in parts if p[0]["t"])
+
+
+def test_filling_passes_over_documents_that_do_not_fit(spark, sample):
+    sizes = {(s, n): 100 + n % 17 for s in "abc" for n in range(60)} | {(s, 60): 6000 for s in "abc"}
+    rows = [(n, " ".join("w" * size), s) for n, ((s, _), size) in enumerate(sizes.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.filled(docs)
+    assert _worst_miss(mixing.mix(docs)) > 0.05 and _worst_miss(taken) < 0.01
+    assert all(0 <= r["copies"] <= 3 for r in taken.select("copies").collect())
+    assert sum(r["size"] * r["copies"] for r in taken.collect()) == mixing.mixed_documents(docs).selectExpr("sum(size(split(text, ' ')))").first()[0]
+
+
 def test_mixed_documents_keep_columns(edge):
     mixed = mixing.mixed_documents(edge)
     assert mixed.columns == edge.columns
