@@ -1,0 +1,193 @@
+"""Documents whose sets of five-word shingles are alike, by MinHash bands and an exact check.
+
+Texts count lower-cased and by words, so that copies which differ in case or blanks
+share one node. A node's signature holds HASHES minima over its shingles; bands of
+ROWS minima name buckets. A pair of similarity s shares no bucket with probability
+(1 - s^ROWS)^BANDS: 3e-6 at 0.8. Whatever meets is checked on the whole texts, so
+no pair below THRESHOLD is linked.
+
+Candidates come in two rounds. First every member of a bucket meets the bucket's
+leader; buckets have leaders of their own, so the rows grow with the members. Then
+the members of buckets that these links leave in several components meet in blocks
+of bounded size, and those whose signatures are close enough are checked as well.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from lexmill.llm import simhash
+from lexmill.llm.shared import kept, row_key, whole_text
+
+SHINGLE = 5
+THRESHOLD = 0.8
+ROWS, BANDS = 4, 24
+HASHES = ROWS * BANDS
+#: Members of a bucket that one comparison of signatures holds on either side.
+BLOCK = 256
+#: Equal minima that a pair of the second round needs: five standard deviations below THRESHOLD.
+CLOSE = int(HASHES * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / HASHES) ** 0.5))
+
+_RANDOM = np.random.default_rng(20_251)
+_FACTORS = _RANDOM.integers(0, 2**64, (HASHES, 1), np.uint64) | np.uint64(1)
+_FLIPS = _RANDOM.integers(0, 2**64, (HASHES, 1), np.uint64)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Hashes of the runs of five words, of all words together where there are fewer."""
+    import xxhash
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, ends, at = b" ".join(words), [], -1
+    for word in words:
+        at += len(word) + 1
+        ends.append(at)
+    begins = [0, *[e + 1 for e in ends[:-SHINGLE]]]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b]) for a, b in zip(begins, ends[SHINGLE - 1 :] or ends[-1:], strict=True)], np.uint64)
+
+
+def _words(text: str) -> list[bytes]:
+    return simhash._lower(text).encode("utf-8").split()
+
+
+@lru_cache(maxsize=256)
+def shingle_set(text: str) -> np.ndarray:
+    """The different shingle hashes of a text, sorted; kept for texts that meet many others."""
+    return np.unique(shingles(_words(text)))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    minima = np.full(HASHES, 2**64 - 1, np.uint64)
+    for start in range(0, len(hashes), 2048):
+        part = (hashes[start : start + 2048] ^ _FLIPS) * _FACTORS
+        np.minimum(minima, part.min(axis=1), out=minima)
+    return minima
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, node, bands (none without words) and sig (two bytes of each minimum) of every row."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            ids, bands, sigs = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = _words(text)
+                found = signature(shingles(words))
+                ids.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                sigs.append((found >> np.uint64(48)).astype("<u2").tobytes())
+                parts = found.reshape(BANDS, ROWS) if words else ()
+                bands.append([xxhash.xxh64_intdigest(p.tobytes(), n) - 2**63 for n, p in enumerate(parts)])
+            columns = [
+                batch.column("doc_id"),
+                batch.column("row_key"),
+                pa.array(np.array(ids, np.uint64).view(np.int64)),
+                pa.array(bands, pa.list_(pa.int64())),
+                pa.array(sigs, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "node", "bands", "sig"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), whole_text().alias("text"))
+    return rows.mapInArrow(compute, "doc_id long, row_key long, node long, bands array<long>, sig binary")
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) reach THRESHOLD."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
+            near = pa.array([similarity(shingle_set(a), shingle_set(b)) >= THRESHOLD for a, b in both], pa.bool_())
+            yield batch.select(["a", "b"]).filter(near)
+
+    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    whole = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return whole.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+
+
+def _close_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b), b < a, of members of different components with at least CLOSE equal minima."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for members in batch.column("members").to_pylist():
+                ids = np.array([m["node"] for m in members], np.int64)
+                parts = np.array([m["root"] for m in members], np.int64)
+                sigs = np.frombuffer(b"".join(m["sig"] for m in members), "<u2").reshape(len(ids), HASHES)
+                for n in range(1, len(ids)):
+                    same = (sigs[:n] == sigs[n]).sum(axis=1)
+                    for m in np.flatnonzero((same >= CLOSE) & (parts[:n] != parts[n])):
+                        low, high = sorted((int(ids[n]), int(ids[m])))
+                        found.add((high, low))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"]
+            )
+
+    return blocks.select("members").mapInArrow(compare, "a long, b long").distinct()
+
+
+def components(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that have a link; ``found`` has the nodes of ``docs``."""
+    different = kept(
+        found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("row_key").alias("row_key")),
+        "similar-nodes",
+    )
+    tabled = different.select("node", F.explode("bands").alias("bucket"))
+    leaders = tabled.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "bucket"), "node"))["node"].alias("leader")
+    )
+    members = kept(tabled.join(leaders.where("n > 1"), "bucket"), "similar-buckets")
+    own = different.join(members.select("node").distinct(), "node", "left_semi").select("node", "row_key")
+    rows = docs.select(row_key().alias("row_key"), whole_text().alias("text"))
+    texts = kept(
+        rows.join(own, "row_key").groupBy("node").agg(F.first("text").alias("text")),
+        "similar-texts",
+    )
+    pairs = members.where("node != leader").select(
+        F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")
+    )
+    pairs = kept(pairs.distinct(), "similar-pairs")
+    links = kept(alike(pairs, texts), "similar-links")
+    stars = simhash.components(links)
+    rooted = kept(
+        members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")).select("bucket", "n", "node", "root"),
+        "similar-rooted",
+    )
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = (
+        rooted.join(split.select("bucket"), "bucket")
+        .join(different.select("node", "sig"), "node")
+        .withColumn("parts", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    )
+    blocks = left.groupBy("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
+        F.collect_list(F.struct("node", "root", "sig")).alias("members")  # about 2 x BLOCK at most
+    )
+    close = kept(_close_pairs(blocks).join(pairs, ["a", "b"], "left_anti"), "similar-close")
+    more = alike(close, texts)
+    return simhash.components(links.unionAll(more))
+
+
+def without_similar(docs: DataFrame) -> DataFrame:
+    """One row of each component of similar documents, that with the smallest id; all columns as they came."""
+    found = kept(nodes(docs), "similar-rows")
+    stars = components(found, docs)
+    rooted = found.select("doc_id", "row_key", "node").join(stars, "node", "left")
+    return simhash.one_of_each(docs, rooted.withColumn("root", F.coalesce("root", "node")))

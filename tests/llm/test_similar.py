@@ -1,0 +1,53 @@
+"""Components of similar documents against all pairs."""
+
+import random
+
+import reference as ref
+
+from lexmill.llm import similar
+
+
+def least_ids(docs):
+    root = {i: i for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (a, x) in enumerate(docs):
+        for b, y in docs[:n]:
+            if ref.jaccard(ref.ascii_lower(x), ref.ascii_lower(y)) >= 0.8:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return sorted({find(i) for i, _ in docs})
+
+
+def test_survivors_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = random.Random(4)
+    long = [f"w{n}" for n in range(400)]
+    texts = [" ".join(long[6 * n : 6 * n + 200]) for n in range(30)]  # a chain: ends unlike, neighbours alike
+    for base in range(8):
+        words = [f"v{base}x{n}" for n in range(rng.randint(40, 300))]
+        for changes in (0, 1, 2, 3, 4, 6):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), changes):
+                edited[at] = f"new{rng.random()}"
+            texts.append(" ".join(edited))
+    texts += ["", None, " \t", "One two", "one  TWO", "one two three"]
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    kept = similar.without_similar(frame)
+    expected = least_ids(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected and 10 < len(expected) < 60
+    assert kept.columns == frame.columns
+
+
+def test_rows_without_ids(spark, no_docs):
+    unlike = [" ".join(f"{c}{n}" for n in range(60)) for c in "abc"]
+    rows = [(None, t) for t in unlike] + [(None, unlike[0]), (3, unlike[1])]
+    kept = similar.without_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, unlike[0]), (3, unlike[1]), (0, unlike[2])])
+    assert similar.without_similar(no_docs).collect() == []
