@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions import class_index, drop_last_segment
+from lexmill.operators.ranking import ranked
 
 # The stages a model version can be in.
 STAGES = ("None", "Staging", "Production", "Archived")
@@ -74,12 +75,16 @@ def best_metrics(entries: DataFrame, metrics: Sequence[str], required: str, run:
 def run_leaderboard(runs: DataFrame, metric: str, group: str = "experiment", top: int | None = None) -> DataFrame:
     """All runs of every experiment, or its ``top`` ones, with their place, best first.
 
-    With ``top``, a rank filter on a window lets each task drop all but its own ``top`` rows
-    per experiment before the shuffle, so an experiment may hold any number of runs.
+    An experiment may hold any number of runs: without ``top`` runs are ranked by
+    ranges of the metric; with it, a rank filter on a window lets each task drop
+    all but its own ``top`` rows per experiment before the shuffle.
     """
+    measured = runs.where(F.col(metric).isNotNull())
+    if top is None:
+        placed = ranked(measured, [group], [F.desc(metric), F.col("run_id")])
+        return placed.withColumn("place", F.col("place").cast("int"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(metric), "run_id"))
-    placed = runs.where(F.col(metric).isNotNull()).withColumn("place", place)
-    return placed if top is None else placed.where(F.col("place") <= top)
+    return measured.withColumn("place", place).where(F.col("place") <= top)
 
 
 def current_stages(events: DataFrame) -> DataFrame:
