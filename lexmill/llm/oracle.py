@@ -77,5 +77,150 @@ def source_mixing() -> str:
     """
 
 
+def line_dedup() -> str:
+    return r"""
+    with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+    places as (select r, unnest(parts) as line, generate_subscripts(parts, 1) as place from d),
+    keyed as (
+        select r, place, line,
+            translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+        from places
+    ),
+    common as (select key from keyed where length(key) >= 1 group by key having count(distinct r) >= 10),
+    cut as (
+        select k.r, count(*) filter (where c.key is not null) as n_dropped,
+            string_agg(case when c.key is null then line end, chr(10) order by place) as line
+        from keyed k left join common c on k.key = c.key group by k.r
+    )
+    select doc_id, len(parts)::bigint as n_lines, n_dropped::bigint as n_dropped, sha256(coalesce(line, '')) as kept_sha256
+    from d join cut on d.r = cut.r
+    """
+
+
+def filter_audit() -> str:
+    letters = "('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)"
+    return f"""
+    with split as (
+        select coalesce(source, '') as part, doc_id, coalesce(text, '') as body, {WORDS} as w from documents
+    ),
+    failed as (
+        select part, doc_id,
+            (case when len(w) < 50 then 1 else 0 end)
+            + (case when 100 * len(list_distinct(w)) < 65 * len(w) then 2 else 0 end)
+            + (case when 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) then 4 else 0 end)
+            + (case when regexp_matches(body, '[#$%&*|]') then 8 else 0 end)
+            + (case when doc_id > min(doc_id) over (partition by body) then 16 else 0 end) as mask
+        from split
+    ),
+    judged as (
+        select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+        from labels group by doc_id
+    ),
+    cells as (
+        select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+        from failed left join judged on failed.doc_id = judged.doc_id group by part, mask
+    ),
+    letter(f, b) as (values {letters}),
+    orders as (
+        select v.f || w.f || x.f || y.f || z.f as filter_order, [v.b, w.b, x.b, y.b, z.b] as bits
+        from letter v, letter w, letter x, letter y, letter z where v.b | w.b | x.b | y.b | z.b = 31
+    ),
+    steps as (
+        select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1 : step - 1]), 0)::int as earlier
+        from orders, range(1, 6) t(step)
+    ),
+    counted as (
+        select part, filter_order, step, bit,
+            sum(case when mask & (earlier | bit) = 0 then n else 0 end) as kept,
+            sum(case when mask & earlier = 0 and mask & bit > 0 then n else 0 end) as removed,
+            sum(case when mask & earlier > 0 and mask & bit > 0 then n else 0 end) as redundant,
+            sum(case when mask = bit then n else 0 end) as unique_fails,
+            sum(case when mask & earlier = 0 and mask & bit > 0 then good else 0 end) as good_lost,
+            sum(case when mask & earlier = 0 and mask & bit > 0 then toxic else 0 end) as toxic_lost
+        from cells, steps group by part, filter_order, step, bit
+    )
+    select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed,
+        redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+        toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley
+    from counted
+    """
+
+
+def merkle_manifest() -> str:
+    """Checksums are CRC-32 bit by bit over the digits of an id."""
+    def field(name: str) -> str:
+        return f"coalesce(strlen({name}::varchar)::varchar || ':' || {name}::varchar, '-')"
+
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    return f"""
+    with recursive d as (
+        select row_number() over () as r, doc_id, coalesce('=' || source, '') as tree,
+            sha256({head} || {field('text')}) as leaf,
+            sha256({head} || {field("replace(text, chr(10), '')")}) as cut_leaf,
+            list_reduce(
+                [4294967295::bigint] || flatten([[-1 - ascii(c)::bigint, -2, -2, -2, -2, -2, -2, -2, -2]
+                    for c in string_split(doc_id::varchar, '')]),
+                lambda a, x: case when x = -2 then case when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end
+                    else xor(a, -1 - x) end
+            ) as crc
+        from documents
+    ),
+    leaves as (
+        select *, row_number() over (partition by tree order by doc_id nulls first, leaf, cut_leaf) - 1 as place,
+            count(*) over (partition by tree) as n,
+            case when xor(crc, 4294967295::bigint) % 2 = 0 then cut_leaf else leaf end as checked
+        from d
+    ),
+    nodes(tree, level, place, n, h) as (
+        select tree, 0, place, n, leaf from leaves
+        union all
+        select tree, max(level) + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' order by place))
+        from nodes where n > 1 group by tree, place // 3
+    ),
+    subroots as (
+        select tree, level as height, h as subroot, row_number() over (order by tree) - 1 as place, count(*) over () as n
+        from nodes where n = 1
+    ),
+    crown(level, place, n, h) as (
+        select 0, place, n, subroot from subroots
+        union all
+        select max(level) + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' order by place))
+        from crown where n > 1 group by place // 3
+    ),
+    ways as (
+        select l.r, x.level, x.place as other, (l.place // (3 ** x.level)::bigint) as own, x.h
+        from leaves l join nodes x on x.tree = l.tree and x.n > 1
+            and x.place // 3 = l.place // (3 ** (x.level + 1))::bigint
+        union all
+        select l.r, s.height + x.level, x.place, (s.place // (3 ** x.level)::bigint), x.h
+        from leaves l join subroots s on s.tree = l.tree join crown x on x.n > 1
+            and x.place // 3 = s.place // (3 ** (x.level + 1))::bigint
+    ),
+    steps as (
+        select r, level, coalesce(string_agg(h, '' order by other) filter (where other < own), '') as low,
+            coalesce(string_agg(h, '' order by other) filter (where other > own), '') as high
+        from ways group by r, level
+    ),
+    proofs as (select r, sha256(string_agg(low || high, '' order by level)) as proof_sha256 from steps group by r),
+    folds(r, level, h) as (
+        select r, 0, checked from leaves
+        union all
+        select f.r, f.level + 1, sha256(low || f.h || high) from folds f join steps s on s.r = f.r and s.level = f.level
+    ),
+    folded as (select r, arg_max(h, level) as folded_root from folds group by r)
+    select l.doc_id, l.leaf, s.subroot, c.h as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, f.folded_root,
+        f.folded_root = c.h as verified
+    from leaves l join subroots s on s.tree = l.tree join (select h from crown where n = 1) c on true
+        join folded f on f.r = l.r left join proofs p on p.r = l.r
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": substring_dedup(), "op9_source_mixing": source_mixing()}
+    return {
+        "op8_substring_dedup": substring_dedup(),
+        "op9_source_mixing": source_mixing(),
+        "op11_line_dedup": line_dedup(),
+        "op12_filter_audit": filter_audit(),
+        "op13_merkle_manifest": merkle_manifest(),
+    }

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm import (
+    audit,
     html_extract,
     licenses,
+    lines,
+    manifest,
     mixing,
     neighbours,
     packing,
@@ -67,6 +70,19 @@ def sharding_slots(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
+def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = lines.dedup_lines(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.interactions(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.tamper_check(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": html_extraction,
     "op2_document_fingerprints": document_fingerprints,
@@ -78,4 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": substring_dedup,
     "op9_source_mixing": source_mixing,
     "op10_sharding": sharding_slots,
+    "op11_line_dedup": line_dedup,
+    "op12_filter_audit": filter_audit,
+    "op13_merkle_manifest": merkle_manifest,
 }

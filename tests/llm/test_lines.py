@@ -1,0 +1,124 @@
+"""Line dedup against plain Python."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.llm import lines
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def key_of(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(BLANKS))
+
+
+def expected(rows, least, min_chars=1, keep_first=False):
+    """Sorted (doc_id, n_lines, n_dropped, kept text) of rows (doc_id, text)."""
+    split = [(i, (t or "").split("\n")) for i, t in rows]
+    held = Counter(k for _, parts in split for k in {key_of(p) for p in parts})
+    gone = {k for k, n in held.items() if n >= least and len(k) >= min_chars}
+    first = {}
+    for i, parts in sorted(split, key=lambda x: (x[0] is None, x[0] or 0)):
+        for k in {key_of(p) for p in parts}:
+            first.setdefault(k, i)
+    out = []
+    for i, parts in split:
+        left, spared = [], set()
+        for part in parts:
+            k = key_of(part)
+            if keep_first and k in gone and first[k] == i and k not in spared:
+                spared.add(k)
+            elif k in gone:
+                continue
+            left.append(part)
+        out.append((i, len(parts), len(parts) - len(left), "\n".join(left)))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def repeats(spark):
+    rows = []
+    for i in range(60):
+        body = [f"own line {i}", "  Shared FOOTER\t", "", "tail é", f"group {i % 7}", f"pair {i // 2}"]
+        body += ["\x0b shared footer"] if i % 3 else ["İ", "i̇"]
+        rows.append((i * 3, "\n".join(body[i % 4 :] + body[: i % 4])))
+    rows += [(None, None), (None, "shared footer\nnull id"), (7, ""), (10, "\n"), (13, "\r\n\x85\n")]
+    rows += [(200, "twice\npair 3"), (200, "twice\npair 3"), (201, "long " * 40_000 + "\nshared footer")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    return rows, df.selectExpr("*", "'x' as digest", "1 as n", "'y' as row_key", "'z' as lines")
+
+
+@pytest.mark.parametrize(("least", "min_chars"), [(10, 1), (2, 1), (8, 6), (100, 1)])
+def test_lines_equal_plain_counting(repeats, least, min_chars):
+    rows, df = repeats
+    assert found(lines.dedup_lines(df, least, min_chars)) == expected(rows, least, min_chars)
+
+
+def test_first_lines_stay_where_asked(repeats):
+    rows, df = repeats
+    rows = [r for r in rows if r[0] not in (None, 200)]
+    df = df.where("doc_id is not null and doc_id != 200")
+    assert found(lines.dedup_lines(df, 2, keep_first=True)) == expected(rows, 2, keep_first=True)
+
+
+def test_heavy_and_light_keys_agree(repeats, monkeypatch):
+    rows, df = repeats
+    for share in (1, 3, 10**9):
+        monkeypatch.setattr(lines, "HEAVY_SHARE", share)
+        assert found(lines.dedup_lines(df, 3)) == expected(rows, 3)
+
+
+def test_edge_rows_and_nothing(edge, no_docs):
+    rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
+    assert found(lines.dedup_lines(edge, 2)) == expected(rows, 2)
+    assert lines.dedup_lines(no_docs).collect() == []
+    with pytest.raises(ValueError):
+        lines.dedup_lines(no_docs, 1)
+
+
+def test_copies_lose_all_their_lines(spark):
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a b\nc").otherwise(F.col("id").cast("string")).alias("text"))
+    got = lines.dedup_lines(df).groupBy("n_lines", "n_dropped").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1_000), (2, 2, 2_000)]
+
+
+def test_only_repeats_are_suspected(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), F.expr("id div if(id < 400, 2, 1)")).alias("text"))
+    suspected = lines.suspects(df.repartition(6))
+    repeated = {hashlib.blake2b(f"line {i}".encode(), digest_size=16).digest() for i in range(200)}
+    got = suspected.collect()
+    assert repeated <= {bytes(r["digest"]) for r in got}
+    assert len(got) < 400 + 1_000
+
+
+def test_a_filter_never_loses_a_repeat():
+    """Merging in any order keeps every key that two parts or one part twice have."""
+    rng = np.random.default_rng(5)
+    size = lines.SEGMENT_BITS // 8
+    keys = rng.integers(0, 2**63, 6_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    parts = [keys[:3_000], keys[2_000:5_000], keys[4_000:]]
+    once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+    for part in parts:
+        mine = np.zeros(size, np.uint8)
+        lines._set(mine, lines._places(part, 1))
+        mine = lines._unpacked(lines._packed(mine))
+        twice, once = twice | (once & mine), once | mine
+    repeated = np.concatenate([keys[2_000:3_000], keys[4_000:5_000]])
+    assert lines._has(twice, lines._places(repeated, 1)).all()
+    assert lines._has(twice, lines._places(keys[:2_000], 1)).mean() < 0.05
+
+
+def test_filters_grow_with_lines_up_to_their_bound():
+    assert lines.segments_for(0) == 1
+    assert lines.segments_for(10**6) == 16
+    assert lines.segments_for(10**15) == lines.MAX_SEGMENTS
+    full = np.full(lines.SEGMENT_BITS // 8, 255, np.uint8)
+    assert (lines._unpacked(lines._packed(full)) == full).all()
