@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions import tokens
+from lexmill.operators.lookup import SharedLookup, publish
+from lexmill.operators.ranking import ranked
 
 # Reserved ids, in front of the vocabulary.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
 SPECIAL_TOKENS_PER_TEXT = 2
 
-# What Python workers load has at most this many entries; a join takes any vocabulary.
+# What Python workers load as a list has at most this many entries; published or joined, a vocabulary may have any size.
 MAX_VOCAB = 200_000
 
+# Tokens in id order, or a published vocabulary.
+Vocabulary = Sequence[str] | SharedLookup
+
 
 def token_totals(df: DataFrame, text: str = "text") -> DataFrame:
     """How often each token occurs; hot tokens are combined before the shuffle."""
@@ -46,11 +51,15 @@ def top_tokens(totals: DataFrame, size: int) -> DataFrame:
     return candidates.orderBy(F.desc("n"), "token").limit(size)
 
 
-def build_vocab(df: DataFrame, text: str = "text", size: int = 30_000) -> DataFrame:
-    """(token, n, id) for the ``size`` most frequent tokens, ids from 4 on by (n desc, token).
+def build_vocab(df: DataFrame, text: str = "text", size: int | None = 30_000) -> DataFrame:
+    """(token, n, id) for all tokens or the ``size`` most frequent ones, ids from 4 on by (n desc, token).
 
-    One task holds ``size`` tokens at the end, whatever the size of the table.
+    With a size, one task holds that many tokens at the end, whatever the table;
+    without one, tokens are ranked by ranges and no task holds them all.
     """
+    if size is None:
+        whole = ranked(token_totals(df, text), [], [F.desc("n"), F.col("token")], "id")
+        return whole.withColumn("id", (F.col("id") + (FIRST_TOKEN_ID - 1)).cast("int"))
     if size < 1:
         raise ValueError("vocabulary size must be 1 or more")
     top = top_tokens(token_totals(df, text), size)
@@ -125,33 +134,38 @@ def load_vocab(vocab: DataFrame) -> list[str]:
     return [token for _, token in sorted(rows)]
 
 
-def encode_batched(df: DataFrame, vocab_tokens: list[str], text: str = "text", max_length: int = 40) -> DataFrame:
+def publish_vocab(vocab: DataFrame) -> SharedLookup:
+    """A vocabulary of any size as files that workers search."""
+    return publish(vocab.select("token", F.array("id").alias("ids")), "token", "ids", 1, "vocabulary")
+
+
+def encode_batched(df: DataFrame, vocab: Vocabulary, text: str = "text", max_length: int = 40) -> DataFrame:
     """All columns plus ``input_ids`` and ``attention_mask``, without any shuffle.
 
     Splitting, cutting and padding stay in the JVM; only the cut token arrays go
-    through Arrow, where one vectorised lookup handles a whole batch.
+    through Arrow, where each distinct token of a batch is looked up once.
     """
-    with_ids = df.withColumn("_ids", _lookup(df.sparkSession, vocab_tokens)(_body(text, max_length)))
+    with_ids = df.withColumn("_ids", _lookup(df.sparkSession, vocab)(_body(text, max_length)))
     input_ids, mask = _frame(F.col("_ids"), max_length)
     return with_ids.withColumn("input_ids", input_ids).withColumn("attention_mask", mask).drop("_ids")
 
 
-def encoded_struct(spark: SparkSession, text: Column | str, vocab_tokens: list[str], max_length: int = 40) -> Column:
+def encoded_struct(spark: SparkSession, text: Column | str, vocab: Vocabulary, max_length: int = 40) -> Column:
     """A struct of ``input_ids`` and ``attention_mask`` of a text, to encode inside a larger expression."""
-    input_ids, mask = _frame(_lookup(spark, vocab_tokens)(_body(text, max_length)), max_length)
+    input_ids, mask = _frame(_lookup(spark, vocab)(_body(text, max_length)), max_length)
     return F.struct(input_ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
 def training_rows(
     df: DataFrame,
-    vocab_tokens: list[str],
+    vocab: Vocabulary,
     text: str = "text",
     label: str = "label",
     max_length: int = 40,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """``keep``, ``input_ids``, ``attention_mask`` and an integer label: what a model is trained and measured on."""
-    encoded = encode_batched(df.select(*keep, text, F.col(label).cast("int").alias(label)), vocab_tokens, text, max_length)
+    encoded = encode_batched(df.select(*keep, text, F.col(label).cast("int").alias(label)), vocab, text, max_length)
     return encoded.select(*keep, "input_ids", "attention_mask", label)
 
 
@@ -161,17 +175,27 @@ def used_ids(input_ids: Column | str = "input_ids", attention_mask: Column | str
     return F.filter(ids, lambda x, i: F.get(mask, i) == 1)
 
 
-def _lookup(spark: SparkSession, vocab_tokens: list[str]):
-    """Arrays of tokens to arrays of ids; a vectorised lookup handles a whole batch."""
-    shared = spark.sparkContext.broadcast(vocab_tokens)
+def _lookup(spark: SparkSession, vocab: Vocabulary):
+    """Arrays of tokens to arrays of ids; a worker has one table for all its batches."""
+    published = isinstance(vocab, SharedLookup)
+    shared = vocab if published else spark.sparkContext.broadcast(list(vocab))
 
     @F.arrow_udf("array<int>")
     def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = pa.array(shared.value, pa.string())
+        if published:
+            table = shared.open()
+        else:
+            id_of = {token: place + FIRST_TOKEN_ID for place, token in enumerate(shared.value)}
         for column in batches:
-            found = pc.index_in(column.values, value_set=known)
-            ids = pc.fill_null(pc.add(found, FIRST_TOKEN_ID), UNK_ID)
-            yield pa.ListArray.from_arrays(column.offsets, ids.cast(pa.int32()), mask=column.is_null())
+            coded = column.values.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if published:
+                found, known = table.find(distinct)
+                ids = np.where(known, found[:, 0], UNK_ID)
+            else:
+                ids = np.fromiter((id_of.get(token, UNK_ID) for token in distinct), np.int64, len(distinct))
+            values = pa.array(ids, pa.int32()).take(coded.indices)
+            yield pa.ListArray.from_arrays(column.offsets, values, mask=column.is_null())
 
     return lookup
 

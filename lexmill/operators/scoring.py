@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lexmill.functions import decode, normalized_text, round_half_even, stringify
 from lexmill.operators.bayes import MICRO, TEXT_MARK, BayesModel
-from lexmill.operators.encode import encoded_struct
+from lexmill.operators.encode import Vocabulary, encoded_struct
+from lexmill.operators.lookup import Lookup, publish
 from lexmill.operators.prepare import repartition_for_scoring
 
 Predictor = Callable[[Column, int], Column]
@@ -30,8 +31,6 @@ NULL_POLICIES = ("null", "literal")
 # Decimals of probabilities in udf mode; batch mode leaves them as they are.
 UDF_DECIMALS = 4
 
-# A model is shipped to Python workers up to this many bytes of tokens and weights.
-MAX_MODEL_BYTES = 256 * 1024 * 1024
 # Characters of text a model looks at in one go, to bound a worker's memory.
 CHARS_PER_CHUNK = 4_000_000
 
@@ -77,9 +76,9 @@ def encoded_model(make_predict_fn: Callable, max_length: int) -> Predictor:
     return predictor
 
 
-def encoding_predictor(spark: SparkSession, vocab_tokens: list[str], model: Predictor, max_length: int) -> Predictor:
+def encoding_predictor(spark: SparkSession, vocab: Vocabulary, model: Predictor, max_length: int) -> Predictor:
     """A predictor of texts that encodes them itself and hands the pairs of arrays to ``model``."""
-    return lambda column, batch_size: model(encoded_struct(spark, column, vocab_tokens, max_length), batch_size)
+    return lambda column, batch_size: model(encoded_struct(spark, column, vocab, max_length), batch_size)
 
 
 def empty_encoding(max_length: int) -> Column:
@@ -145,72 +144,59 @@ def score(
 
 
 def bayes_predictor(spark: SparkSession, model: BayesModel) -> Predictor:
-    """A predictor from a fitted count-based model, shipped to the workers as arrays.
+    """A predictor from a fitted count-based model of any size.
 
-    The model's size is checked before it is fetched; a larger one is scored
-    with ``score_bayes``, which joins instead.
+    The weights are published as files that workers search in place; a batch
+    holds the weights of its own distinct tokens, and nothing is shuffled.
     """
-    known, matrix, prior = _fetched(spark, model)
-    # One more row, of zeros, for unknown tokens.
-    weight = np.vstack([matrix, np.zeros_like(matrix[:1])]).astype(np.float64)
-    shared = spark.sparkContext.broadcast((known, weight, prior))
+    shared = publish(model.weights(spark), "token", "w", model.num_labels, "model")
 
     def make_predict_fn():
-        tokens, weight, prior = shared.value
+        weights = shared.open()
+        prior = weights.find([TEXT_MARK])[0][0].astype(np.float64)
 
         def predict(texts: np.ndarray) -> np.ndarray:
             cuts = np.cumsum([len(t) for t in texts]) // CHARS_PER_CHUNK
             parts = np.split(texts, np.flatnonzero(np.diff(cuts)) + 1)
-            return np.vstack([_bayes_chunk(part, tokens, weight, prior) for part in parts])
+            return np.vstack([_bayes_chunk(part, weights, prior) for part in parts])
 
         return predict
 
     return batch_model(make_predict_fn, prepare=normalized_text)
 
 
-def _fetched(spark: SparkSession, model: BayesModel) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(tokens, their weights, prior) of a model whose size is checked first."""
-    if model.size_bytes > MAX_MODEL_BYTES:
-        raise ValueError(f"{model.size_bytes} bytes of weights are too many to ship; use score_bayes")
-    table = model.weights(spark).select("token", "w").toArrow()
-    known = table["token"].combine_chunks()
-    matrix = pc.list_flatten(table["w"]).to_numpy().reshape(-1, model.num_labels)
-    return known, matrix, matrix[known.index(TEXT_MARK).as_py()].astype(np.float64)
-
-
 def bayes_encoded_predictor(spark: SparkSession, model: BayesModel, max_length: int) -> Predictor:
-    """A predictor over encoded texts from a model that was fitted on their used ids."""
-    known, matrix, prior = _fetched(spark, model)
-    names = known.to_pylist()
-    ids = np.array([-1 if name == TEXT_MARK else int(name) for name in names], np.int64)
-    # The last row, of zeros, is for ids that training never saw and for what the mask hides.
-    weight = np.zeros((max(ids.max(initial=0), 0) + 2, model.num_labels))
-    weight[ids[ids >= 0]] = matrix[ids >= 0]
-    shared = spark.sparkContext.broadcast((weight, prior))
+    """A predictor over encoded texts from a model of any size that was fitted on their used ids."""
+    shared = publish(model.weights(spark), "token", "w", model.num_labels, "model")
 
     def make_predict_fn():
-        weight, prior = shared.value
+        weights = shared.open()
+        prior = weights.find([TEXT_MARK])[0][0].astype(np.float64)
 
         def predict(input_ids: np.ndarray, attention_mask: np.ndarray) -> np.ndarray:
-            none = len(weight) - 1
-            at = np.where(attention_mask == 1, np.minimum(input_ids, none), none).astype(np.int64)
-            logits = np.column_stack([weight[:, c][at].sum(axis=1) + prior[c] for c in range(weight.shape[1])])
-            return stable_softmax(logits / MICRO).astype(np.float32)
+            row, place = np.nonzero(attention_mask == 1)
+            ids, which = np.unique(input_ids[row, place].astype(np.int64), return_inverse=True)
+            found, _ = weights.find([str(i) for i in ids])
+            return _bayes_scores(found[which], row, len(input_ids), prior)
 
         return predict
 
     return encoded_model(make_predict_fn, max_length)
 
 
-def _bayes_chunk(texts: np.ndarray, known: pa.Array, weight: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def _bayes_chunk(texts: np.ndarray, weights: Lookup, prior: np.ndarray) -> np.ndarray:
     """Class probabilities of normalized texts."""
     words = pc.split_pattern(pa.array(texts, pa.string()), " ")
-    found = pc.fill_null(pc.index_in(words.values, value_set=known), len(known)).to_numpy()
+    coded = words.values.dictionary_encode()
+    found, _ = weights.find(coded.dictionary.to_pylist())
     row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-    # Sums of integers far below 2**53, so exact in doubles and in any order.
-    logits = np.column_stack(
-        [np.bincount(row, weights=weight[found, c], minlength=len(texts)) + prior[c] for c in range(weight.shape[1])]
-    )
+    return _bayes_scores(found[coded.indices.to_numpy()], row, len(texts), prior)
+
+
+def _bayes_scores(weights: np.ndarray, row: np.ndarray, n: int, prior: np.ndarray) -> np.ndarray:
+    """Class probabilities of ``n`` rows from the weights of their tokens: integer sums, so the same in any order."""
+    # Far below 2**53, so exact in doubles.
+    logits = np.column_stack([np.bincount(row, weights=weights[:, c], minlength=n) + prior[c] for c in range(len(prior))])
     return stable_softmax(logits / MICRO).astype(np.float32)
 
 

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.config import ScoringJob
 from lexmill.functions import first_tokens
-from lexmill.operators import scoring
-from lexmill.operators.bayes import BayesModel, load_bayes, score_bayes
+from lexmill.operators.bayes import BayesModel, load_bayes
 from lexmill.operators.encode import SPECIAL_TOKENS_PER_TEXT
-from lexmill.operators.prepare import repartition_for_scoring
 from lexmill.operators.runs import RunStore
 from lexmill.operators.scoring import UDF_DECIMALS, bayes_predictor, score
 from lexmill.operators.softmax import load_softmax, softmax_predictor
@@ -25,23 +23,13 @@ def score_counted(
     batch_size: int = 1000,
     partitions: int | None = None,
 ) -> DataFrame:
-    """All columns plus the three of a prediction, by a count-based model of any size; both ways give the same.
+    """All columns plus the three of a prediction, by a count-based model of any size; nothing is shuffled."""
+    published = bayes_predictor(df.sparkSession, model)
 
-    A model that workers can hold is shipped to them: nothing is shuffled. A larger
-    one is joined to the tokens, its sums by the md5 of a text to the rows: texts
-    are shuffled once then, as each row meets sums from an unbounded table.
-    """
-    if model.size_bytes <= scoring.MAX_MODEL_BYTES:
-        shipped = bayes_predictor(df.sparkSession, model)
+    def predictor(column: Column, size: int) -> Column:
+        return published(_cut(column, max_token_length), size)
 
-        def predictor(column: Column, size: int) -> Column:
-            return shipped(_cut(column, max_token_length), size)
-
-        return score(df, predictor, feature_col, decimals=decimals, batch_size=batch_size, partitions=partitions)
-    body = _cut(F.col(feature_col), max_token_length)
-    named = df.select("*", F.md5(feature_col).alias("_text_md5"), body.alias("_body"))
-    named = repartition_for_scoring(named, partitions)
-    return score_bayes(named, model, "_text_md5", "_body", decimals).drop("_text_md5", "_body")
+    return score(df, predictor, feature_col, decimals=decimals, batch_size=batch_size, partitions=partitions)
 
 
 def _cut(text: Column, max_token_length: int) -> Column:

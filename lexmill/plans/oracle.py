@@ -6,7 +6,6 @@ Shared pieces are common table expressions, put together as text.
 from __future__ import annotations
 
 from lexmill.plans.queries import (
-    ENCODE_VOCAB,
     LANGS,
     LOG_METRICS,
     MAX_LENGTH,
@@ -142,8 +141,7 @@ BAYES_TOP = f"{DOCS},{_bayes(K)}"
 
 VOCAB = f"""all_tokens AS (SELECT unnest({_tokens('text')}) AS token FROM documents),
 ranked AS (SELECT token, count(*) AS n FROM all_tokens GROUP BY token),
-vocab AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id FROM ranked
-  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= %d)"""
+vocab AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id FROM ranked)"""
 
 
 def _encoded(length: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
@@ -159,7 +157,7 @@ encoded AS (SELECT {key},
   {used} AS used FROM cut LEFT JOIN found USING ({key}))"""
 
 
-TRAIN_VOCAB = VOCAB.replace("FROM documents", f"FROM documents WHERE {_split('text')} = 'train'") % ENCODE_VOCAB
+TRAIN_VOCAB = VOCAB.replace("FROM documents", f"FROM documents WHERE {_split('text')} = 'train'")
 ENCODED = f"{TRAIN_VOCAB},{_encoded(str(MAX_LENGTH))}"
 ENCODED_SCORES = f"""WITH {ENCODED},
 docs AS (SELECT doc_id, text, {_class('lang', LANGS)} AS label, array_to_string(input_ids[1:used], ' ') AS ids
@@ -228,10 +226,10 @@ c AS (SELECT count(*) AS n FROM sides WHERE split = 'train')
 SELECT n AS n_rows, CAST(256 AS BIGINT) AS effective_batch, CAST(floor(10 * n / 256) AS BIGINT) AS max_steps,
 CAST(floor(floor(10 * n / 256) / 10) AS BIGINT) AS eval_steps,
 CAST(greatest(1, floor(floor(10 * n / 256) / 10)) AS BIGINT) AS eval_every FROM c""",
-        "build_vocab": f"WITH {VOCAB % VOCAB_SIZE} SELECT token, n, id FROM vocab",
-        "encode_text": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH))}
+        "build_vocab": f"WITH {VOCAB} SELECT token, n, id FROM vocab",
+        "encode_text": f"""WITH {VOCAB},{_encoded(str(MAX_LENGTH))}
 SELECT doc_id, input_ids, attention_mask FROM encoded""",
-        "encode_batched": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH))}
+        "encode_batched": f"""WITH {VOCAB},{_encoded(str(MAX_LENGTH))}
 SELECT doc_id, lang, input_ids, attention_mask FROM encoded JOIN documents USING (doc_id)""",
         "encode_training_rows": f"""WITH {ENCODED}
 SELECT doc_id, input_ids, attention_mask, {_class('lang', LANGS)} AS label, {_split('text')} AS split
@@ -258,9 +256,9 @@ CAST(3 AS BIGINT) AS n_losses, CAST(3 AS BIGINT) AS n_epochs, true AS steps_rise
         "step_budget": f"""WITH {DOCS}, sides AS (SELECT *, {_split('text')} AS split FROM docs)
 SELECT CAST(floor(4 * count(*) / 32) AS BIGINT) AS max_steps, CAST(4 AS BIGINT) AS n_evaluations, true AS spent
 FROM sides WHERE split = 'train'""",
-        "encode_pages": f"""WITH {VOCAB % ENCODE_VOCAB},{_encoded(str(MAX_LENGTH), 'pages', 'page_id', 'html')}
+        "encode_pages": f"""WITH {VOCAB},{_encoded(str(MAX_LENGTH), 'pages', 'page_id', 'html')}
 SELECT page_id, input_ids, attention_mask FROM encoded""",
-        "encode_full_length": f"""WITH {VOCAB % ENCODE_VOCAB},
+        "encode_full_length": f"""WITH {VOCAB},
 {_encoded(str(MODEL_MAX_LENGTH))}
 SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_ids, CAST(used AS BIGINT) AS n_used,
 md5(array_to_string(input_ids, ' ')) AS ids_md5 FROM encoded""",

@@ -52,7 +52,6 @@ ROLES = ("assistant", "system", "user")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 VOCAB_SIZE = 30_000
 MAX_LENGTH = 40
-ENCODE_VOCAB = encode.MAX_VOCAB
 MODEL_MAX_LENGTH = 512
 SOFTMAX_BATCH = 16
 PART_SIZES = 50
@@ -343,25 +342,25 @@ def step_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.build_vocab(table(spark, sf, "documents"), size=VOCAB_SIZE)
+    return encode.build_vocab(table(spark, sf, "documents"), size=None)
 
 
 def encode_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return encode.encode(docs, encode.build_vocab(docs, size=ENCODE_VOCAB), "doc_id", max_length=MAX_LENGTH)
+    return encode.encode(docs, encode.build_vocab(docs, size=None), "doc_id", max_length=MAX_LENGTH)
 
 
 def encode_batched(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    vocab = encode.load_vocab(encode.build_vocab(docs, size=ENCODE_VOCAB))
+    vocab = encode.publish_vocab(encode.build_vocab(docs, size=None))
     both = encode.encode_batched(docs.select("doc_id", "text", "lang"), vocab, max_length=MAX_LENGTH)
     return both.select("doc_id", "lang", "input_ids", "attention_mask")
 
 
-def _encoded_sides(spark: SparkSession, sf: str) -> tuple[list[str], DataFrame, DataFrame]:
+def _encoded_sides(spark: SparkSession, sf: str) -> tuple[encode.Vocabulary, DataFrame, DataFrame]:
     """A vocabulary of the train side, and both sides encoded with their integer label."""
     train, test = prepare.split_pair(documents(spark, sf), "text")
-    vocab = encode.load_vocab(encode.build_vocab(train, size=ENCODE_VOCAB))
+    vocab = encode.publish_vocab(encode.build_vocab(train, size=None))
     return vocab, *(encode.training_rows(side, vocab, max_length=MAX_LENGTH, keep=["doc_id"]) for side in (train, test))
 
 
@@ -373,13 +372,13 @@ def encode_training_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def encode_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Raw pages, encoded with a vocabulary of other texts."""
-    vocab = encode.build_vocab(table(spark, sf, "documents"), size=ENCODE_VOCAB)
+    vocab = encode.build_vocab(table(spark, sf, "documents"), size=None)
     return encode.encode(table(spark, sf, "pages"), vocab, "page_id", text="html", max_length=MAX_LENGTH)
 
 
 def encode_full_length(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    vocab = encode.load_vocab(encode.build_vocab(docs, size=ENCODE_VOCAB))
+    vocab = encode.publish_vocab(encode.build_vocab(docs, size=None))
     length = encode.resolve_max_length(-1, MODEL_MAX_LENGTH)
     whole = encode.encode_batched(docs, vocab, max_length=length)
     return whole.select(
@@ -438,7 +437,7 @@ def score_null_literal(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "probabilities", "predicted_class")
 
 
-def _encoded_model(spark: SparkSession, sf: str) -> tuple[list[str], scoring.Predictor, DataFrame]:
+def _encoded_model(spark: SparkSession, sf: str) -> tuple[encode.Vocabulary, scoring.Predictor, DataFrame]:
     """A vocabulary, a model that was trained on encoded rows, and the encoded test side."""
     vocab, train, test = _encoded_sides(spark, sf)
     rows = train.select(encode.used_ids().alias("used"), "label")

@@ -126,14 +126,6 @@ def test_hot_label_and_hot_token(spark, tmp_path):
     assert counts[("hot", 0)] == 2000 and counts[(bayes.TEXT_MARK, 0)] == 1000
 
 
-def test_size_check_refuses_to_ship_a_large_model(spark, model, monkeypatch):
-    from lexmill.operators import scoring
-
-    monkeypatch.setattr(scoring, "MAX_MODEL_BYTES", 10)
-    with pytest.raises(ValueError, match="score_bayes"):
-        bayes_predictor(spark, model)
-
-
 def test_long_batches_are_cut_into_chunks(spark, split, model, monkeypatch):
     from lexmill.operators import scoring
 

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.config import ScoringJob, TrainingConfig
-from lexmill.operators import scoring
+from lexmill.functions import first_tokens
+from lexmill.operators.bayes import load_bayes, score_bayes
 from lexmill.operators.runs import RunStore
 from lexmill.plans import run_scoring, run_sweep, run_training
 from lexmill.session import scratch_path, shared_dir
@@ -40,18 +41,21 @@ def test_train_register_score(spark, split, store, tmp_path, model_type, mode):
 
 
 @pytest.mark.parametrize("mode, length", [("True", -1), ("False", 12)])
-def test_model_too_large_for_the_workers_is_scored_by_join(spark, split, store, tmp_path, monkeypatch, mode, length):
-    name = f"large-{mode}"
+def test_published_model_scores_as_the_join_does(spark, split, store, tmp_path, mode, length):
+    name = f"published-{mode}"
     config = TrainingConfig(model_type="bayes", num_labels=4, max_token_length=length, experiment_location=name)
     run_id = run_training(spark, config, store, *split)
     store.move(name, store.register(name, run_id), "Production")
     nulls = split[1].limit(2).withColumn("text", F.lit(None).cast("string"))
-    split[1].unionByName(nulls).unionByName(split[1].limit(3)).write.parquet(str(tmp_path / "in"))
-    wanted = run_scoring(spark, ScoringJob(name, str(tmp_path / "in"), str(tmp_path / "one"), batch_inference=mode == "True"), store)
-    monkeypatch.setattr(scoring, "MAX_MODEL_BYTES", 10)
-    joined = run_scoring(spark, ScoringJob(name, str(tmp_path / "in"), str(tmp_path / "two"), batch_inference=mode == "True"), store)
-    assert joined.columns == wanted.columns and joined.count() == wanted.count() == split[1].count() + 5
-    both = [sorted(map(str, frame.collect())) for frame in (wanted, joined)]
+    rows = split[1].unionByName(nulls).unionByName(split[1].limit(3))
+    rows.write.parquet(str(tmp_path / "in"))
+    scored = run_scoring(spark, ScoringJob(name, str(tmp_path / "in"), str(tmp_path / "out"), batch_inference=mode == "True"), store)
+    body = F.col("text") if length == -1 else first_tokens("text", length - 2)
+    model = load_bayes(spark, store.model_path(run_id))
+    joined = score_bayes(rows.withColumn("_body", body), model, "doc_id", "_body", None if mode == "True" else 4)
+    joined = joined.select(scored.columns)
+    assert scored.count() == joined.count() == split[1].count() + 5
+    both = [sorted(map(str, frame.collect())) for frame in (scored, joined)]
     assert both[0] == both[1]
 
 
