@@ -10,11 +10,12 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions import class_index, drop_last_segment
+from lexmill.operators.levels import LevelledTable
 from lexmill.operators.ranking import ranked
+from lexmill.session import put_if_absent
 
 # The stages a model version can be in.
 STAGES = ("None", "Staging", "Production", "Archived")
@@ -107,31 +108,38 @@ def versions_in_stage(versions: DataFrame, events: DataFrame, stage: str = "Prod
 
 
 class RunStore:
-    """Run, version and stage tables below one folder.
+    """Run, version and stage tables below one folder, for any number of writers at once.
 
-    Appends only; runs may be logged from many jobs at once. Version numbers and
-    event order come from the tables' current maxima, so register and move with
-    one writer at a time.
+    Appends only, merged by levels as they grow. A version number or a place in
+    the order of stage events is claimed by a file that one writer alone can
+    create; who comes second takes the next number.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def _levels(self, name: str, schema: str) -> LevelledTable:
+        return LevelledTable(self.spark, f"{self.root}/{name}", schema)
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").drop("batch")
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def _append(self, name: str, rows: DataFrame) -> None:
+        return self._levels(name, schema).read()
+
+    def _append(self, name: str, rows: DataFrame, schema: str) -> None:
         """Every append gets its own folder, so that jobs running side by side do not meet."""
-        rows.write.parquet(f"{self.root}/{name}/batch={uuid.uuid4().hex}")
+        table = self._levels(name, schema)
+        table.append(rows)
+        table.compact()
 
     def _append_row(self, name: str, row: tuple, schema: str) -> None:
-        self._append(name, self.spark.createDataFrame([row], schema).coalesce(1))
+        self._append(name, self.spark.createDataFrame([row], schema).coalesce(1), schema)
+
+    def _claim(self, kind: str, least: int, claimant: str) -> int:
+        """The first number from ``least`` on that nobody has claimed, claimed."""
+        number = least
+        while not put_if_absent(self.spark, f"{self.root}/claims/{kind}/{number:08d}", claimant):
+            number += 1
+        return number
 
     def new_run_id(self) -> str:
         return uuid.uuid4().hex
@@ -148,7 +156,7 @@ class RunStore:
 
     def log_runs(self, runs: DataFrame) -> None:
         """Append many run records at once; ``runs`` has the columns of ``RUN_SCHEMA``."""
-        self._append("runs", runs)
+        self._append("runs", runs, RUN_SCHEMA)
 
     def runs(self) -> DataFrame:
         return self._table("runs", RUN_SCHEMA)
@@ -160,7 +168,7 @@ class RunStore:
     def register(self, name: str, run_id: str) -> int:
         """A new version of a model, in stage None; returns its number."""
         known = self.versions().where(F.col("name") == name).agg(F.max("version")).first()[0]
-        version = (known or 0) + 1
+        version = self._claim(f"version-{name.encode().hex()}", (known or 0) + 1, run_id)
         self._append_row("versions", (name, version, run_id, self.model_path(run_id), datetime.now()), VERSION_SCHEMA)
         self.move(name, version, "None")
         return version
@@ -169,7 +177,8 @@ class RunStore:
         """Move a version to a stage; other versions stay where they are."""
         if stage not in STAGES:
             raise ValueError(f"stage must be one of {STAGES}, got {stage!r}")
-        order = (self.events().agg(F.max("event_order")).first()[0] or 0) + 1
+        known = self.events().agg(F.max("event_order")).first()[0] or 0
+        order = self._claim("event", known + 1, f"{name} {version} {stage}")
         self._append_row("stage_events", (name, version, stage, order), EVENT_SCHEMA)
 
     def versions(self) -> DataFrame:

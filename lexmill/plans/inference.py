@@ -9,11 +9,17 @@ from lexmill.functions import first_tokens
 from lexmill.operators.bayes import BayesModel, load_bayes
 from lexmill.operators.encode import SPECIAL_TOKENS_PER_TEXT
 from lexmill.operators.runs import RunStore
-from lexmill.operators.scoring import UDF_DECIMALS, bayes_predictor, score
+from lexmill.operators.scoring import UDF_DECIMALS, Predictor, bayes_predictor, score
 from lexmill.operators.softmax import load_softmax, softmax_predictor
 from lexmill.sources import read_back, read_table, write_table
 
 
+def counted_predictor(spark: SparkSession, model: BayesModel, max_token_length: int = -1) -> Predictor:
+    """A predictor of a count-based model that sees the tokens that fit."""
+    published = bayes_predictor(spark, model)
+    return lambda column, size: published(_cut(column, max_token_length), size)
+
+
 def score_counted(
     df: DataFrame,
     model: BayesModel,
@@ -24,11 +30,7 @@ def score_counted(
     partitions: int | None = None,
 ) -> DataFrame:
     """All columns plus the three of a prediction, by a count-based model of any size; nothing is shuffled."""
-    published = bayes_predictor(df.sparkSession, model)
-
-    def predictor(column: Column, size: int) -> Column:
-        return published(_cut(column, max_token_length), size)
-
+    predictor = counted_predictor(df.sparkSession, model, max_token_length)
     return score(df, predictor, feature_col, decimals=decimals, batch_size=batch_size, partitions=partitions)
 
 
@@ -44,23 +46,22 @@ def run_scoring(spark: SparkSession, job: ScoringJob, store: RunStore) -> DataFr
         source = source.select(job.feature_col)
     decimals = None if job.batch_inference else UDF_DECIMALS
     partitions = None if job.batch_inference else job.df_repartition_num
-    scored = _score_run(source, store, version["run_id"], job, decimals, partitions)
+    predictor = run_predictor(store, version["run_id"])
+    scored = score(
+        source, predictor, job.feature_col, decimals=decimals, batch_size=job.batch_size, partitions=partitions
+    )
     target = f"{job.output_database}.{job.output_table}" if job.output_database else job.output_table
     write_table(scored, target, job.write_mode)
     return read_back(spark, target)
 
 
-def _score_run(
-    df: DataFrame, store: RunStore, run_id: str, job: ScoringJob, decimals: int | None, partitions: int | None
-) -> DataFrame:
-    """Score with the model of a logged run."""
-    spark = df.sparkSession
+def run_predictor(store: RunStore, run_id: str) -> Predictor:
+    """A predictor from the model of a logged run."""
+    spark = store.spark
     row = store.runs().where(F.col("run_id") == run_id).first()
     if row is None:
         raise LookupError(f"no run {run_id!r}")
     path = store.model_path(run_id)
     if row["params"]["model_type"] == "bayes":
-        length = int(row["params"]["max_token_length"])
-        return score_counted(df, load_bayes(spark, path), job.feature_col, decimals, length, job.batch_size, partitions)
-    predictor = softmax_predictor(spark, load_softmax(spark, f"{path}/best", 0))
-    return score(df, predictor, job.feature_col, decimals=decimals, batch_size=job.batch_size, partitions=partitions)
+        return counted_predictor(spark, load_bayes(spark, path), int(row["params"]["max_token_length"]))
+    return softmax_predictor(spark, load_softmax(spark, f"{path}/best", 0))

@@ -170,6 +170,10 @@ def oracle_sql() -> dict[str, str]:
     probabilities = _probabilities(4)
     udf_scored = f"""WITH {BAYES_TOP},{_logits(K, 'doc_id')},
 probs AS (SELECT doc_id, {probabilities} AS probabilities FROM logits)"""
+    streamed = f"""WITH {BAYES_TOP},{_logits(K, 'doc_id', 'sides')},
+probs AS (SELECT doc_id, {probabilities} AS probabilities FROM logits)
+SELECT doc_id, probabilities, list_max(probabilities) AS predicted_probability,
+{_decode('probabilities')} AS predicted_class FROM probs"""
     sides_by_id = f"sides AS (SELECT *, {_split('doc_id')} AS split FROM docs)"
     blanked = "(SELECT doc_id, CASE WHEN label <> 0 THEN text ELSE 'None' END AS text FROM sides WHERE split = 'test')"
     sweep = " UNION ALL ".join(
@@ -338,8 +342,10 @@ SELECT name, version, name || '-' || version AS run_id, 'dbfs:/runs/' || name ||
 'dbfs:/runs/' || name || '-' || version || '/artifacts' AS artifact_root FROM newest""",
         "stream_counts": f"""WITH {DOCS}, all_tokens AS (SELECT label, unnest({_tokens('text')}) AS token FROM docs)
 SELECT token, label, count(*) AS n FROM all_tokens GROUP BY ALL""",
-        "stream_score": f"""WITH {BAYES_TOP},{_logits(K, 'doc_id', 'sides')},
-probs AS (SELECT doc_id, {probabilities} AS probabilities FROM logits)
-SELECT doc_id, probabilities, list_max(probabilities) AS predicted_probability,
-{_decode('probabilities')} AS predicted_class FROM probs""",
+        "stream_score": streamed,
+        "stream_score_large": streamed,
+        "stream_follow_stage": f"""WITH {BAYES_TOP},{_logits(K, 'doc_id', 'sides')},
+turned AS (SELECT doc_id, doc_id % 2 = 1 AS late, CASE WHEN doc_id % 2 = 1 THEN list_reverse(logits) ELSE logits END AS logits FROM logits),
+probs AS (SELECT doc_id, late, {probabilities} AS probabilities FROM turned)
+SELECT doc_id, CASE WHEN late THEN 2 ELSE 1 END AS model_version, {_decode('probabilities')} AS predicted_class FROM probs""",
     }

@@ -26,7 +26,7 @@ from lexmill.functions import (
 from lexmill.operators import bayes, encode, metrics, prepare, runs, scoring
 from lexmill.operators.softmax import fit_softmax, softmax_predictor
 from lexmill.plans.centroid import centroid_predictor, fit_centroids
-from lexmill.plans.inference import run_scoring, score_counted
+from lexmill.plans.inference import run_predictor, run_scoring, score_counted
 from lexmill.plans.training import run_sweep, run_training
 from lexmill.session import scratch_path
 from lexmill.sources import (
@@ -41,7 +41,16 @@ from lexmill.sources import (
     read_table,
     write_table,
 )
-from lexmill.streaming import append_stream, read_arriving, score_stream, stream_token_counts, summed_counts
+from lexmill.streaming import (
+    append_stream,
+    read_arriving,
+    read_batches,
+    score_stream,
+    score_stream_by_join,
+    score_stream_by_stage,
+    stream_token_counts,
+    summed_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -727,6 +736,34 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     return read_back(spark, target)
 
 
+def stream_score_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Arriving texts scored by joining each batch to the weights, none of which a worker holds."""
+    model, _ = fitted(spark, documents(spark, sf), len(LANGS))
+    target = scratch_path(spark, "stream-score-large")
+    stream = arriving(spark, sf, "documents").select("doc_id", "text")
+    score_stream_by_join(stream, model, target, scratch_path(spark, "stream-score-large-log"), "doc_id")
+    return read_batches(spark, target).drop("text", "batch_id")
+
+
+def stream_follow_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that arrive in two lots; between them another version moves to the stage."""
+    store = runs.RunStore(spark, scratch_path(spark, "store"))
+    train, test = prepare.split_pair(documents(spark, sf), "text")
+    config = TrainingConfig(model_type="bayes", num_labels=len(LANGS))
+    reversed_labels = train.withColumn("label", F.lit(len(LANGS) - 1) - F.col("label"))
+    versions = []
+    for rows in (train, reversed_labels):
+        run_id = run_training(spark, config, store, rows, test)
+        versions.append(store.register("language", run_id))
+    source, target, log = (scratch_path(spark, f"stage-{n}") for n in ("source", "target", "log"))
+    for lot, version in enumerate(versions):
+        store.move("language", version, "Production")
+        table(spark, sf, "documents").where(F.col("doc_id") % 2 == lot).select("doc_id", "text").write.mode("append").parquet(source)
+        stream = read_arriving(spark, source)
+        score_stream_by_stage(stream, store, "language", lambda run_id: run_predictor(store, run_id), target, log)
+    return read_batches(spark, target).select("doc_id", "model_version", "predicted_class")
+
+
 QUERIES: dict[str, Query] = {
     "scan_table": scan_table,
     "file_manifest": file_manifest_query,
@@ -799,4 +836,6 @@ QUERIES: dict[str, Query] = {
     "resolve_stage": resolve_stage,
     "stream_counts": stream_counts,
     "stream_score": stream_score,
+    "stream_score_large": stream_score_large,
+    "stream_follow_stage": stream_follow_stage,
 }

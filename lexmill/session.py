@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +72,47 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder written before, on whatever file system it is."""
     fs, target = _hadoop(spark, path)
     fs.delete(target, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; nothing where it is missing."""
+    fs, target = _hadoop(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, target = _hadoop(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file, whole or not at all; false if the path was taken already, also by a writer at the same time.
+
+    The text goes to a file of its own, which then takes the path: on a local or
+    mounted file system by a link, elsewhere by a rename that refuses an existing
+    path, as HDFS does in one step.
+    """
+    fs, target = _hadoop(spark, path)
+    draft_path = f"{path.rsplit('/', 1)[0]}/_draft-{uuid.uuid4().hex}"
+    _, draft = _hadoop(spark, draft_path)
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if target.toUri().getScheme() in (None, "file") and fs.getScheme() == "file":
+            os.link(_local(draft_path), _local(path))
+            return True
+        return not fs.exists(target) and fs.rename(draft, target)
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
+def _local(path: str) -> str:
+    return unquote(urlparse(path).path) if path.startswith("file:") else path

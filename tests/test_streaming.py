@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from lexmill import streaming
 from lexmill.operators import bayes
+from lexmill.operators.runs import RunStore
 from lexmill.operators.scoring import bayes_predictor, score
+from lexmill.streaming.jobs import count_table
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +64,66 @@ def test_streamed_scores_equal_table_scores(spark, arriving, docs, model, tmp_pa
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.exceptAll(score(docs, predictor, mode="udf", keep="all")).isEmpty()
     assert got.count() == docs.count()
+
+
+def test_a_replayed_batch_of_joined_scores_overwrites_itself(spark, arriving, docs, model, tmp_path):
+    target, log = str(tmp_path / "out"), tmp_path / "log"
+    rows = streaming.read_arriving(spark, arriving, files_per_batch=2).select("doc_id", "text")
+    streaming.score_stream_by_join(rows, model, target, str(log), "doc_id")
+    first = streaming.read_batches(spark, target)
+    assert first.select("batch_id").distinct().count() == 3
+    want = sorted(map(str, first.collect()))
+    assert len(want) == docs.count()
+    # The last batch was written but never noted as done: it comes again.
+    for name in ("2", ".2.crc"):
+        (log / "commits" / name).unlink(missing_ok=True)
+    rows = streaming.read_arriving(spark, arriving, files_per_batch=2).select("doc_id", "text")
+    streaming.score_stream_by_join(rows, model, target, str(log), "doc_id")
+    spark.catalog.refreshByPath(target)
+    first = streaming.read_batches(spark, target)
+    assert sorted(map(str, first.collect())) == want
+    table = bayes.score_bayes(docs.select("doc_id", "text"), model, "doc_id", decimals=4)
+    assert sorted(map(str, first.drop("batch_id").collect())) == sorted(map(str, table.select(first.drop("batch_id").columns).collect()))
+
+
+def test_a_replayed_batch_keeps_the_version_it_was_scored_with(spark, arriving, model, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    for run_id in ("one", "two"):
+        store.register("m", run_id)
+    target, log = str(tmp_path / "out"), tmp_path / "log"
+    asked = []
+
+    def predictor_of(run_id):
+        asked.append(run_id)
+        return bayes_predictor(spark, model)
+
+    def run():
+        stream = streaming.read_arriving(spark, arriving, files_per_batch=3)
+        streaming.score_stream_by_stage(stream, store, "m", predictor_of, target, str(log))
+        spark.catalog.refreshByPath(target)
+        return {(r["batch_id"], r["model_version"]) for r in streaming.read_batches(spark, target).collect()}
+
+    store.move("m", 1, "Production")
+    assert run() == {(0, 1), (1, 1)} and asked == ["one"]
+    store.move("m", 2, "Production")
+    for name in ("1", ".1.crc"):
+        (log / "commits" / name).unlink(missing_ok=True)
+    assert run() == {(0, 1), (1, 1)} and asked == ["one", "one"]
+
+
+def test_counts_stay_few_folders_and_exact(spark, docs, tmp_path):
+    path, fan = str(tmp_path / "counts"), 3
+    rows = docs.select("text", "label").where("doc_id < 54")
+    table = count_table(spark, path, fan)
+    most = 0
+    for batch in range(18):
+        part = docs.where(f"doc_id < 54 and doc_id % 18 = {batch}")
+        table.append(bayes.token_counts(part), str(batch))
+        table.compact()
+        if batch % 4 == 0:  # replayed after its merge, or before it
+            table.append(bayes.token_counts(part), str(batch))
+        most = max(most, len(table.folders()))
+    assert most <= 3 * fan and len(table.folders()) <= 2 * fan
+    want = bayes.token_counts(rows)
+    got = streaming.summed_counts(spark, path)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
