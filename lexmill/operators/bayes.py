@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 
 from lexmill.functions import decode, round_half_even, softmax, tokens
 from lexmill.operators.encode import top_tokens
+from lexmill.session import written
 
 MICRO = 1_000_000
 TEXT_MARK = " "
@@ -176,20 +177,50 @@ def fit_counts(df: DataFrame, num_labels: int, text: str = "text", label: str =
 
 
 def finish_bayes(counts: DataFrame, path: str, num_labels: int, max_vocab: int | None = None) -> BayesModel:
-    """Turn (token, label, n) into the model tables.
+    """Turn (token, label, n) into the model tables."""
+    counted = vocabulary(counts, num_labels)
+    # A cutoff looks at all counts first: from a table, the texts are read once.
+    return finish_counted(counted if max_vocab is None else written(counted, "counts"), path, num_labels, max_vocab)
+
+
+def finish_counted(counted: DataFrame, path: str, num_labels: int, max_vocab: int | None = None) -> BayesModel:
+    """Turn (token, n, by_class) of ``vocabulary`` into the model tables.
 
     The vocabulary goes to a table first: everything after reads that instead of
     the texts, and a lost executor costs no second pass over them.
     """
-    spark = counts.sparkSession
-    vocabulary(counts, num_labels, max_vocab).write.mode("overwrite").parquet(f"{path}/vocab")
+    spark = counted.sparkSession
+    limited = counted if max_vocab is None else top_tokens(counted, max_vocab + 1)
+    limited.write.mode("overwrite").parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
     stats = vocabulary_stats(vocab, num_labels).first()
     is_hot = (F.col("n") > (stats["hot_floor"] or 0)) & (F.length("token") <= HOT_TOKEN_CHARS)
     tiered = bayes_weights(vocab, num_labels, stats).withColumn("tier", F.when(is_hot, "hot").otherwise("tail"))
     tiered.write.mode("overwrite").partitionBy("tier").parquet(f"{path}/weights")
     has_tail = bool(stats["hot_floor"] or stats["n_long"])
-    return BayesModel(path, num_labels, has_tail, stats["token_bytes"] + 8 * num_labels * (stats["vocab_size"] + 1))
+    size_bytes = (stats["token_bytes"] or 0) + 8 * num_labels * ((stats["vocab_size"] or 0) + 1)
+    return BayesModel(path, num_labels, has_tail, size_bytes)
+
+
+def fit_bayes_family(
+    df: DataFrame, paths: Sequence[str], num_labels: int, max_vocabs: Sequence[int | None], text: str = "text", label: str = "label"
+) -> list[BayesModel]:
+    """One model per vocabulary limit, all from one table of counts: the texts are read once."""
+    counted = written(vocabulary(fit_counts(df, num_labels, text, label), num_labels), "counts")
+    return [finish_counted(counted, path, num_labels, limit) for path, limit in zip(paths, max_vocabs)]
+
+
+def family_weights(spark: SparkSession, models: Sequence[BayesModel]) -> DataFrame:
+    """(token, w): the weights of several models side by side, zeros where a model lacks the token."""
+    k = models[0].num_labels
+    parts = [m.weights(spark).select("token", F.lit(i).alias("model"), "w") for i, m in enumerate(models)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    nothing = F.array_repeat(F.lit(0).cast("bigint"), k)
+    # A token has one row per model at most.
+    own = [F.coalesce(F.any_value(F.when(F.col("model") == i, F.col("w")), True), nothing) for i in range(len(models))]
+    return rows.groupBy("token").agg(F.concat(*own).alias("w"))
 
 
 def load_bayes(spark: SparkSession, path: str) -> BayesModel:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from lexmill.functions import hash_fraction
 
@@ -87,18 +88,66 @@ def label_audit(df: DataFrame, label: str = "label") -> DataFrame:
 
 def require_valid_labels(df: DataFrame, label: str, num_labels: int) -> None:
     """Raise unless labels are integers 0..num_labels-1. One counting job."""
-    row = label_audit(df, label).first()
+    problems = _label_problems(label_audit(df, label).first().asDict(), num_labels, start=True)
+    if problems:
+        raise ValueError("; ".join(problems))
+
+
+def _label_problems(row: dict, num_labels: int, start: bool = False) -> list[str]:
+    """What is wrong with labels of which ``row`` has the counts and bounds, in words."""
     problems = []
     if row["n_null"]:
         problems.append(f"{row['n_null']} null labels")
     if row["n_not_integer"]:
         problems.append(f"{row['n_not_integer']} labels are not integers")
-    if row["min_label"] != 0:
+    if start and row["min_label"] != 0:
         problems.append("labels must start at 0")
+    elif row["min_label"] is not None and row["min_label"] < 0:
+        problems.append(f"label {row['min_label']} is outside 0..{num_labels - 1}")
     if row["max_label"] is not None and row["max_label"] >= num_labels:
         problems.append(f"label {row['max_label']} is outside 0..{num_labels - 1}")
-    if problems:
-        raise ValueError("; ".join(problems))
+    return problems
+
+
+class LabelWatch:
+    """The label contract, checked by whatever job reads the rows anyway.
+
+    ``watch`` gives the frame with integer labels, null where they are none, to be
+    used in one job that reads all rows; ``require`` then raises if that job saw
+    labels that break the contract. No pass of its own, and what is kept of the
+    labels is one entry per class.
+    """
+
+    def __init__(self, num_labels: int, label: str = "label") -> None:
+        self.num_labels, self.label = num_labels, label
+        self.observation = Observation(f"labels-{uuid.uuid4().hex}")
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        raw, value = F.col(self.label), F.col(self.label).cast("string").try_cast("int")
+        inside = value.between(0, self.num_labels - 1)
+        seen = df.observe(
+            self.observation,
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count(F.when(raw.isNull(), 1)).alias("n_null"),
+            F.count(F.when(raw.isNotNull() & value.isNull(), 1)).alias("n_not_integer"),
+            F.min(value).alias("min_label"),
+            F.max(value).alias("max_label"),
+            F.collect_set(F.when(inside, value)).alias("labels"),
+        )
+        return seen.withColumn(self.label, value)
+
+    def missing(self) -> list[int]:
+        """Classes that no row had."""
+        return sorted(set(range(self.num_labels)) - set(self.observation.get["labels"]))
+
+    def require(self, dense: bool = True) -> None:
+        """Raise unless the labels seen are integers 0..num_labels-1 and, if ``dense``, each of them occurs."""
+        seen = self.observation.get
+        problems = _label_problems(seen, self.num_labels)
+        if dense and not problems and self.missing():
+            problems.append(f"labels {self.missing()} have no rows")
+        if problems:
+            raise ValueError("; ".join(problems))
 
 
 def row_identity() -> Column:

@@ -8,7 +8,7 @@ Scoring is row-local: no shuffle unless a partition count is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lexmill.functions import decode, normalized_text, round_half_even, stringify
-from lexmill.operators.bayes import MICRO, TEXT_MARK, BayesModel
+from lexmill.operators.bayes import MICRO, TEXT_MARK, BayesModel, family_weights
 from lexmill.operators.encode import Vocabulary, encoded_struct
 from lexmill.operators.lookup import Lookup, publish
 from lexmill.operators.prepare import repartition_for_scoring
@@ -158,7 +158,8 @@ def bayes_predictor(spark: SparkSession, model: BayesModel) -> Predictor:
         def predict(texts: np.ndarray) -> np.ndarray:
             cuts = np.cumsum([len(t) for t in texts]) // CHARS_PER_CHUNK
             parts = np.split(texts, np.flatnonzero(np.diff(cuts)) + 1)
-            return np.vstack([_bayes_chunk(part, weights, prior) for part in parts])
+            logits = np.vstack([_logit_sums(part, weights, prior) for part in parts])
+            return stable_softmax(logits / MICRO).astype(np.float32)
 
         return predict
 
@@ -177,27 +178,46 @@ def bayes_encoded_predictor(spark: SparkSession, model: BayesModel, max_length:
             row, place = np.nonzero(attention_mask == 1)
             ids, which = np.unique(input_ids[row, place].astype(np.int64), return_inverse=True)
             found, _ = weights.find([str(i) for i in ids])
-            return _bayes_scores(found[which], row, len(input_ids), prior)
+            logits = _row_sums(found, which, row, len(input_ids)) + prior
+            return stable_softmax(logits / MICRO).astype(np.float32)
 
         return predict
 
     return encoded_model(make_predict_fn, max_length)
 
 
-def _bayes_chunk(texts: np.ndarray, weights: Lookup, prior: np.ndarray) -> np.ndarray:
-    """Class probabilities of normalized texts."""
+def bayes_family_logits(spark: SparkSession, models: Sequence[BayesModel], text: Column | str = "text") -> Column:
+    """An array with the integer logits of each model in turn, null for null texts; texts are taken apart once for all."""
+    width = models[0].num_labels * len(models)
+    shared = publish(family_weights(spark, models), "token", "w", width, "models")
+
+    @F.arrow_udf("array<bigint>")
+    def logits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = shared.open()
+        prior = weights.find([TEXT_MARK])[0][0].astype(np.float64)
+        for column in batches:
+            texts = column.fill_null("").to_numpy(zero_copy_only=False)
+            cuts = np.cumsum([len(t) for t in texts]) // CHARS_PER_CHUNK
+            parts = np.split(texts, np.flatnonzero(np.diff(cuts)) + 1)
+            sums = np.vstack([_logit_sums(part, weights, prior) for part in parts]).astype(np.int64)
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width)
+            yield pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()), mask=column.is_null())
+
+    return logits(normalized_text(text))
+
+
+def _logit_sums(texts: np.ndarray, weights: Lookup, prior: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each normalized text's tokens, and the prior."""
     words = pc.split_pattern(pa.array(texts, pa.string()), " ")
     coded = words.values.dictionary_encode()
     found, _ = weights.find(coded.dictionary.to_pylist())
     row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-    return _bayes_scores(found[coded.indices.to_numpy()], row, len(texts), prior)
+    return _row_sums(found, coded.indices.to_numpy(), row, len(texts)) + prior
 
 
-def _bayes_scores(weights: np.ndarray, row: np.ndarray, n: int, prior: np.ndarray) -> np.ndarray:
-    """Class probabilities of ``n`` rows from the weights of their tokens: integer sums, so the same in any order."""
-    # Far below 2**53, so exact in doubles.
-    logits = np.column_stack([np.bincount(row, weights=weights[:, c], minlength=n) + prior[c] for c in range(len(prior))])
-    return stable_softmax(logits / MICRO).astype(np.float32)
+def _row_sums(weights: np.ndarray, which: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, k) sums over each row's tokens, ``which`` of ``weights``: of integers far below 2**53, so exact in any order."""
+    return np.column_stack([np.bincount(row, weights=weights[which, c], minlength=n) for c in range(weights.shape[1])])
 
 
 def stable_softmax(logits: np.ndarray) -> np.ndarray:

@@ -260,6 +260,7 @@ CAST(3 AS BIGINT) AS n_losses, CAST(3 AS BIGINT) AS n_epochs, true AS steps_rise
         "step_budget": f"""WITH {DOCS}, sides AS (SELECT *, {_split('text')} AS split FROM docs)
 SELECT CAST(floor(4 * count(*) / 32) AS BIGINT) AS max_steps, CAST(4 AS BIGINT) AS n_evaluations, true AS spent
 FROM sides WHERE split = 'train'""",
+        "resumed_run": "SELECT CAST(3 AS BIGINT) AS n_evaluations, true AS same_log, true AS same_predictions",
         "encode_pages": f"""WITH {VOCAB},{_encoded(str(MAX_LENGTH), 'pages', 'page_id', 'html')}
 SELECT page_id, input_ids, attention_mask FROM encoded""",
         "encode_full_length": f"""WITH {VOCAB},

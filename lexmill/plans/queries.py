@@ -28,7 +28,7 @@ from lexmill.operators.softmax import fit_softmax, softmax_predictor
 from lexmill.plans.centroid import centroid_predictor, fit_centroids
 from lexmill.plans.inference import run_predictor, run_scoring, score_counted
 from lexmill.plans.training import run_sweep, run_training
-from lexmill.session import scratch_path
+from lexmill.session import scratch_path, written
 from lexmill.sources import (
     file_manifest,
     ingest,
@@ -407,7 +407,7 @@ def token_length_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def nb_weights(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = prepare.split_pair(documents(spark, sf), "text")
-    vocab = bayes.vocabulary(bayes.fit_counts(train, len(LANGS)), len(LANGS))
+    vocab = written(bayes.vocabulary(bayes.fit_counts(train, len(LANGS)), len(LANGS)), "vocab")
     return bayes.bayes_weights(vocab, len(LANGS)).where(F.col("token") != bayes.TEXT_MARK)
 
 
@@ -602,12 +602,15 @@ def step_evaluations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def step_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """A run over one partition that two workers' steps are planned for: it is as long as planned."""
+    """A run over the table's own partitions, in lots of unlike size, with two workers' steps: it is as long as planned."""
     train, test = prepare.split_pair(documents(spark, sf), "text")
     plan = prepare.step_plan(train, SOFTMAX_BATCH, epochs=4, parallelism=2).first()["max_steps"]
     path = scratch_path(spark, "softmax")
     options = {"batch_size": SOFTMAX_BATCH, "epochs": 4, "parallelism": 2, "lazy": True, "max_steps": plan}
-    _, state = fit_softmax(train.coalesce(1), test, path, len(LANGS), "doc_id", **options)
+    source = scratch_path(spark, "lots")
+    lot = F.when(F.col("doc_id") % 7 < 4, 0).otherwise(F.col("doc_id") % 7)
+    train.repartition(lot).write.parquet(source)
+    _, state = fit_softmax(read_back(spark, source), test, path, len(LANGS), "doc_id", **options)
     log = log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
     return log.agg(
         F.lit(plan).cast("bigint").alias("max_steps"),
@@ -616,6 +619,26 @@ def step_budget(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def resumed_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run of three epochs, cut after two and resumed, against one that went through."""
+    train, test = prepare.split_pair(documents(spark, sf), "text")
+    options = {"batch_size": SOFTMAX_BATCH, "parallelism": 4, "save_total_limit": 2}
+    paths = scratch_path(spark, "resumed"), scratch_path(spark, "whole")
+    fit_softmax(train, test, paths[0], len(LANGS), "doc_id", epochs=2, **options)
+    found = []
+    for path in paths:
+        model, state = fit_softmax(train, test, path, len(LANGS), "doc_id", epochs=3, resume=True, **options)
+        log = log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
+        scored = scoring.score(test, softmax_predictor(spark, model)).select("doc_id", "predicted_class")
+        found.append((log.where("eval_f1 is not null").select("step", "epoch", _six("eval_f1", "eval_f1")), scored))
+    (log, scored), (whole_log, whole) = found
+    return log.agg(
+        F.count(F.lit(1)).alias("n_evaluations"),
+        (log.exceptAll(whole_log).agg(F.count(F.lit(1))).scalar() == 0).alias("same_log"),
+        (scored.exceptAll(whole).agg(F.count(F.lit(1))).scalar() == 0).alias("same_predictions"),
+    )
+
+
 def sweep_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     train, test = prepare.split_pair(documents(spark, sf), "text")
     store = runs.RunStore(spark, scratch_path(spark, "sweep"))
@@ -822,6 +845,7 @@ QUERIES: dict[str, Query] = {
     "epoch_log_shape": epoch_log_shape,
     "step_evaluations": step_evaluations,
     "step_budget": step_budget,
+    "resumed_run": resumed_run,
     "sweep_leaderboard": sweep_leaderboard,
     "confusion_matrix": confusion_matrix,
     "per_class_metrics": per_class_metrics,

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 from lexmill.config import ScoringJob, TrainingConfig
 from lexmill.functions import first_tokens
 from lexmill.operators.bayes import load_bayes, score_bayes
+from lexmill.operators.metrics import evaluate
+from lexmill.operators.prepare import LabelWatch
 from lexmill.operators.runs import RunStore
+from lexmill.operators.softmax import fit_softmax
 from lexmill.plans import run_scoring, run_sweep, run_training
 from lexmill.session import scratch_path, shared_dir
 
@@ -98,3 +101,88 @@ def test_count_based_model_honours_the_token_length(spark, store, tmp_path):
     frame.write.parquet(str(tmp_path / "in"))
     job = ScoringJob("short", str(tmp_path / "in"), str(tmp_path / "out"))
     assert run_scoring(spark, job, store).where("label <> predicted_class").count() == 0
+
+
+def input_records(spark, path, work):
+    """Records that tasks read of the files below a path, from Spark's own accounting of a job group."""
+    table = spark.read.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    work(table.mapInArrow(count, table.schema))
+    return seen.value
+
+
+@pytest.mark.parametrize("side", ["train", "test"])
+def test_sweep_reads_texts_once_however_many_configs(spark, split, store, tmp_path, side):
+    place = ["train", "test"].index(side)
+    split[place].write.parquet(str(tmp_path / "side"))
+    read = []
+    for sizes in ((10, 5000), (10, 20, 50, 100, 200, 500, 1000, 2000, 5000, None)):
+        configs = [TrainingConfig(model_type="bayes", num_labels=4, max_vocab=n, experiment_location=f"once-{side}") for n in sizes]
+
+        def work(frame):
+            sides = list(split)
+            sides[place] = frame
+            run_sweep(spark, configs, store, *sides)
+
+        read.append(input_records(spark, str(tmp_path / "side"), work))
+    # The example of a model's input looks at the first partition of the train side.
+    n = split[place].count()
+    assert read[0] == read[1] <= (2 * n if side == "train" else n)
+
+
+def test_swept_models_equal_models_of_their_own(spark, split, store):
+    sizes = (30, None, 700)
+    configs = [TrainingConfig(model_type="bayes", num_labels=4, max_vocab=n, max_token_length=50, experiment_location="own") for n in sizes]
+    swept = run_sweep(spark, configs, store, *split)
+    for config, run_id in zip(configs, swept):
+        alone = run_training(spark, config, store, *split)
+        one, two = (store.runs().where(f"run_id = '{r}'").first()["metrics"] for r in (run_id, alone))
+        assert {m: v for m, v in one.items() if m != "train_runtime"} == pytest.approx({m: v for m, v in two.items() if m != "train_runtime"})
+        weights = [load_bayes(spark, store.model_path(r)).weights(spark) for r in (run_id, alone)]
+        assert weights[0].exceptAll(weights[1]).isEmpty() and weights[1].exceptAll(weights[0]).isEmpty()
+        model = load_bayes(spark, store.model_path(run_id))
+        scored = score_bayes(split[1].withColumn("_body", first_tokens("text", 48)), model, "doc_id", "_body")
+        assert evaluate(scored)["f1"] == pytest.approx(one["eval_f1"])
+
+
+@pytest.mark.parametrize("model_type", ["bayes", "softmax"])
+def test_labels_are_checked_while_they_are_read(spark, split, store, model_type):
+    train, test = split
+    config = TrainingConfig(model_type=model_type, num_labels=4, num_train_epochs=1, parallelism=2, experiment_location=f"audit-{model_type}")
+    text = F.col("label").cast("string")
+    bad = {
+        "have no rows": (train.where("label <> 2"), test),
+        "are not integers": (train.withColumn("label", F.when(F.col("label") == 1, "x").otherwise(text)), test),
+        "null labels": (train, test.withColumn("label", F.when(F.col("label") != 3, F.col("label")))),
+        "outside 0..3": (train, test.withColumn("label", F.col("label") + 1)),
+    }
+    for words, sides in bad.items():
+        with pytest.raises(ValueError, match=words):
+            run_training(spark, config, store, *sides)
+    assert store.runs().where(f"experiment = 'audit-{model_type}'").count() == 0
+    run_id = run_training(spark, config, store, train, test.where("label <> 3"))
+    assert store.runs().where(f"run_id = '{run_id}'").first()["params"]["test_labels_missing"] == "[3]"
+
+
+def test_labels_of_nothing(spark, split):
+    watch = LabelWatch(4)
+    assert watch.watch(split[0].limit(0)).count() == 0
+    with pytest.raises(ValueError, match="have no rows"):
+        watch.require()
+    watch.require(dense=False)
+
+
+def test_a_run_is_resumed_by_its_id(spark, split, store):
+    config = TrainingConfig(num_labels=4, num_train_epochs=2, parallelism=2, batch_size=8, experiment_location="resume")
+    run_id = store.new_run_id()
+    fit_softmax(*split, store.model_path(run_id), 4, "doc_id", batch_size=8, epochs=1, parallelism=2)
+    assert run_training(spark, config, store, *split, run_id=run_id) == run_id
+    whole = run_training(spark, config, store, *split)
+    one, two = (store.runs().where(f"run_id = '{r}'").first()["metrics"] for r in (run_id, whole))
+    assert one["eval_f1"] == pytest.approx(two["eval_f1"])

@@ -100,3 +100,72 @@ def test_null_text_scores_null(spark, run):
 )
 def test_retention(metric_of, limit, want):
     assert checkpoints_to_keep(metric_of, limit) == want
+
+
+def test_a_killed_run_goes_on_where_it_was(spark, split, run, tmp_path, monkeypatch):
+    from lexmill.operators import softmax
+
+    path, whole_epoch, calls = str(tmp_path / "run"), softmax._run_epoch, []
+
+    def killed(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return whole_epoch(*args)
+
+    options = {"batch_size": 8, "epochs": 3, "parallelism": 2, "save_total_limit": 2}
+    monkeypatch.setattr(softmax, "_run_epoch", killed)
+    with pytest.raises(KeyboardInterrupt):
+        fit_softmax(*split, path, 4, "doc_id", **options)
+    monkeypatch.setattr(softmax, "_run_epoch", whole_epoch)
+    # What a run killed while it saved leaves: a checkpoint without its progress.
+    softmax.save_checkpoint(spark, softmax.load_softmax(spark, path, 2), softmax.TrainingState(path), 3)
+    assert softmax.newest_checkpoint(spark, path).metric_of.keys() == {1, 2}
+    model, state = fit_softmax(*split, path, 4, "doc_id", resume=True, **options)
+    want, whole = run
+    assert np.allclose(model.weights, want.weights, atol=1e-9)
+    assert (state.global_step, state.kept_epochs, state.best_epoch) == (whole.global_step, whole.kept_epochs, whole.best_epoch)
+    pick = [(e["step"], e["epoch"], e.get("eval_f1")) for e in state.log_history]
+    assert pick == [(e["step"], e["epoch"], e.get("eval_f1")) for e in whole.log_history]
+
+
+def test_resuming_nothing_is_a_new_run(spark, split, run, tmp_path):
+    model, _ = fit_softmax(*split, str(tmp_path), 4, "doc_id", batch_size=8, epochs=3, parallelism=2, resume=True)
+    assert np.allclose(model.weights, run[0].weights, atol=1e-9)
+
+
+def test_quotas_add_up_to_the_budget():
+    from lexmill.operators.softmax import step_quotas
+
+    assert step_quotas([100, 100], 10, 20) is None
+    assert step_quotas([], 10, 0) is None
+    for rows in ([1000, 10, 1, 0], [7] * 13, [5, 500]):
+        whole = [-(-n // 10) for n in rows]
+        for steps in range(sum(whole)):
+            quotas = step_quotas(rows, 10, steps)
+            assert sum(quotas) == steps and all(q <= w for q, w in zip(quotas, whole))
+
+
+def test_a_budget_is_spent_over_uneven_partitions(spark, tmp_path):
+    rows = spark.range(1_300).selectExpr("id as doc_id", "concat('w', id % 7) as text", "cast(id % 2 as int) as label")
+    path = str(tmp_path / "in")
+    for low, high in ((0, 1_000), (1_000, 1_010), (1_010, 1_200), (1_200, 1_201), (1_201, 1_300)):
+        rows.where(f"doc_id >= {low} and doc_id < {high}").coalesce(1).write.mode("append").parquet(path)
+    table = spark.read.parquet(path)
+    _, state = fit_softmax(table, table, str(tmp_path / "m"), 2, "doc_id", batch_size=10, epochs=9, parallelism=3, lazy=True, max_steps=65)
+    assert state.global_step == 65
+
+
+def test_only_touched_features_leave_a_worker(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import softmax
+
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('w', id % 9) as text", "cast(id % 2 as int) as label")
+    features = rows.select("label", softmax.hashed_tokens("text", 17).alias("features")).repartition(4)
+    model = softmax.SoftmaxModel(np.zeros((2**17 + 1, 2)), 17)
+    task = softmax._epoch_task(spark.sparkContext.broadcast(model.weights), 8, 1.0, None)
+    sent = features.mapInArrow(task, "feature int, moved array<double>, n bigint, loss double, steps bigint")
+    assert sent.count() == 4 * (9 + 1)
+    weights, _, steps = softmax._run_epoch(features, model, 8, 1.0, 0.0, None)
+    assert steps == sent.agg(F.sum("steps")).first()[0] and np.count_nonzero(weights.any(axis=1)) <= 10
