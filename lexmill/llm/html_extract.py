@@ -10,9 +10,9 @@ labelling of all blocks together.
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -35,6 +35,7 @@ P_CLOSERS = frozenset(
     " header hgroup hr main menu nav ol p pre search section table ul".split()
 )
 SAME_CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+FOREIGN = frozenset("svg math".split())
 SCOPES = frozenset("ul ol dl table article section div main body".split())
 
 #: Words in class, id, role and aria-label that speak against and for content.
@@ -67,58 +68,118 @@ ADJACENT, SAME_PARENT, SIBLING = 0.3, 0.5, 0.3
 SCALE = 1000
 
 
-@dataclass
+@dataclass(slots=True)
+class Place:
+    """An open element, and what it and those around it say of their text; made once, from its parent's."""
+
+    tag: str = ""
+    number: int = 0
+    above: int = 0
+    depth: int = 0
+    #: Of the nearest element that is not inline: itself, or one around it.
+    block_tag: str = ""
+    inside: bool = False
+    against: bool = False
+    form_outside: bool = False
+    form_inside: bool = False
+    header_inside: bool = False
+    paragraph: bool = False
+    names: frozenset[str] = frozenset()
+
+    def child(self, tag: str, number: int, names: frozenset[str]) -> "Place":
+        names = self.names | names if names else self.names
+        if tag in INLINE:
+            return replace(self, tag=tag, names=names)
+        inside = self.inside or tag in ("article", "main")
+        form = tag in ("form", "fieldset")
+        header = tag == "header"
+        return Place(
+            tag,
+            number,
+            self.number,
+            self.depth + 1,
+            tag,
+            inside,
+            # A header around the article is the page's.
+            self.against or tag in ("nav", "menu", "footer", "aside", "search") or header and not self.inside,
+            # Some pages stand in a form as a whole.
+            self.form_outside or form and not inside,
+            self.form_inside or form and inside,
+            self.header_inside or header and self.inside,
+            self.paragraph or tag == "p",
+            names,
+        )
+
+
+@dataclass(slots=True)
 class Block:
-    """One block: its text, its place in the DOM, how much of it is link text."""
+    """One block: its text, its place in the DOM, how much of it is link text, and how deep it and the block before part."""
 
     text: str
-    path: tuple[int, ...]
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    place: Place
     link_chars: int
+    common: int
 
 
-def _spoken(tag: str, words: frozenset[str]) -> frozenset[str]:
-    """What the names of an element say about its text."""
+def _spoken(tag: str, tokens: list[list[str]]) -> frozenset[str]:
+    """What the names of an element, each as its words, say about its text.
+
+    Where a whole name says content, compound ones such as ``tag-notice`` do not
+    speak against it; only names made of such words alone do.
+    """
+    words = frozenset(word for token in tokens for word in token)
     if tag in ("html", "body", "main") or words & LAYOUT:
         return frozenset()
     if words & FOR and words & AGAINST <= {"header", "head"}:  # a headline's box
         return words & FOR
+    if any(FOR.issuperset(token) for token in tokens):
+        whole = [word for token in tokens if AGAINST.issuperset(token) for word in token]
+        return words & FOR | frozenset(whole)
     return words & (AGAINST | FOR)
 
 
 class _Blocks(HTMLParser):
+    """Reads a page in one pass; the work on a tag does not grow with the elements around it."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, int, frozenset[str]]] = []
+        self.open: list[Place] = [Place()]
+        self.count: Counter[str] = Counter()
         self.made = self.hidden = self.links = self.link_chars = 0
+        # The least depth since the last block: up to there its path and the next one's agree.
+        self.least = 0
         self.parts: list[str] = []
 
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i):  # in a page that is a comment, whatever it says
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = [(t, n, w) for t, n, w in self.open if t not in INLINE]
-            names = frozenset().union(*[w for _, _, w in self.open])
-            self.blocks.append(
-                Block(text, tuple(n for _, n, _ in path), tuple(t for t, _, _ in path), names, self.link_chars)
-            )
+            place = self.open[-1]
+            self.blocks.append(Block(text, place, self.link_chars, min(self.least, place.depth)))
+            self.least = place.depth
         self.parts, self.link_chars = [], 0
 
     def _pop_to(self, at: int) -> None:
-        for tag, _, _ in self.open[at:]:
-            self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
+        for place in self.open[at:]:
+            self.count[place.tag] -= 1
+            self.hidden -= place.tag in HIDDEN
+            self.links -= place.tag == "a"
         del self.open[at:]
+        self.least = min(self.least, self.open[-1].depth)
 
     def _close_same(self, tag: str) -> None:
         same = SAME_CLOSERS.get(tag, {"p"} if tag in P_CLOSERS else None)
-        if same:
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] in same:
+        if same and any(self.count[other] for other in same):
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at].tag in same:
                     self._pop_to(at)
                     return
-                if self.open[at][0] in SCOPES:
+                if self.open[at].tag in SCOPES:
                     return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -126,20 +187,25 @@ class _Blocks(HTMLParser):
             self.flush()
             self._close_same(tag)
         if tag == "body":  # whatever was left open in the head is over
+            keep = 2 if len(self.open) > 1 and self.open[1].tag == "html" else 1
+            self._pop_to(keep)
             self.hidden = 0
-            self.open = [x for x in self.open if x[0] == "html"]
         if tag in VOID:
             return
-        words = [w for k, v in attrs if v and k in ("class", "id", "role", "aria-label") for w in re.split(r"[^a-z]+", v.lower())]
+        named = [v.lower() for k, v in attrs if v and k in ("class", "id", "role", "aria-label")]
+        tokens = [[w for w in re.split(r"[^a-z]+", token) if w] for value in named for token in value.split()]
         off = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        names = _spoken(tag, frozenset(words)) | (frozenset({"hidden"}) if off else frozenset())
+        names = _spoken(tag, [t for t in tokens if t]) | (frozenset({"hidden"}) if off else frozenset())
         self.made += 1
-        self.open.append((tag, self.made, names))
+        self.count[tag] += 1
+        self.open.append(self.open[-1].child(tag, self.made, names))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID or tag in INLINE:
+        if tag in FOREIGN:  # these alone may close themselves
+            self.flush()
+        elif tag in VOID or tag in INLINE:
             self.handle_starttag(tag, attrs)
             if tag not in VOID:
                 self.handle_endtag(tag)
@@ -151,11 +217,13 @@ class _Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
+        if not self.count[tag]:
+            return
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == tag:
                 self._pop_to(at)
                 return
-            if tag in INLINE and self.open[at][0] in SCOPES:
+            if tag in INLINE and self.open[at].tag in SCOPES:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -167,6 +235,8 @@ class _Blocks(HTMLParser):
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page, in page order, without scripts, styles, forms and other hidden parts."""
+    if "&#" in html:  # numbers too long for any character, which cannot be read as one
+        html = re.sub(r"&#0*[1-9][0-9]{7,};?", "\ufffd", re.sub(r"&#0+(?=[0-9])", "&#", html))
     parser = _Blocks()
     parser.feed(html)
     parser.close()
@@ -176,27 +246,23 @@ def blocks_of(html: str) -> list[Block]:
 
 def content_score(block: Block) -> float:
     """Log odds that a block is content."""
-    w, tags = WEIGHTS, block.tags
+    w, place = WEIGHTS, block.place
     n = len(block.text.split())
-    inside = next((i for i, t in enumerate(tags) if t in ("article", "main")), None)
-    against = [t for t in tags if t in ("nav", "menu", "footer", "aside", "search")]
-    against += [t for t in tags[inside:] if t in ("form", "fieldset")]  # some pages stand in a form as a whole
-    against += [t for t in tags[:inside] if t == "header"]
-    heading = tags[-1:] in (("h1",), ("h2",), ("h3",))
-    if inside is not None and "header" in tags[inside:] and not heading:  # there it may hold the headline
-        against.append("header")
-    names = block.names - {"header", "head"} if inside is not None and heading else block.names
+    heading = place.block_tag in ("h1", "h2", "h3")
+    against = place.against or (place.form_inside if place.inside else place.form_outside)
+    against = against or place.header_inside and not heading  # there it may hold the headline
+    names = place.names - {"header", "head"} if place.inside and heading else place.names
     chars = max(1, len("".join(block.text.split())))
     score = w["bias"]
-    score += w["article"] * (inside is not None)
-    score += w["against_tag"] * bool(against)
+    score += w["article"] * place.inside
+    score += w["against_tag"] * against
     score += w["against_name"] * bool(names & AGAINST)
     score += w["for_name"] * bool(names & FOR)
     score += w["words"] * min(3.0, math.log2(1 + n) - 2)
     score += w["links"] * min(1.0, block.link_chars / chars) ** 2
     score += w["sentence"] * (block.text[-1] in ".!?…。」”\"")
     score += w["heading"] * heading
-    score += w["paragraph"] * ("p" in tags)
+    score += w["paragraph"] * place.paragraph
     return score
 
 
@@ -204,12 +270,11 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours and between close relatives in the DOM."""
     edges, last = [], {}
     for i, block in enumerate(blocks):
-        parent = block.path[:-1]
+        parent = block.place.above
         if i:
-            before = blocks[i - 1].path
-            common = sum(1 for _ in _common(block.path, before))
-            near = common / max(len(block.path), len(before), 1)
-            same = SAME_PARENT if parent == before[:-1] else 0.0
+            before = blocks[i - 1].place
+            near = block.common / max(block.place.depth, before.depth, 1)
+            same = SAME_PARENT if parent == before.above else 0.0
             edges.append((i - 1, i, ADJACENT * (0.5 + near) + same))
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, SIBLING))
@@ -217,13 +282,6 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     return edges
 
 
-def _common(a: tuple[int, ...], b: tuple[int, ...]) -> Iterator[int]:
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            return
-        yield x
-
-
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's (content) side of a minimum cut.
 
@@ -296,8 +354,14 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 
 
 def main_text(html: str) -> str:
-    """The blocks on the content side, joined by one space."""
-    blocks = blocks_of(html)
+    """The blocks on the content side, joined by one space.
+
+    Markup that the parser gives up on is read without its tags.
+    """
+    try:
+        blocks = blocks_of(html)
+    except (AssertionError, ValueError):
+        blocks = blocks_of(re.sub(r"<[!?][^>]*>|&#", " ", html))
     content = min_cut([content_score(b) for b in blocks], smoothness(blocks))
     return " ".join(b.text for b, yes in zip(blocks, content, strict=True) if yes)
 

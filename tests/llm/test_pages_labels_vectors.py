@@ -211,3 +211,46 @@ def test_few_vectors_give_all_candidates(spark):
     found = sorted(neighbours.nearest(df).collect(), key=lambda r: r["rank"])
     assert [r["vec_id"] for r in found] == [9, 7]
     assert neighbours.nearest(df.limit(0)).collect() == []
+
+
+ODD_PAGES = [
+    ("<article><p>{p}</p><![foo[ x ]]></article>", "{p}"),
+    ("<article><p>{p}</p><![if IE]><!foo><?php x ?><!DOCTYPE x [<!y]></article>", "{p}"),
+    ("<article class='post tag-notice category-social'><p>{p}</p></article>", "{p}"),
+    ("<div class='content share-enabled'><p>{p}</p></div>", "{p}"),
+    ("<div class='content sidebar'><p>{p}</p></div>", ""),
+    ("<article><div class='post-comments'><p>{p}</p></div></article>", ""),
+    ("<article><svg/><p>{p}</p><math/><p>{p}</p></article>", "{p} {p}"),
+    ("<article><svg><path/><text>no</text></svg><p>{p}</p></article>", "{p}"),
+    ("<article><p>{p} &#{nines}; &#{zeros}65;</p></article>", "{p} � A"),
+]
+
+
+@pytest.mark.parametrize("markup, text", ODD_PAGES)
+def test_odd_markup_gives_its_article(markup, text):
+    values = {"p": PARAGRAPH, "nines": "9" * 6000, "zeros": "0" * 6000}
+    fill = lambda s: __import__("re").sub(r"\{(\w+)\}", lambda m: values[m[1]], s)
+    assert html_extract.main_text(fill(markup)) == fill(text)
+
+
+def test_no_markup_stops_a_page():
+    rng = random.Random(7)
+    bits = ["<", ">", "</", "/>", "<!", "<![", "]]>", "<!--", "-->", "<?", "&#", "&#x", "&amp", ";", "=", "'", '"', " ", "\n", "\x00", "é", "9" * 20]
+    bits += ["<p>", "<svg/>", "<math>", "<body>", "<html", "<li>", "<table><td>", "article", "class='post ad'", "<script>", "</script", "text here."]
+    bits += ["<![CDATA[", "<!DOCTYPE", "<!ELEMENT x", "<textarea>", "<title>", "<plaintext>", "<a href=x>", "</a>", "<form>", "</body></html>"]
+    for _ in range(3_000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
+        assert isinstance(html_extract.main_text(html), str), html
+
+
+@pytest.mark.parametrize("shape", ["nested", "unclosed", "inline"])
+def test_deep_pages_take_time_in_proportion(shape):
+    import time
+
+    n = 8_000
+    before = {"nested": "<div>" * n, "unclosed": "", "inline": "<article>"}[shape]
+    each = {"nested": "<p>{}</p>", "unclosed": "<div><p>{}</p>", "inline": "<b><p>{}</p>"}[shape]
+    page = before + "".join(each.format(f"{PARAGRAPH} {i}.") for i in range(n))
+    started = time.time()
+    assert html_extract.main_text(page).count(PARAGRAPH) == n
+    assert time.time() - started < 4
