@@ -3,14 +3,22 @@
 Targets: every source gets its share by weight of the wanted total; a source
 above its cap (so many passes over its data) is clamped, and what is left over
 goes to the others by weight, again until none is above. Each round is one small
-aggregate over the sources. Taken: whole passes first, then documents in seeded
-hash order as long as they fit the rest, then the one further document that
-comes closest to what is still missing. ``mix`` stops at the first document that
-does not fit, as the query's SQL does; ``filled`` goes on behind it.
+aggregate over the sources. Taken: whole passes first, then a fraction of a pass.
+
+The fraction is a seeded sample, documents in hash order up to a cut. Eighteen
+documents of each source are held back from it: its twelve largest, which a cut
+would not fit around, and six by hash. First it is settled about which of the
+largest are in, so that the rest can make up the target; the cut comes where the
+held back ones can still go either way; then of all choices among them the one
+is taken that brings the source closest to its target.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -20,8 +28,9 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Hex digits of the hash that name a bucket; 4,096 buckets a source.
 BUCKET_DIGITS = 3
-#: Passes over what the documents taken so far leave of a target, when documents that do not fit are passed over.
-FILL_ROUNDS = 8
+#: Documents of a source that are held back: those that are settled first, further large ones, and some by hash.
+LARGEST, LARGE, BY_HASH = 6, 6, 6
+HELD = LARGEST + LARGE + BY_HASH
 
 
 def _ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -69,153 +78,118 @@ def _targets(units: DataFrame, max_epochs: int) -> tuple[DataFrame, DataFrame]:
     return buckets, plan
 
 
+def subset_sums(sizes: list[int]) -> np.ndarray:
+    """The sum of each subset, at the place that has the bits of its members."""
+    sums = np.zeros(1, np.int64)
+    for size in sizes:
+        sums = np.concatenate([sums, sums + size])
+    return sums
+
+
+def settle(sizes: list[int], want: float, source_size: int) -> int:
+    """The sum of those of the largest units that are in.
+
+    What they leave of ``want`` must be no more than all other units have, and
+    not negative; of the choices that come nearest to that, the one whose share
+    of the units is most like the source's.
+    """
+    sums = subset_sums(sizes)
+    total = int(sums[-1])
+    over = np.maximum(np.maximum(sums - want, (want - sums) - (source_size - total)), 0.0)
+    share = np.abs(sums - want / source_size * total) if source_size else sums
+    return int(sums[np.lexsort((np.arange(len(sums)), share, over))[0]])
+
+
+def held_back(units: DataFrame) -> DataFrame:
+    """(source, held): the units a source holds back, by size and hash or by hash, as structs of h and size.
+
+    Ranks are cut down in each task before anything shuffles, so a source may have any number of units.
+    """
+    by_size = Window.partitionBy("source").orderBy(F.desc("size"), "h")
+    by_hash = Window.partitionBy("source").orderBy("h")
+    most = LARGEST + LARGE
+    tops = units.withColumn("k", F.row_number().over(by_size)).where(F.col("k") <= most)
+    # Whichever of these are among the largest, enough others are left.
+    firsts = units.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= HELD)
+    unit = F.struct("k", "h", "size")
+    pick = F.collect_list(F.when(F.col("large"), unit)), F.collect_list(F.when(~F.col("large"), unit))
+    both = tops.withColumn("large", F.lit(True)).unionByName(firsts.withColumn("large", F.lit(False)))
+    lists = both.groupBy("source").agg(F.array_sort(pick[0]).alias("tops"), F.array_sort(pick[1]).alias("firsts"))
+    others = F.slice(F.filter("firsts", lambda u: ~F.array_contains(F.transform("tops", lambda t: t["h"]), u["h"])), 1, BY_HASH)
+    held = F.transform(F.concat("tops", others), lambda u: F.struct(u["h"].alias("h"), u["size"].alias("size")))
+    return lists.select("source", held.alias("held"))
+
+
 def mixing_plan(units: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source: source_size, target, whole passes, cut and extra hash.
+    """One row per source: source_size, target, whole passes, cut hash, hashes held back and those of them that are in.
 
     ``units`` has (source, h, size), one row per hash. A unit is taken once more
-    than the whole passes if its hash is at most ``cut_hash``, or ``extra_hash``.
+    than the whole passes if it is in, or not held back and its hash at most the
+    cut's.
     """
-    buckets, plan = _targets(units, max_epochs)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = buckets.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    edge = (
-        sums.alias("b")
-        .join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-        .where((F.col("before") <= F.col("want")) & (F.col("before") + F.col("size") > F.col("want")))
-        .select("p.source", "want", "bucket", "before")
+    _, plan = _targets(units, max_epochs)
+    held = held_back(units)
+    wide = plan.alias("p").join(held.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left").select("p.*", "held")
+
+    def aim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            goals = []
+            for want, size, units in zip(frame["want"], frame["source_size"], frame["held"]):
+                sizes = [int(u["size"]) for u in units]
+                fine = sum(sizes[LARGEST:])
+                rest = int(size) - sum(sizes)
+                middle = want - settle(sizes[:LARGEST], want, int(size)) - fine / 2.0
+                goals.append(float(min(max(middle, 0.0), float(rest))))
+            yield frame.assign(goal=goals)
+
+    fields = "source string, source_size long, weight long, target double, whole long, want double, held array<struct<h:string,size:long>>"
+    aimed = kept(wide.select(*[f.split()[0] for f in fields.split(", ")]).mapInPandas(aim, f"{fields}, goal double"), "mix-aimed")
+
+    hashes = F.transform("held", lambda u: u["h"])
+    others = (
+        units.alias("u")
+        .join(aimed.select("source", "goal", hashes.alias("hashes")).alias("p"), F.col("u.source").eqNullSafe(F.col("p.source")))
+        .where(~F.array_contains("hashes", F.col("h")))
+        .select("u.source", "h", "size", "goal", F.substring("h", 1, BUCKET_DIGITS).alias("bucket"))
     )
-    edge = kept(edge, "mix-edge")
-    upto = Window.partitionBy("u.source").orderBy("u.h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = F.col("u.source").eqNullSafe(F.col("e.source")) & (F.substring("u.h", 1, BUCKET_DIGITS) == F.col("e.bucket"))
+    sums = others.groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.any_value("goal").alias("goal"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = kept(sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))), "mix-buckets")
+    edge = sums.where((F.col("before") <= F.col("goal")) & (F.col("before") + F.col("size") > F.col("goal")))
+    edge = kept(edge.select(F.col("source").alias("in_source"), F.col("bucket").alias("in_bucket"), "before"), "mix-edge")
+    upto = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = (
-        units.alias("u")
-        .join(edge.alias("e"), same)
-        .select("u.source", "u.h", (F.col("before") + F.sum("u.size").over(upto)).alias("reached"), "want")
-        .where(F.col("reached") <= F.col("want"))
+        others.join(edge, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("bucket") == F.col("in_bucket")))
+        .select("source", "h", "goal", (F.col("before") + F.sum("size").over(upto)).alias("reached"))
+        .where(F.col("reached") <= F.col("goal"))
         .groupBy("source")
-        .agg(F.max("h").alias("last_hash"), F.max("reached").alias("reached"))
+        .agg(F.max("h").alias("last"), F.max("reached").alias("reached"))
     )
+    whole = sums.groupBy("source").agg(F.sum("size").alias("all"))
     cuts = (
-        edge.alias("e")
-        .join(inside.alias("i"), F.col("e.source").eqNullSafe(F.col("i.source")), "left")
+        aimed.alias("p")
+        .join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.in_source")), "left")
+        .join(inside.alias("i"), F.col("p.source").eqNullSafe(F.col("i.source")), "left")
+        .join(whole.alias("w"), F.col("p.source").eqNullSafe(F.col("w.source")), "left")
         .select(
-            "e.source",
-            F.coalesce("last_hash", "bucket").alias("cut_hash"),
-            (F.col("want") - F.coalesce("reached", "before")).alias("gap"),
+            *[f"p.{f.split()[0]}" for f in fields.split(", ")],
+            F.coalesce("last", "in_bucket", F.lit("g")).alias("cut_hash"),  # behind all hex digits
+            F.coalesce("reached", "before", "all", F.lit(0)).cast("long").alias("reached"),
         )
     )
-    cuts = kept(cuts, "mix-cuts")
-    off = F.abs(F.col("gap") - F.col("size"))
-    extra = (
-        units.alias("u")
-        .join(cuts.alias("c"), F.col("u.source").eqNullSafe(F.col("c.source")))
-        .where((F.col("h") > F.col("cut_hash")) & (off < F.col("gap")))
-        .groupBy("u.source")
-        .agg(F.min(F.struct(off.alias("off"), F.col("h").alias("h")))["h"].alias("extra_hash"))
-    )
-    return kept(
-        plan.alias("p")
-        .join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
-        .join(extra.alias("x"), F.col("p.source").eqNullSafe(F.col("x.source")), "left")
-        .select("p.source", "source_size", "weight", "target", "whole", "cut_hash", "extra_hash"),
-        "mix-plan",
-    )
 
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            chosen = []
+            for want, reached, units in zip(frame["want"], frame["reached"], frame["held"]):
+                off = np.abs((want - reached) - subset_sums([int(u["size"]) for u in units]))
+                best = int(np.argmin(off))  # the first of the closest
+                chosen.append([u["h"] for place, u in enumerate(units) if best >> place & 1])
+            hashes = [[u["h"] for u in units] for units in frame["held"]]
+            yield frame.assign(held=hashes, chosen=chosen)[["source", "source_size", "target", "whole", "cut_hash", "held", "chosen"]]
 
-def _is_in(steps: str, h: str, length: str) -> Column:
-    """Whether one of the steps takes a document of this hash and length."""
-    return F.expr(f"coalesce(exists({steps}, s -> {h} > s.start and {h} <= s.last and {length} <= s.want), false)")
-
-
-def filling_plan(units: DataFrame, max_epochs: int = MAX_EPOCHS, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """One row per source: source_size, target, whole passes, steps and extra hash.
-
-    ``units`` has (source, h, length, size): size is that of all rows of a hash,
-    length that of one. Each step goes on in hash order behind the unit that did
-    not fit before, with units no longer than what is left, up to the next one
-    that does not fit. After the steps one further unit is taken if it comes
-    closer to the target.
-    """
-    _, plan = _targets(units, max_epochs)
-    left = plan.where("want > 0").select("source", "want", F.lit("").alias("start"))
-    steps = []
-    for n in range(rounds):
-        left = kept(left, "mix-left")
-        fitting = (
-            units.alias("u")
-            .join(left.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")))
-            .where("h > start and length <= want")
-            .select("u.source", "h", "size", F.substring("h", 1, BUCKET_DIGITS).alias("bucket"))
-        )
-        before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = kept(
-            fitting.groupBy("source", "bucket")
-            .agg(F.sum("size").alias("size"))
-            .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))),
-            "mix-fitting",
-        )
-        edge = kept(
-            sums.alias("b")
-            .join(left.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
-            .where((F.col("before") <= F.col("want")) & (F.col("before") + F.col("size") > F.col("want")))
-            .select("s.source", "want", "bucket", "before"),
-            "mix-edge",
-        )
-        upto = Window.partitionBy("u.source").orderBy("u.h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        fits = F.col("reached") <= F.col("want")
-        inside = (
-            fitting.alias("u")
-            .join(edge.alias("e"), F.col("u.source").eqNullSafe(F.col("e.source")) & (F.col("u.bucket") == F.col("e.bucket")))
-            .select("u.source", "u.h", "want", "before", "e.bucket", (F.col("before") + F.sum("u.size").over(upto)).alias("reached"))
-            .groupBy("source")
-            .agg(
-                F.coalesce(F.max(F.when(fits, F.col("h"))), F.max("bucket")).alias("last"),
-                F.coalesce(F.max(F.when(fits, F.col("reached"))), F.max("before")).alias("reached"),
-                F.min(F.when(~fits, F.col("h"))).alias("next"),
-            )
-        )
-        whole = sums.groupBy("source").agg(F.sum("size").alias("all"))
-        step = kept(
-            left.alias("s")
-            .join(inside.alias("i"), F.col("s.source").eqNullSafe(F.col("i.source")), "left")
-            .join(whole.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left")
-            .select(
-                "s.source",
-                F.lit(n).alias("n"),
-                "start",
-                F.coalesce("last", F.lit("g")).alias("last"),  # behind all hex digits
-                "want",
-                (F.col("want") - F.coalesce("reached", "all", F.lit(0))).alias("gap"),
-                "next",
-            ),
-            "mix-step",
-        )
-        steps.append(step)
-        left = step.where("next is not null and gap > 0").select("source", F.col("gap").alias("want"), F.col("next").alias("start"))
-    every = steps[0]
-    for step in steps[1:]:
-        every = every.unionAll(step)
-    taken = kept(
-        every.groupBy("source").agg(
-            F.collect_list(F.struct("start", "last", "want")).alias("steps"), F.max_by("gap", "n").alias("gap")  # one a round
-        ),
-        "mix-taken",
-    )
-    off = F.abs(F.col("gap") - F.col("size"))
-    extra = (
-        units.alias("u")
-        .join(taken.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
-        .where(~_is_in("steps", "h", "length") & (off < F.col("gap")))
-        .groupBy("u.source")
-        .agg(F.min(F.struct(off.alias("off"), F.col("h").alias("h")))["h"].alias("extra_hash"))
-    )
-    return kept(
-        plan.alias("p")
-        .join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left")
-        .join(extra.alias("x"), F.col("p.source").eqNullSafe(F.col("x.source")), "left")
-        .select("p.source", "source_size", "target", "whole", "steps", "extra_hash"),
-        "mix-plan",
-    )
+    result = "source string, source_size long, target double, whole long, cut_hash string, held array<string>, chosen array<string>"
+    return kept(cuts.mapInPandas(choose, result), "mix-plan")
 
 
 def seeded_hash(seed: str = SEED):
@@ -235,22 +209,15 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
     """
     units, rows = _units(docs, seed)
     plan = mixing_plan(units, max_epochs)
-    more = (F.col("h") <= F.col("cut_hash")) | (F.col("h") == F.col("extra_hash"))
-    return _with_copies(rows, plan, more)
-
-
-def filled(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """As ``mix``, but documents that do not fit what is left of a target are passed over, and later ones fill it."""
-    units, rows = _units(docs, seed)
-    plan = filling_plan(units, max_epochs, rounds)
-    return _with_copies(rows, plan, _is_in("steps", "h", "size") | F.col("h").eqNullSafe(F.col("extra_hash")))
+    more = F.when(F.array_contains("held", F.col("h")), F.array_contains("chosen", F.col("h")))
+    return _with_copies(rows, plan, more.otherwise(F.col("h") <= F.col("cut_hash")))
 
 
 def _units(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
-    """(source, h, length, size) of every hash, and every row with its source, hash and size."""
+    """(source, h, size) of every hash, size being that of all its rows, and every row with its source, hash and size."""
     h = seeded_hash(seed)
     narrow = docs.select(F.col("source").cast("string").alias("source"), h.alias("h"), word_count(whole_text()).alias("size"))
-    units = kept(narrow.groupBy("source", "h").agg(F.max("size").alias("length"), F.sum("size").alias("size")), "mix-units")
+    units = kept(narrow.groupBy("source", "h").agg(F.sum("size").alias("size")), "mix-units")
     rows = docs.select(
         F.struct("*").alias("row"),
         F.col("source").cast("string").alias("source"),
@@ -270,8 +237,12 @@ def _with_copies(rows: DataFrame, plan: DataFrame, more: Column) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the input's columns."""
-    repeated = filled(docs, max_epochs, seed).select(
+    """The documents of the mix, each as often as it is taken, with the input's columns.
+
+    Nulls, repeats and empty tables are as in ``mix``; documents without words come
+    as often as their hash says.
+    """
+    repeated = mix(docs, max_epochs, seed).select(
         "row", F.explode(F.expr("case when copies > 0 then sequence(1, copies) end")).alias("_copy")
     )
     return repeated.select("row.*")

@@ -26,7 +26,7 @@ def substring_dedup() -> str:
 
 
 def source_mixing() -> str:
-    """The capped sources are those before the first one that its share does not exceed, by cap over weight."""
+    """Every subset of the units held back is summed and compared. The capped sources are those before the first one that its share does not exceed, by cap over weight."""
     return f"""
     with recursive d as (
         select doc_id, source, len({WORDS})::bigint as size,
@@ -58,22 +58,61 @@ def source_mixing() -> str:
     ),
     wanted as (select *, target - whole * source_size as want from plan),
     units as (select source, h, sum(size)::bigint as size from d group by source, h),
-    reached as (select *, sum(size) over (partition by source order by h) as upto from units),
+    by_size as (select *, row_number() over (partition by source order by size desc, h) as k from units),
+    by_hash as (select *, row_number() over (partition by source order by h) as j from by_size where k > 12),
+    held as (
+        select source, h, size, k - 1 as bit from by_size where k <= 12
+        union all select source, h, size, j + 11 from by_hash where j <= 6
+    ),
+    held_sums as (
+        select source, sum(size) filter (where bit < 6)::bigint as top, coalesce(sum(size) filter (where bit >= 6), 0)::bigint as fine,
+            sum(size)::bigint as total from held group by source
+    ),
+    masks as (select range::bigint as mask from range(512)),
+    tops as (
+        select source, mask, coalesce(sum(size) filter (where (mask >> bit) & 1 = 1), 0)::bigint as picked
+        from held join masks on mask < 64 where bit < 6 group by source, mask
+    ),
+    settled as (
+        select w.source, arg_min(picked, (
+            greatest(greatest(picked - want, (want - picked) - (source_size - top)), 0.0),
+            case when source_size > 0 then abs(picked - want / source_size * top) else picked end, mask)) as picked
+        from wanted w join tops t on t.source is not distinct from w.source
+            join held_sums s on s.source is not distinct from w.source group by w.source
+    ),
+    goals as (
+        select w.source, least(greatest(want - picked - fine / 2.0::double, 0.0), (source_size - total)::double) as goal
+        from wanted w join settled t on t.source is not distinct from w.source
+            join held_sums s on s.source is not distinct from w.source
+    ),
+    others as (
+        select u.source, u.h, sum(u.size) over (partition by u.source order by u.h) as upto
+        from by_size u left join by_hash f on f.source is not distinct from u.source and f.h = u.h where u.k > 12 and f.j > 6
+    ),
     cut as (
-        select w.source, want, max(case when upto <= want then h end) as cut_hash,
-            want - coalesce(max(case when upto <= want then upto end), 0) as gap
-        from wanted w join reached r on r.source is not distinct from w.source group by w.source, want
-    ),
-    extra as (
-        select c.source, arg_min(h, (abs(gap - size), h)) as extra_hash
-        from cut c join units u on u.source is not distinct from c.source
-        where h > coalesce(cut_hash, '') and abs(gap - size) < gap group by c.source
+        select g.source, coalesce(max(case when upto <= goal then h end), '') as cut_hash,
+            coalesce(max(case when upto <= goal then upto end), 0) as reached
+        from goals g left join others o on o.source is not distinct from g.source group by g.source
+    ),
+    low as (
+        select source, mask, coalesce(sum(size) filter (where bit < 9 and (mask >> bit) & 1 = 1), 0)::bigint as picked
+        from held, masks group by source, mask
+    ),
+    high as (
+        select source, mask * 512 as mask, coalesce(sum(size) filter (where bit >= 9 and (mask >> (bit - 9)) & 1 = 1), 0)::bigint as picked
+        from held, masks group by source, mask
+    ),
+    best as (
+        select w.source, arg_min(l.mask + u.mask, (abs((want - reached) - (l.picked + u.picked)), l.mask + u.mask)) as mask
+        from wanted w join cut c on c.source is not distinct from w.source
+            join low l on l.source is not distinct from w.source join high u on u.source is not distinct from w.source
+        group by w.source
     )
-    select doc_id, size, source_size, target,
-        (size * (whole + case when h <= coalesce(cut_hash, '') or h = extra_hash then 1 else 0 end))::bigint as taken
+    select doc_id, d.size, source_size, target,
+        (d.size * (whole + case when x.bit is not null then (mask >> x.bit) & 1 when d.h <= cut_hash then 1 else 0 end))::bigint as taken
     from d join wanted w on d.source is not distinct from w.source
-        join cut c on d.source is not distinct from c.source
-        left join extra x on d.source is not distinct from x.source
+        join cut c on d.source is not distinct from c.source join best b on d.source is not distinct from b.source
+        left join held x on d.source is not distinct from x.source and d.h = x.h
     """
 
 

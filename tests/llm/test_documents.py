@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 import reference as ref
 from pyspark.sql import functions as F
@@ -202,16 +203,41 @@ def _worst_miss(found):
     return max(abs(sum(r["n"] for r in p) - p[0]["t"]) / p[0]["t"] for p in parts if p[0]["t"])
 
 
-def test_filling_passes_over_documents_that_do_not_fit(spark, sample):
-    sizes = {(s, n): 100 + n % 17 for s in "abc" for n in range(60)} | {(s, 60): 6000 for s in "abc"}
+def test_mix_fits_around_long_documents(spark):
+    """Sources with one document as long as all others together, or with a few of a large part each."""
+    sizes = {(s, n): 100 + n % 17 for s in "abcd" for n in range(60)} | {(s, 60): 6000 for s in "abc"} | {("d", 60 + n): 900 for n in range(9)}
     rows = [(n, " ".join("w" * size), s) for n, ((s, _), size) in enumerate(sizes.items())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    taken = mixing.filled(docs)
-    assert _worst_miss(mixing.mix(docs)) > 0.05 and _worst_miss(taken) < 0.01
+    taken = mixing.mix(docs)
+    assert _worst_miss(taken) < 0.001
     assert all(0 <= r["copies"] <= 3 for r in taken.select("copies").collect())
     assert sum(r["size"] * r["copies"] for r in taken.collect()) == mixing.mixed_documents(docs).selectExpr("sum(size(split(text, ' ')))").first()[0]
 
 
+def test_mix_of_few_documents_is_the_closest_there_is(spark, sample):
+    """Up to eighteen documents a source: no choice among all subsets comes closer."""
+    assert _worst_miss(mixing.mix(sample)) < 0.01
+    found = [{"s": r["row"]["source"], "t": r["target"], "n": r["size"], "c": r["copies"]} for r in mixing.mix(sample).collect()]
+    few = [parts for parts in ref.grouped(found, "s").values() if len(parts) <= 18]
+    assert few
+    for parts in few:
+        total = sum(p["n"] for p in parts)
+        whole = min(int(parts[0]["t"] // total), 3)
+        sums = mixing.subset_sums([p["n"] for p in parts])
+        best = np.abs(parts[0]["t"] - whole * total - sums).min()
+        assert abs(sum(p["n"] * p["c"] for p in parts) - parts[0]["t"]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("sizes", [[5, 3, 1], [1000, 1], [7], []])
+def test_settling_leaves_what_the_rest_can_make_up(sizes):
+    total = sum(sizes)
+    for rest in (0, 4, 100):
+        for want in (0.0, 0.3 * (total + rest), total + rest - 1.0, float(total + rest)):
+            taken = mixing.settle(sizes, want, total + rest)
+            best = min(max(t - want, want - t - rest, 0.0) for t in mixing.subset_sums(sizes).tolist())
+            assert max(taken - want, want - taken - rest, 0.0) == best
+
+
 def test_mixed_documents_keep_columns(edge):
     mixed = mixing.mixed_documents(edge)
     assert mixed.columns == edge.columns
