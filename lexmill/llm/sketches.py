@@ -14,8 +14,10 @@ from lexmill.llm.shared import kept, row_key, whole_text, words
 
 SHINGLE = 5
 K = 128
-#: Ranges of ids that are ordered one by one; also bounds the table of their first rows.
-BUCKETS = 4096
+#: Ranges of ids that are ordered one by one, at least and at most; also bounds the table of their first rows.
+BUCKETS = 4096, 65_536
+#: What a range should hold.
+ROWS_PER_BUCKET = 10_000
 HASHES = 2.0**64
 
 
@@ -71,22 +73,48 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
     return split.select("doc_id", bottom_k(shingle_hashes(F.col("w"), shingle), k).alias("sketch"))
 
 
+def _splitters(docs: DataFrame, buckets: int) -> list[int]:
+    """Approximate quantiles of the ids of all rows, rising; an id that holds many rows stands there several times."""
+    if buckets < 2:
+        return []
+    shares = F.lit(",".join(str(i / buckets) for i in range(1, buckets)))
+    quantiles = F.percentile_approx("doc_id", F.split(shares, ",").cast("array<double>"), 10 * buckets)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(quantiles).first()[0] or []
+
+
+def _rank(splitters: list[int], doc_id: Column, equal: bool) -> Column:
+    """How many splitters are below the id, or at most as large, by halving."""
+    if not splitters:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(map(str, splitters))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in range(len(splitters).bit_length() - 1, -1, -1)])
+
+    def step(at: Column, size: Column) -> Column:
+        other = F.get(known, at + size - 1)
+        return F.when(other <= doc_id if equal else other < doc_id, at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def _in_ranges(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, key, text and the bucket of the id; larger ids in larger buckets.
+    """doc_id, key, text and the bucket of the id; larger ids, and of one id larger keys, in larger buckets.
 
-    Rows without an id come after all others, in buckets of their own by key.
+    Ranges hold about equally many rows, wherever the ids lie. An id that fills
+    several ranges is cut by the keys of its rows. Rows without an id come after
+    all others, in buckets of their own by key.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = float(high) - float(low) + 1 if low is not None else 1.0
-    place = F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width * buckets)
-    ranged = F.least(F.lit(buckets - 1), place).cast("long")
+    splitters = _splitters(docs, buckets)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), whole_text().alias("text"))
+    doc_id = F.col("doc_id")
+    rows = rows.withColumn("below", _rank(splitters, doc_id, False)).withColumn("upto", _rank(splitters, doc_id, True))
+    own = F.col("upto") - F.col("below") - 1  # ranges of this id alone
+    part = F.floor((F.col("key").cast("double") / 2.0**64 + 0.5) * own)
+    ranged = F.when(own > 0, F.col("below") + 1 + F.least(part, own - 1)).otherwise(F.col("upto")).cast("long")
     by_key = -1 - F.pmod("key", F.lit(buckets))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), whole_text().alias("text")).withColumn(
-        "bucket", F.when(F.col("doc_id").isNull(), by_key).otherwise(ranged)
-    )
+    return rows.withColumn("bucket", F.when(doc_id.isNull(), by_key).otherwise(ranged)).drop("below", "upto")
 
 
-def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, k: int = K, buckets: int = BUCKETS) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, k: int = K, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The next document is the one with the next smaller id, after the last the
@@ -97,10 +125,13 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, k: int = K,
     document follows itself. An empty table gives an empty result. Further columns
     are not read.
 
-    Ids are ordered inside ranges of ids, so nothing is sorted in one place: texts
-    are shuffled once, and each range's last row meets the first row of the next
-    range through a table of at most a few thousand rows.
+    Ids are ordered inside ranges of about equally many rows, so nothing is sorted
+    in one place: texts are shuffled once, and behind each range's last row comes
+    one more, the first of the next range. By default a range has some ten
+    thousand rows, as long as the number of ranges stays in BUCKETS.
     """
+    if buckets is None:
+        buckets = min(max(docs.count() // ROWS_PER_BUCKET, BUCKETS[0]), BUCKETS[1])
     rows = _in_ranges(docs.select("doc_id", "text"), buckets)
     order = [F.col("doc_id").desc_nulls_last(), F.col("key").desc()]
     first = F.max(F.struct(F.col("doc_id"), F.col("key"))).alias("first")
@@ -117,23 +148,21 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, k: int = K,
     after = (
         rows.alias("r")
         .join(F.broadcast(heads).alias("h"), same)  # at most two rows a bucket number
-        .select(F.col("before").alias("bucket"), F.col("r.text").alias("head_text"))
+        .select("r.doc_id", "r.key", "r.text", F.col("before").alias("bucket"), F.lit(True).alias("ahead"))
         .dropDuplicates(["bucket"])
-        .withColumn("w", words(F.col("head_text")))
-        .select("bucket", "head_text", bottom_k(shingle_hashes(F.col("w"), shingle), k).alias("head_sketch"))
     )
-    after = kept(after, "sketch-after")
-    inside = Window.partitionBy("bucket").orderBy(*order)
+    inside = Window.partitionBy("bucket").orderBy("ahead", *order)
     n, half = F.col("n_chars"), F.expr("cast(n_chars div 2 as int)")
     joined = (
-        rows.join(after, "bucket")
-        .withColumn("next_text", F.coalesce(F.lead("text").over(inside), "head_text"))
+        rows.withColumn("ahead", F.lit(False))
+        .unionByName(after)
+        .withColumn("next_text", F.lead("text").over(inside))
         .withColumn("n_chars", F.char_length("text").cast("long"))
         .withColumn("w", words(F.col("text")))
         .withColumn("sketch", bottom_k(shingle_hashes(F.col("w"), shingle), k))
-        .drop("w", "head_text")
-        .withColumn("next_sketch", F.coalesce(F.lead("sketch").over(inside), "head_sketch"))
-        .drop("head_sketch")
+        .drop("w")
+        .withColumn("next_sketch", F.lead("sketch").over(inside))
+        .where(~F.col("ahead"))
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("next_text", F.lit(1), half)))
         .drop("text", "next_text")
         .withColumn("w", words(F.col("edited")))
