@@ -154,3 +154,39 @@ def grouped(rows, key):
     for row in rows:
         out[row[key]].append(row)
     return out
+
+
+def license_labels(text, templates, gram=3, neighbours=3, coverage=0.6, stretch=2):
+    """(labels, largest share) by looking at every template's runs in turn."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    at = defaultdict(list)
+    for n in range(len(ws) - gram + 1):
+        at[tuple(ws[n : n + gram])].append(n)
+    labels, share, own = set(), 0.0, []
+    for number, (phrase, label, base, names) in enumerate(templates):
+        parts = phrase.split()
+        runs = [tuple(parts[t : t + gram]) for t in range(len(parts) - gram + 1)]
+        diagonals = defaultdict(set)
+        for t, run in enumerate(runs):
+            for n in at.get(run, ()):
+                diagonals[n - t].add(t)
+        spans, last = [], None
+        for d in sorted(diagonals):
+            if last is None or d - last > neighbours:
+                spans.append([])
+            spans[-1].append(d)
+            last = d
+        for span in spans:
+            found = set().union(*[diagonals[d] for d in span])
+            places = {d + t for d in span for t in diagonals[d]}
+            whole = sum(len(diagonals[d]) == len(runs) for d in span)
+            share = max(share, len(found) / len(runs))
+            if base:
+                labels |= {label} if whole else set()
+            elif len(found) >= coverage * len(runs) and set(names) <= found:
+                if max(places) - min(places) + gram <= len(parts) * stretch * max(whole, 1):
+                    own.append((len(found), -number, label, places))
+    for _, _, label, places in own:
+        won = sum(max(s for s in own if n in s[3])[2] == label for n in places)
+        labels |= {label} if 2 * won >= len(places) else set()
+    return labels, share

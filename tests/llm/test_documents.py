@@ -418,6 +418,50 @@ def test_license_spans_with_changed_words(spark):
     assert found[2]["labels"] == ""
 
 
+NOTICE_CASES = [
+    ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+    ("You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.", "agpl"),
+    ("You can redistribute it and/or modify it under the terms of the GNU General Public License, as you wish.", "gpl"),
+    ("the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+    ("the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+    ("Text licensed under CC BY-NC-SA 4.0 by its authors", "cc-by-nc,cc-by-nc-sa"),
+    ("Text licensed under CC BY-SA 4.0 by its authors", "cc-by-sa"),
+    ("Text licensed under CC BY 4.0 by its authors", "cc-by"),
+    ("See the Mozilla Public License 2.0 for this", "mpl-2"),
+    ("subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice stays", "isc"),
+    ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY", "mit"),
+    ("// SPDX-License-Identifier: Apache-2.0", "apache-2"),
+    ("// SPDX-License-Identifier: MIT", "mit"),
+    ("// SPDX-License-Identifier: GPL-3.0-only", "gpl-3"),
+    ("// SPDX-License-Identifier: nothing we know", ""),
+    ("Licensed under the Apache License, Version 1.1", ""),
+    ("a license of the general public, in mozilla and other words the software is provided", ""),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "apache-2"),
+]
+
+
+def test_license_notices_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(NOTICE_CASES)], "doc_id long, text string")
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert {NOTICE_CASES[i][0]: labels for i, labels in found.items()} == dict(NOTICE_CASES)
+
+
+@pytest.mark.parametrize("which", ["edge", "sample", "notices"])
+def test_license_labels_and_scores_equal_brute_force(which, request, spark):
+    if which == "notices":
+        filler = "some other words of the software and the license in between here"
+        rows = [(i, f"{filler} {a} {filler[: i % 40]} {b} {a}") for i, ((a, _), (b, _)) in enumerate(zip(NOTICE_CASES, NOTICE_CASES[3:]))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+    else:
+        docs = request.getfixturevalue(which)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    listed = licenses.template_runs()
+    for r in rows_of(licenses.scan(docs)):
+        labels, score = ref.license_labels(texts[r["doc_id"]], listed)
+        assert (r["labels"], r["score"]) == (",".join(sorted(labels)), pytest.approx(score))
+
+
 # -- empty tables ------------------------------------------------------------
 
 
