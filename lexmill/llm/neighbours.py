@@ -24,6 +24,8 @@ TABLES, FUNCTIONS, WIDTH, PROBES = 8, 6, 1.5, 100
 SEED = 11
 #: Vectors of a bucket that stand in one block, rows of a group of blocks, and queries that meet a group at once (about).
 BLOCK, GROUP, QUERIES = 4096, 20_000, 20_000
+#: Queries whose probes one task works out.
+PROBING = 200
 
 
 def _functions(table: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,42 +218,46 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embe
     )
     total = sizes.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // GROUP))
-    query_parts = max(1, -(-queries.count() // QUERIES))
-    query_part = F.pmod(F.xxhash64("vec_id"), F.lit(query_parts)).cast("int")
     meeting = ["g", "query_part"]
     block = F.xxhash64("table", "bucket", "part")
-    blocks = (
+    indexed = (
         index.join(sizes, ["table", "bucket"])
         .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
         .select("vec_id", "v", "table", block.alias("block"))
         .withColumn("g", F.pmod("block", F.lit(groups)))
-        .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
     )
-    asked = (
-        _probes(queries)
+    spread = queries.repartition(max(1, -(-queries.count() // PROBING)))
+    asking = (
+        _probes(spread)
         .join(sizes, ["table", "bucket"])
         .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         .select("vec_id", block.alias("block"))
         .withColumn("g", F.pmod("block", F.lit(groups)))
         .groupBy("g", "vec_id")
         .agg(F.collect_list("block").alias("blocks"))
-        .join(queries, "vec_id")
-        .select("g", query_part.alias("query_part"), "vec_id", "v", "blocks")
     )
+    asking = kept(asking, "nn-asking")
+    # A group of blocks is repeated only as often as the queries that ask for it fill parts.
+    shares = F.expr(f"cast(ceil(count(*) / {QUERIES}) as int)").alias("query_parts")
+    query_parts = kept(asking.groupBy("g").agg(shares), "nn-parts")
+    query_part = F.pmod(F.xxhash64("vec_id"), F.col("query_parts")).cast("int").alias("query_part")
+    each_part = F.explode(F.expr("sequence(0, query_parts - 1)"))
+    blocks = indexed.join(query_parts, "g").withColumn("query_part", each_part).drop("query_parts")
+    asked = asking.join(query_parts, "g").join(queries, "vec_id").select("g", query_part, "vec_id", "v", "blocks")
     first = kept(blocks.groupBy(*meeting).cogroup(asked.groupBy(*meeting)).applyInPandas(_compare(k), FOUND), "nn-found")
     enough = _ranked(first, k).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = kept(
-        queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti").select(
+    short = kept(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"), "nn-short")
+    found = first
+    n_short = short.count()
+    if n_short:
+        parts = F.lit(-(-n_short // QUERIES)).alias("query_parts")
+        short = short.select("vec_id", "v", parts).select(
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"),
-            query_part.alias("query_part"),
+            query_part,
             "vec_id",
             "v",
             F.lit(None).cast("array<long>").alias("blocks"),
-        ),
-        "nn-short",
-    )
-    found = first
-    if not short.isEmpty():
-        whole = blocks.where("table = 0")
+        )
+        whole = indexed.where("table = 0").select("*", parts).withColumn("query_part", each_part).drop("query_parts")
         found = first.unionAll(whole.groupBy(*meeting).cogroup(short.groupBy(*meeting)).applyInPandas(_compare(k), FOUND))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
