@@ -220,5 +220,10 @@ def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, with or without ids; all columns as they came."""
+    """One row of each component, with or without ids; all columns as they came.
+
+    Null and empty texts have the fingerprint zero and are one component. Of
+    repeated rows one stays, of rows that share an id one of each component. The
+    smallest id stays, null ids come last. An empty table gives an empty result.
+    """
     return one_of_each(docs, _rooted_rows(docs, radius))

@@ -72,7 +72,11 @@ def _unaccented(word: str) -> str:
 
 
 def terms_of(words: list[str]) -> set[str]:
-    """What a text offers as terms: its words (``=word``) and their beginnings."""
+    """What a text offers as terms: its words (``=word``) and their beginnings.
+
+    Words under three and over forty characters are no terms: the short ones occur
+    everywhere, the long ones once.
+    """
     out = set()
     for word in set(words):
         if 3 <= len(word) <= 40:
@@ -332,6 +336,12 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that are not predicted toxic, with the input's columns."""
+    """The documents that are not predicted toxic, with the input's columns.
+
+    Null and empty texts score as the lexicon's bias says and stay, unless toxic
+    texts prevail in the labels. Null and repeated ids are documents like any other,
+    and equal texts go or stay together. An empty table gives an empty result;
+    without labels nothing goes.
+    """
     lexicon = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), fit_rows)
     return score(docs, lexicon).where("predicted = 0").select("row.*")

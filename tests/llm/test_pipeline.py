@@ -33,10 +33,25 @@ def test_stages_follow_each_other(spark, sample):
     counts = ref.grouped(after.collect(), "doc_id")
     assert set(counts) <= {r["doc_id"] for r in before.collect()}
     assert max(map(len, counts.values())) <= 3
+    sizes, taken = ({}, {})
+    for total, rows in ((sizes, before.collect()), (taken, after.collect())):
+        for r in rows:
+            total[r["source"]] = total.get(r["source"], 0) + len(ref.words(r["text"]))
+    for source, target in ref.targets(sizes).items():
+        assert abs(taken.get(source, 0) - target) <= 0.02 * target
 
     before, after = seen["best_fit_packing"]
     starts = [r for r in after.collect() if r["start"] == 0]
     assert len(starts) == before.count()
+    held = ref.grouped(after.collect(), "sequence_id").values()
+    for pieces in held:
+        ends = [0]
+        for piece in sorted(pieces, key=lambda p: p["offset"]):
+            assert piece["offset"] == ends[-1]
+            ends.append(piece["offset"] + piece["length"])
+        assert ends[-1] <= 2048
+    # Best fit leaves at most one sequence no fuller than half.
+    assert sum(sum(p["length"] for p in pieces) <= 1024 for pieces in held) <= 1
 
 
 def test_pipeline_of_odd_rows(spark, edge, tmp_path):
