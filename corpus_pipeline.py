@@ -14,27 +14,36 @@ from lexmill.llm.shared import kept, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go; null and empty texts, null and repeated ids as in the operator. Nothing gives nothing."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, by the operator's shingles and bit distance.
+
+    Texts without words, null ones too, are one group; ids may be null or repeat. Nothing gives nothing.
+    """
     return simhash.without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand in a document with a smaller id are cut out."""
+    """Passages that stand in a document with a smaller id are cut out.
+
+    Null texts and null ids, repeated rows as in the operator; every document stays. Nothing gives nothing.
+    """
     return substrings.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their source's target asks for."""
+    """Documents come as often as their source's target asks for, up to three times.
+
+    A null source is a source, texts without words count nothing, repeated rows come equally often. Nothing gives nothing.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of bounded length."""
+    """Pieces of documents in sequences of bounded length; a null text is one empty document. Nothing gives nothing."""
     return packing.pack(docs)
 
 
