@@ -33,7 +33,7 @@ from lexmill.sources import (
     file_manifest,
     ingest,
     input_example,
-    input_roots,
+    input_files,
     log_history,
     read_back,
     read_files,
@@ -182,13 +182,13 @@ def file_manifest_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_files_query(spark: SparkSession, sf: str) -> DataFrame:
-    roots = input_roots(scan(spark, sf, "documents"))
-    return read_files(spark, roots).select("doc_id", "text")
+    files = input_files(scan(spark, sf, "documents"))
+    return read_files(spark, files).select("doc_id", "text")
 
 
 def read_lazy(spark: SparkSession, sf: str) -> DataFrame:
     docs = scan(spark, sf, "documents")
-    return read_files(spark, input_roots(docs), schema=docs.schema).select("doc_id", "lang", "n_chars")
+    return read_files(spark, input_files(docs), schema=docs.schema).select("doc_id", "lang", "n_chars")
 
 
 def stream_read(spark: SparkSession, sf: str) -> DataFrame:

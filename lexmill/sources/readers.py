@@ -39,18 +39,15 @@ def file_manifest(df: DataFrame) -> DataFrame:
 def input_files(df: DataFrame) -> list[str]:
     """Paths of the files behind a table, with a mount prefix rewritten; may be empty.
 
-    A list on the driver, for tables of few files; ``file_manifest`` has the same as a table, ``input_roots``
-    the folders.
+    A list on the driver, a line per file; ``file_manifest`` has the same as a table.
     """
     return [_unmounted(path) for path in df.inputFiles()]
 
 
 def input_roots(df: DataFrame) -> list[str]:
-    """The paths and folders that the file tables behind a frame were read from, however many files they hold."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    relations = [leaves.apply(i).relation() for i in range(leaves.size()) if leaves.apply(i).nodeName() == "LogicalRelation"]
-    roots = [r.location().rootPaths() for r in relations if r.getClass().getSimpleName() == "HadoopFsRelation"]
-    return sorted({_unmounted(paths.apply(i).toString()) for paths in roots for i in range(paths.size())})
+    """The folders that hold the files behind a frame, without the partition folders in them."""
+    folders = {re.sub("^file:/+", "file:/", path.rsplit("/", 1)[0]) for path in input_files(df)}
+    return sorted({re.sub("(/[^/=]+=[^/]*)+$", "", folder) for folder in folders})
 
 
 def _unmounted(path: str) -> str:

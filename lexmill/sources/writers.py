@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.session import path_exists
-from lexmill.sources.readers import input_roots
+from lexmill.sources.readers import input_files
 
 WRITE_MODES = ("overwrite", "append")
 
@@ -15,11 +15,11 @@ def _is_path(target: str) -> bool:
 
 
 def _reads_from(df: DataFrame, path: str) -> bool:
-    """Does the frame read from an existing path, from below it, or from a folder around it?"""
+    """Does the frame read the existing path, or a file below it, whatever its source is?"""
     if not path_exists(df.sparkSession, path):
         return False
-    target, *roots = ("/" + p.split(":", 1)[-1].strip("/") + "/" for p in (path, *input_roots(df)))
-    return any(root.startswith(target) or target.startswith(root) for root in roots)
+    target, *files = ("/" + p.split(":", 1)[-1].strip("/") + "/" for p in (path, *input_files(df)))
+    return any(file.startswith(target) for file in files)
 
 
 def write_table(

@@ -28,6 +28,18 @@ def test_file_list_with_base_path_keeps_partition_columns(spark, saved):
     assert whole.exceptAll(spark.read.parquet(saved)).isEmpty() and whole.count() == 100
 
 
+def test_own_input_is_not_overwritten_whatever_reads_it(spark, saved):
+    for sources_v1 in ("parquet", ""):
+        spark.conf.set("spark.sql.sources.useV1SourceList", sources_v1)
+        try:
+            frame = spark.read.parquet(saved).groupBy("k").count()
+            for target in (saved, saved.rsplit("/", 1)[0]):
+                with pytest.raises(ValueError, match="read by the frame"):
+                    sources.write_table(frame, target)
+        finally:
+            spark.conf.unset("spark.sql.sources.useV1SourceList")
+
+
 def test_empty_file_list(spark):
     assert sources.input_files(spark.createDataFrame([], "a int")) == []
     assert sources.input_roots(spark.createDataFrame([], "a int")) == []
