@@ -212,6 +212,8 @@ def fit_bayes_family(
 
 def family_weights(spark: SparkSession, models: Sequence[BayesModel]) -> DataFrame:
     """(token, w): the weights of several models side by side, zeros where a model lacks the token."""
+    if len(models) == 1:
+        return models[0].weights(spark).select("token", "w")
     k = models[0].num_labels
     parts = [m.weights(spark).select("token", F.lit(i).alias("model"), "w") for i, m in enumerate(models)]
     rows = parts[0]
