@@ -1,0 +1,166 @@
+"""The lexicon that is learned and every score it gives, against plain loops over words."""
+
+import math
+import random
+import unicodedata
+import zlib
+from collections import Counter
+
+import pytest
+
+from lexmill.llm import toxicity
+
+PAIRS = "doc_id long, text string"
+
+
+def folded(text):
+    """Words of a text, sign by sign."""
+    low = unicodedata.normalize("NFKC", text or "").lower()
+    low = "".join(toxicity.LOOK_ALIKES.get(c, c) for c in low if c not in toxicity._INVISIBLE)
+    letters = []
+    for c, after in zip(low, [*low[1:], " "]):
+        letters.append(toxicity.SUBSTITUTES[c] if c in "@$!|" and after.isalpha() else c)
+    tokens = "".join(c if c.isalnum() else " " for c in letters).split()
+    return [t if t.isdecimal() else "".join(toxicity.SUBSTITUTES.get(c, c) for c in t) for t in tokens]
+
+
+def hits(words, weights, phrases):
+    """Largest weight of a term in each word that no harmless phrase covers, by the word's place."""
+    found = {}
+    for i, word in enumerate(words):
+        matching = [w for term, w in weights.items() if term == "=" + word or (term[0] != "=" and len(word) > len(term) and word.startswith(term))]
+        if matching:
+            found[i] = max(matching)
+    for phrase in phrases:
+        parts = phrase.split(" ")
+        for i in range(len(words) - len(parts) + 1):
+            if words[i : i + len(parts)] == parts:
+                for covered in range(i, i + len(parts)):
+                    found.pop(covered, None)
+    return found
+
+
+def both_hits(words, weights, phrases=()):
+    """The same of the words as they are and without accents."""
+    bare = ["".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) for w in words]
+    one, two = hits(words, weights, phrases), hits(bare, weights, phrases) if bare != words else {}
+    return {i: max(one.get(i, 0), two.get(i, 0)) for i in one.keys() | two.keys()}
+
+
+def features(text, lexicon):
+    words = folded(text)
+    total = sum(both_hits(words, lexicon.weights, lexicon.exceptions).values())
+    return math.log1p(total), total / math.log2(len(words) + 2)
+
+
+def plain_score(text, lexicon):
+    a, b = features(text, lexicon)
+    return 1 / (1 + math.exp(-(lexicon.bias + lexicon.slopes[0] * a + lexicon.slopes[1] * b)))
+
+
+@pytest.fixture(scope="module")
+def spoken():
+    """(doc_id, text) and toxic by id: three bad words and a stem, in disguise too, and a phrase in which one is harmless."""
+    rng = random.Random(3)
+    bad = ["gloop", "Gl00p", "SQUIB", "squïb", "$quib", "fl1nt", "flint", "zarnax", "zarnobe", "ＺＡＲＮＩＢ"]
+    rows, toxic = [], {}
+    for i in range(900):
+        words = ["".join(rng.choice("aeioubdfgkmnprtz") for _ in range(5)) for _ in range(rng.randint(6, 40))]
+        toxic[i] = int(i % 4 == 0)
+        if toxic[i]:
+            for _ in range(rng.randint(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        elif i % 97 == 1:
+            words[2:2] = ["gloop", "pot"]
+        rows.append((i, " ".join(words)))
+    odd = [None, "", " \t", "gloop", "the gloop pot", "2024 gloop-pot gloop", "x" * 5000 + " squib", "gloop " * 4000, "ｇｌｏｏｐ! @gloop!"]
+    rows += [(10_000 + n, text) for n, text in enumerate(odd)] + [rows[0], (None, "a squib")]
+    return rows, toxic
+
+
+@pytest.fixture(scope="module")
+def learned(spark, spoken):
+    rows, toxic = spoken
+    labels = spark.createDataFrame([(i, t) for i, t in toxic.items()], "doc_id long, toxic int")
+    return spark.createDataFrame(rows, PAIRS), labels, toxicity.fit(spark.createDataFrame(rows[:900], PAIRS), labels)
+
+
+@pytest.fixture(scope="module")
+def studied(spoken):
+    """Texts that may be learned from, and their labels."""
+    rows, toxic = spoken
+    return [(text, toxic[i]) for i, text in rows[:900] if zlib.crc32(str(i).encode()) % 5]
+
+
+def counted(studied, offers):
+    seen = Counter(), Counter()
+    for text, toxic in studied:
+        seen[toxic].update(offers(text))
+    return seen[1], seen[0]
+
+
+def log_odds(pos, neg, n_pos, n_neg):
+    return math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
+
+
+def test_lexicon_equals_plain_counting(learned, studied):
+    lexicon = learned[2]
+    n_pos = sum(t for _, t in studied)
+    n_neg = len(studied) - n_pos
+
+    def terms(text):
+        words = {w for w in folded(text) if 3 <= len(w) <= 40}
+        return {"=" + w for w in words} | {w[:n] for w in words for n in toxicity.STEMS if len(w) > n}
+
+    pos, neg = counted(studied, terms)
+    sure = {}
+    for term, n in pos.items():
+        error = math.sqrt(1 / (n + 0.5) + 1 / (neg[term] + 0.5))
+        if n >= max(3, min(toxicity.MIN_TEXTS, n_pos // 20)):
+            sure[term] = log_odds(n, neg[term], n_pos, n_neg) - 1.96 * error
+    kept = {t for t, s in sure.items() if s > toxicity.MIN_LOG_ODDS}
+    assert len(kept) <= toxicity.MAX_TERMS
+
+    def owed(term):
+        longer = [pos[t] for t in kept if t != term and t.lstrip("=").startswith(term) and len(t.lstrip("=")) > len(term)]
+        return term[0] != "=" and any(n >= toxicity.OWED * pos[term] for n in longer)
+
+    expected = {t: log_odds(pos[t], neg[t], n_pos, n_neg) for t in kept if not owed(t)}
+    assert {"=gioop", "=squib", "zarn"} <= set(expected)
+    assert lexicon.weights == pytest.approx(expected)
+
+    def around(text):
+        words = folded(text)
+        return {" ".join(words[j : j + 2]) for i in both_hits(words, expected) for j in (i - 1, i) if 0 <= j < len(words) - 1}
+
+    pos, neg = counted(studied, around)
+    harmless = {p for p, n in neg.items() if n >= 3 and log_odds(pos[p], n, n_pos, n_neg) < 0}
+    assert "gioop pot" in harmless and lexicon.exceptions == harmless
+
+
+def test_bias_and_slopes_are_the_best_for_the_learned_rows(learned, studied):
+    lexicon = learned[2]
+    w = [lexicon.bias, *lexicon.slopes]
+    ridge = [r * max(1.0, len(studied) / 100) for r in (1e-3, 1e-2, 1e-2)]
+    slope = [-r * x for r, x in zip(ridge, w, strict=True)]
+    for text, toxic in studied:
+        row = (1.0, *features(text, lexicon))
+        left = toxic - 1 / (1 + math.exp(-sum(a * b for a, b in zip(row, w, strict=True))))
+        slope = [s + left * x for s, x in zip(slope, row, strict=True)]
+    assert slope == pytest.approx([0, 0, 0], abs=1e-5)
+
+
+def test_scores_equal_plain_matching(learned, spoken):
+    docs, labels, lexicon = learned
+    found = [(r["row"]["doc_id"], r["row"]["text"], r["score"], r["predicted"]) for r in toxicity.score(docs, lexicon).collect()]
+    assert len(found) == len(spoken[0])
+    for doc_id, text, score, predicted in found:
+        assert score == pytest.approx(plain_score(text, lexicon), abs=1e-9), doc_id
+        assert predicted == int(score >= 0.5)
+
+
+def test_scores_of_the_given_documents(spark, sample):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic")
+    lexicon = toxicity.fit(sample.select("doc_id", "text"), labels)
+    rows = toxicity.score(sample.select("doc_id", "text"), lexicon).select("row.text", "score").collect()
+    assert [r["score"] for r in rows] == pytest.approx([plain_score(r["text"], lexicon) for r in rows], abs=1e-9)
