@@ -5,7 +5,8 @@ level's folders into one of the next level once there are enough of them: after
 n appends a read touches some multiple of log n folders. A merge becomes visible
 by its manifest alone, which is put under the next number if nobody else has put
 one there; the folders it replaced go one manifest later, when readers that still
-had the old one are done.
+had the old one are done. A writer may stop anywhere: what it left undone changes
+no row that is read, and the next merge clears it away.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ KEPT_MANIFESTS = 3
 
 @dataclass
 class Manifest:
-    """Merged folders by level, the appends they hold, and what the next manifest may delete."""
+    """Merged folders by level, the appends they hold that may still lie there, and what the next manifest may delete."""
 
     number: int = 0
     merged: list[tuple[int, str]] = field(default_factory=list)
@@ -63,11 +64,14 @@ class LevelledTable:
         read = json.loads(read_text(self.spark, f"{self.root}/_manifest/{numbers[-1]:08d}.json"))
         return Manifest(numbers[-1], [tuple(m) for m in read["merged"]], read["covered"], read["dropped"])
 
+    def _appended(self) -> list[str]:
+        return sorted(n for n in list_names(self.spark, self.root) if n.startswith(f"{self.prefix}="))
+
     def _open(self, manifest: Manifest) -> list[str]:
         """Finished appends that no merge holds."""
         held = set(manifest.covered)
-        names = [n for n in list_names(self.spark, self.root) if n.startswith(f"{self.prefix}=") and n not in held]
-        return [n for n in sorted(names) if "_SUCCESS" in list_names(self.spark, f"{self.root}/{n}")]
+        names = [n for n in self._appended() if n not in held]
+        return [n for n in names if "_SUCCESS" in list_names(self.spark, f"{self.root}/{n}")]
 
     def folders(self) -> list[str]:
         """The live folders, merged ones first."""
@@ -98,17 +102,26 @@ class LevelledTable:
             merged = [m for m in merged if m[0] != level]
             level += 1
         target = uuid.uuid4().hex
-        rows = self.spark.read.schema(self.schema).parquet(*sources)
-        rows = self.combine(rows) if self.combine else rows.coalesce(1 + len(sources) // (4 * self.fan))
-        rows.write.parquet(f"{self.root}/_merged/{target}")
-        # An append of before may be replayed: its name stays until the next merge.
+        try:
+            rows = self.spark.read.schema(self.schema).parquet(*sources)
+            rows = self.combine(rows) if self.combine else rows.coalesce(1 + len(sources) // (4 * self.fan))
+            rows.write.parquet(f"{self.root}/_merged/{target}")
+        except Exception:
+            # Later merges may have taken the folders away while this one read them.
+            if self.manifest().number == manifest.number:
+                raise
+            delete_path(self.spark, f"{self.root}/_merged/{target}")
+            return False
+        # An append of before may be replayed, or outlive a merge that was cut short: its name stays held while it lies there.
+        held = set(manifest.covered)
+        lingering = [n for n in self._appended() if n in held]
         old = [f"{self.root}/{n}" for n in appends] + [f"{self.root}/_merged/{n}" for n in names]
-        following = {"merged": [*merged, (level, target)], "covered": appends, "dropped": old}
+        following = {"merged": [*merged, (level, target)], "covered": [*appends, *lingering], "dropped": old}
         number = manifest.number + 1
         if not put_if_absent(self.spark, f"{self.root}/_manifest/{number:08d}.json", json.dumps(following)):
             delete_path(self.spark, f"{self.root}/_merged/{target}")
             return False
-        for path in manifest.dropped:
+        for path in {*manifest.dropped, *(f"{self.root}/{n}" for n in lingering)}:
             delete_path(self.spark, path)
         if number > KEPT_MANIFESTS:
             delete_path(self.spark, f"{self.root}/_manifest/{number - KEPT_MANIFESTS:08d}.json")

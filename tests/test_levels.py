@@ -2,9 +2,11 @@
 
 from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
+from lexmill.operators import levels
 from lexmill.operators.levels import LevelledTable
 from lexmill.operators.runs import RunStore
 from lexmill.session import list_names, put_if_absent, read_text
@@ -54,6 +56,58 @@ def test_an_unfinished_append_is_not_read(spark, tmp_path):
     assert table.read().count() == 3
 
 
+def add(spark, table, *numbers):
+    for i in numbers:
+        table.append(spark.range(i, i + 1).select(F.col("id").alias("i")), str(i))
+
+
+def test_a_merge_that_stops_before_clearing_repeats_nothing(spark, tmp_path, monkeypatch):
+    table = LevelledTable(spark, str(tmp_path / "t"), "i long", fan=3)
+    add(spark, table, 0, 1, 2)
+    assert table.compact()
+    add(spark, table, 3, 4, 5)
+
+    def stopped(*_):
+        raise InterruptedError
+
+    with monkeypatch.context() as patched:
+        patched.setattr(levels, "delete_path", stopped)
+        with pytest.raises(InterruptedError):
+            table.compact()
+    assert sorted(r["i"] for r in table.read().collect()) == list(range(6))
+    add(spark, table, 6, 7, 8)
+    assert table.compact()
+    assert sorted(r["i"] for r in table.read().collect()) == list(range(9))
+    # Nothing of the stopped merge's work is left.
+    assert {n for n in list_names(spark, str(tmp_path / "t")) if n.startswith("batch=")} == {"batch=6", "batch=7", "batch=8"}
+
+
+def test_a_merge_that_later_ones_overtook_gives_way(spark, tmp_path):
+    root = str(tmp_path / "t")
+    quick = LevelledTable(spark, root, "i long", fan=3)
+    add(spark, quick, 0, 1, 2)
+
+    def overtaken(rows):
+        assert quick.compact()
+        add(spark, quick, 3, 4, 5)
+        assert quick.compact()  # clears what ``rows`` would read
+        return rows
+
+    assert not LevelledTable(spark, root, "i long", overtaken, fan=3).compact()
+    assert sorted(r["i"] for r in quick.read().collect()) == list(range(6))
+
+
+def test_a_merge_that_fails_on_its_own_says_so(spark, tmp_path):
+    def broken(rows):
+        raise ValueError("no")
+
+    table = LevelledTable(spark, str(tmp_path / "t"), "i long", broken, fan=3)
+    add(spark, table, 0, 1, 2)
+    with pytest.raises(ValueError, match="no"):
+        table.compact()
+    assert table.read().count() == 3
+
+
 def test_writers_at_once_get_versions_of_their_own(spark, tmp_path):
     root = str(tmp_path / "store")
     versions = side_by_side(spark, lambda i: RunStore(spark, root).register("m", f"run{i}"), range(20))
