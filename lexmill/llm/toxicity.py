@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ STEMS = (4, 5, 6)
 MIN_TEXTS, MIN_LOG_ODDS = 8, 1.5
 #: A word beginning is dropped if one longer term has this share of its texts.
 OWED = 0.6
+#: Accented words that a worker remembers without their accents, and the longest of them.
+MEMO_WORDS, MEMO_CHARS = 50_000, 40
 
 # Letters of other scripts that look like Latin ones, and what they look like.
 LOOK_ALIKES = {
@@ -48,6 +51,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 _INVISIBLE = "­​‌‍⁠﻿"
 _FOLD = str.maketrans({**LOOK_ALIKES, **dict.fromkeys(_INVISIBLE)})
+_FOLDED = re.compile(f"[{''.join(LOOK_ALIKES)}{_INVISIBLE}]")
 _PLAIN = str.maketrans(SUBSTITUTES)
 _SIGNS = re.compile(r"[@$!|](?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -58,19 +62,25 @@ def fold(text: str) -> list[str]:
     """The folded words of a text. Numbers stay numbers; signs count as letters only before one."""
     low = text if text.isascii() else unicodedata.normalize("NFKC", text)
     low = low.lower()
-    if not low.isascii():
+    if not low.isascii() and _FOLDED.search(low):
         low = low.translate(_FOLD)
     low = _SIGNS.sub(lambda m: SUBSTITUTES[m[0]], low)
-    tokens = _TOKEN.findall(low)
-    return " ".join(tokens).translate(_PLAIN).split() if not any(map(str.isdigit, low)) else [
-        t if _NUMBER.match(t) else t.translate(_PLAIN) for t in tokens
-    ]
+    # Inside words no signs are left, so that words of letters alone differ by their l only.
+    tokens = _TOKEN.findall(low.replace("l", SUBSTITUTES["l"]))
+    return [t if t.isalpha() or _NUMBER.match(t) else t.translate(_PLAIN) for t in tokens]
 
 
-def _unaccented(word: str) -> str:
+@lru_cache(maxsize=MEMO_WORDS)
+def _bare(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
+def _unaccented(word: str) -> str:
+    if word.isascii():
+        return word
+    return _bare(word) if len(word) <= MEMO_CHARS else _bare.__wrapped__(word)
+
+
 def terms_of(words: list[str]) -> set[str]:
     """What a text offers as terms: its words (``=word``) and their beginnings.
 
