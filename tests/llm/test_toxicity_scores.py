@@ -103,6 +103,21 @@ def log_odds(pos, neg, n_pos, n_neg):
     return math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
 
 
+def test_words_are_folded_as_sign_by_sign():
+    rng = random.Random(5)
+    signs = "alLI10345789|$@!_-. \n\u00ad\u200b\u00e9\u00b2\u00df\u0430\u043e\u0440\u03c1\uff41\uff11\u0663\u5341\u0301\u0130\u01c5"
+    texts = ["", "1|", "l1l", "10", "a10", "$", "$5", "!l", "\u0661l", "\uff11l", "l" * 100]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(16))) for _ in range(20_000)]
+    for text in texts:
+        assert toxicity.fold(text) == folded(text), text
+
+
+def test_lost_accents_do_not_depend_on_length_or_repeats():
+    for word in ("caf\u00e9", "cafe", "\u00e9" * 41, "", "\u00f1\u0301x"):
+        plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        assert [toxicity._unaccented(word) for _ in range(2)] == [plain] * 2
+
+
 def test_lexicon_equals_plain_counting(learned, studied):
     lexicon = learned[2]
     n_pos = sum(t for _, t in studied)
