@@ -15,13 +15,12 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexmill.llm.shared import kept, whole_text
+from lexmill.llm.shared import held, kept, slices, whole_text
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -97,12 +96,6 @@ class _Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> _Encoder:
-    """One for all tasks of a Python worker."""
-    return _Encoder(path)
-
-
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of at most ``capacity`` ids; (part, length, rank) names it. Not yet written."""
 
@@ -112,9 +105,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
             import public_tokenizers
 
             path = str(public_tokenizers.path(TOKENIZER))
-        encode, part, ranks = _encoder(path), TaskContext.get().partitionId(), Counter()
+        name = f"encoder of {path}"
+        encode, part, ranks = held(name, lambda: _Encoder(path)), TaskContext.get().partitionId(), Counter()
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches, keep=name):
             columns: list[list[int | None]] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.llm.shared import LOWER, UPPER, kept, row_key, whole_text
+from lexmill.llm.shared import LOWER, UPPER, kept, row_key, slices, whole_text
 
 RADIUS = 4
 SHINGLE = 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, row_key and fingerprint (signed 64 bits) of every row; null texts have no words."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = [fingerprint(_lower(t)) for t in batch.column("text").to_pylist()]
             found = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(

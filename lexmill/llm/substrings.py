@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.llm.shared import kept, row_key, whole_text
+from lexmill.llm.shared import kept, row_key, slices, whole_text
 
 WINDOW = 50
 MEMO_WORDS, MEMO_CHARS = 500_000, 64
@@ -90,7 +90,7 @@ def _profiles(docs: DataFrame, window: int) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests, marks = [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.encode("utf-8").split()
@@ -128,7 +128,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         names = ["doc_id", "row_key", "start", "h1", "h2"]
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
             lists = batch.column("landmarks")
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -147,7 +147,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, row_key, n_removed, kept_text, kept_sha256 of rows with the ``starts`` of covered windows."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             removed, texts, digests = [], [], []
             lists = batch.column("starts")
             for i, text in enumerate(batch.column("text").to_pylist()):

@@ -20,11 +20,10 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexmill.llm.shared import kept, whole_text
+from lexmill.llm.shared import kept, slices, whole_text
 
 #: Labelled rows used to fit, at most (about; a hash threshold picks them).
 FIT_ROWS = 20_000
@@ -188,7 +187,7 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share)
 
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [_family(fold(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), batch.column("toxic"), pa.array(found, pa.int64())],
@@ -225,7 +224,7 @@ def _counted(sample: DataFrame, offers) -> DataFrame:
             neg.clear()
             return pa.RecordBatch.from_arrays(columns, ["term", "pos", "neg"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 (pos if toxic else neg).update(offers(text))
                 if len(pos) + len(neg) > 200_000:
@@ -299,7 +298,7 @@ def _logistic(sample: DataFrame, lexicon: Lexicon) -> list[float]:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
+        for batch in slices(batches):
             found = [matcher.features(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic")], ["a", "b", "toxic"])
@@ -322,11 +321,14 @@ def _logistic(sample: DataFrame, lexicon: Lexicon) -> list[float]:
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """Columns ``row`` (the input row), score and predicted. A null text scores as an empty one."""
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = lexicon.matcher()
         for part in parts:
-            yield pd.Series([matcher.score(t) for t in part], dtype="float64")
+            found: list[float] = []
+            for texts in slices(iter([pa.record_batch([part], ["text"])])):
+                found += [matcher.score(t) for t in texts.column(0).to_pylist()]
+            yield pa.array(found, pa.float64())
 
     rows = docs.select(F.struct("*").alias("row"), scored(whole_text(text)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

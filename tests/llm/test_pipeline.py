@@ -66,3 +66,35 @@ def test_pipeline_of_nothing(spark, no_docs, no_labels, tmp_path):
     no_docs.write.parquet(f"{folder}/documents.parquet")
     no_labels.write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_workers_hold_little_and_let_go():
+    import pyarrow as pa
+
+    from lexmill.llm import shared
+
+    shared.held("old", lambda: 1), shared.held("own", lambda: 2)
+    batch = pa.record_batch([pa.array(range(1_000))], ["n"])
+    found = list(shared.slices(iter([batch, batch.slice(0, 0), batch.slice(300)]), keep="own"))
+    assert [n for part in found for n in part.column(0).to_pylist()] == [*range(1_000), *range(300, 1_000)]
+    assert max(part.num_rows for part in found) <= shared.SLICE_ROWS
+    assert shared.held("own", lambda: 3) == 2 and shared.held("old", lambda: 4) == 4
+
+
+def test_tokenizer_leaves_workers_with_its_stage(spark, sample, monkeypatch):
+    from lexmill.llm import packing, shared, simhash
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([name for name in shared._all_held()] or ["nothing"])], ["name"])
+
+    one = sample.coalesce(1)
+    assert packing.tokenize_pieces(one).count() > 0
+    assert "nothing" not in {r["name"] for r in one.select("doc_id").mapInArrow(held, "name string").collect()}
+    for _ in range(20):  # workers take turns
+        simhash.fingerprints(one).count()
+    names = [one.select("doc_id").mapInArrow(held, "name string").collect() for _ in range(3)]
+    assert {r["name"] for rows in names for r in rows} == {"nothing"}
