@@ -2,9 +2,9 @@
 
 ``publish`` sorts a table of (key, integers) by the hash of its keys and has
 tasks write it as Arrow files below the shared folder. A worker maps these files
-into memory and searches the sorted hashes: nothing is loaded up front, pickled
-or sent through the driver, and the workers of a machine share the pages they
-touched. In a store that cannot be mapped, blocks are read as they are needed.
+into memory one after another and searches the sorted hashes: nothing is loaded up
+front, pickled or sent through the driver, and what a worker holds does not grow
+with the table. In a store that cannot be mapped, blocks are read as they are needed.
 """
 
 from __future__ import annotations
@@ -137,19 +137,24 @@ class Lookup:
 
     def __init__(self, shared: SharedLookup) -> None:
         self.shared = shared
-        self._readers: dict[int, pa.ipc.RecordBatchFileReader] = {}
+        self._file: int | None = None
+        self._reader: pa.ipc.RecordBatchFileReader | None = None
         self._store, _ = file_system(shared.folder)
         self._mapped = isinstance(self._store, fs.LocalFileSystem)
-        self._block = lru_cache(maxsize=None if self._mapped else KEPT_BLOCKS)(self._read_block)
+        self._block = self._read_block if self._mapped else lru_cache(maxsize=KEPT_BLOCKS)(self._read_block)
 
     def _read_block(self, block: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        """(hashes, keys, values) of a block; of a mapped file only what is touched is read."""
+        """(hashes, keys, values) of a block; of a mapped file only what is touched is read.
+
+        One file is open at a time: keys are looked up in the order of the files, and a
+        mapping would keep all pages that were ever touched.
+        """
         file = int(self.shared.block_file[block])
-        if file not in self._readers:
+        if file != self._file:
             name = self.shared.files[file]
             source = pa.memory_map(name) if self._mapped else self._store.open_input_file(name)
-            self._readers[file] = pa.ipc.open_file(source)
-        batch = self._readers[file].get_batch(int(self.shared.block_in_file[block]))
+            self._reader, self._file = pa.ipc.open_file(source), file
+        batch = self._reader.get_batch(int(self.shared.block_in_file[block]))
         values = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.shared.width)
         return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), values
 

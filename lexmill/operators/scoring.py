@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lexmill.functions import decode, normalized_text, round_half_even, stringify
+from lexmill.functions import decode, round_half_even, stringify
 from lexmill.operators.bayes import MICRO, TEXT_MARK, BayesModel, family_weights
 from lexmill.operators.encode import Vocabulary, encoded_struct
 from lexmill.operators.lookup import Lookup, publish
@@ -31,7 +31,7 @@ NULL_POLICIES = ("null", "literal")
 # Decimals of probabilities in udf mode; batch mode leaves them as they are.
 UDF_DECIMALS = 4
 
-# Characters of text a model looks at in one go, to bound a worker's memory.
+# Bytes of text a model looks at in one go, to bound a worker's memory.
 CHARS_PER_CHUNK = 4_000_000
 
 
@@ -151,19 +151,19 @@ def bayes_predictor(spark: SparkSession, model: BayesModel) -> Predictor:
     """
     shared = publish(model.weights(spark), "token", "w", model.num_labels, "model")
 
-    def make_predict_fn():
-        weights = shared.open()
-        prior = weights.find([TEXT_MARK])[0][0].astype(np.float64)
-
-        def predict(texts: np.ndarray) -> np.ndarray:
-            cuts = np.cumsum([len(t) for t in texts]) // CHARS_PER_CHUNK
-            parts = np.split(texts, np.flatnonzero(np.diff(cuts)) + 1)
-            logits = np.vstack([_logit_sums(part, weights, prior) for part in parts])
-            return stable_softmax(logits / MICRO).astype(np.float32)
+    def predictor(column: Column, batch_size: int) -> Column:
+        @F.arrow_udf(PROBABILITIES)
+        def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            weights = shared.open()
+            prior = weights.find([TEXT_MARK])[0][0].astype(np.float64)
+            for texts in batches:
+                logits = _chunked_sums(texts, weights, prior, batch_size)
+                flat = stable_softmax(logits / MICRO).astype(np.float32).ravel()
+                yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(prior), pa.array(flat))
 
-        return predict
+        return predict(F.lower(column))
 
-    return batch_model(make_predict_fn, prepare=normalized_text)
+    return predictor
 
 
 def bayes_encoded_predictor(spark: SparkSession, model: BayesModel, max_length: int) -> Predictor:
@@ -196,25 +196,41 @@ def bayes_family_logits(spark: SparkSession, models: Sequence[BayesModel], text:
         weights = shared.open()
         prior = weights.find([TEXT_MARK])[0][0].astype(np.float64)
         for column in batches:
-            texts = column.fill_null("").to_numpy(zero_copy_only=False)
-            cuts = np.cumsum([len(t) for t in texts]) // CHARS_PER_CHUNK
-            parts = np.split(texts, np.flatnonzero(np.diff(cuts)) + 1)
-            sums = np.vstack([_logit_sums(part, weights, prior) for part in parts]).astype(np.int64)
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width)
+            sums = _chunked_sums(column.fill_null(""), weights, prior).astype(np.int64)
+            offsets = pa.array(np.arange(len(column) + 1, dtype=np.int32) * width)
             yield pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()), mask=column.is_null())
 
-    return logits(normalized_text(text))
+    return logits(F.lower(text))
+
 
+def _chunked_sums(texts: pa.Array, weights: Lookup, prior: np.ndarray, most: int | None = None) -> np.ndarray:
+    """``_logit_sums`` of all texts, of CHARS_PER_CHUNK bytes (or one text) and ``most`` rows at a time."""
+    texts = texts.cast(pa.string())
+    chunk = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // CHARS_PER_CHUNK
+    cuts = np.flatnonzero(np.diff(chunk)) + 1
+    cuts = np.unique(np.r_[0, cuts, np.arange(0, len(texts), most or len(texts) or 1), len(texts)]).tolist()
+    parts = [_logit_sums(texts.slice(a, b - a), weights, prior) for a, b in zip(cuts[:-1], cuts[1:])]
+    return np.vstack(parts) if parts else np.zeros((0, len(prior)))
 
-def _logit_sums(texts: np.ndarray, weights: Lookup, prior: np.ndarray) -> np.ndarray:
-    """Sums of the weights of each normalized text's tokens, and the prior."""
-    words = pc.split_pattern(pa.array(texts, pa.string()), " ")
-    coded = words.values.dictionary_encode()
+
+def _logit_sums(texts: pa.StringArray, weights: Lookup, prior: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each lower-cased text's tokens, and the prior."""
+    words = pc.split_pattern(_spaced(texts), " ")  # of blanks in a row come empty tokens, which have no weight
+    coded = words.flatten().dictionary_encode()
     found, _ = weights.find(coded.dictionary.to_pylist())
-    row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
     return _row_sums(found, coded.indices.to_numpy(), row, len(texts)) + prior
 
 
+def _spaced(texts: pa.StringArray) -> pa.StringArray:
+    """The texts with blanks for tabs and line ends; in UTF-8 these bytes stand for nothing else."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]].copy() if held else np.empty(0, np.uint8)
+    data[(data == 9) | (data == 10) | (data == 13)] = 32
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data))
+
+
 def _row_sums(weights: np.ndarray, which: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """(n, k) sums over each row's tokens, ``which`` of ``weights``: of integers far below 2**53, so exact in any order."""
     return np.column_stack([np.bincount(row, weights=weights[which, c], minlength=n) for c in range(weights.shape[1])])
