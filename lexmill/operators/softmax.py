@@ -28,9 +28,11 @@ from lexmill.operators.encode import SPECIAL_TOKENS_PER_TEXT
 from lexmill.operators.metrics import evaluate
 from lexmill.operators.runs import checkpoints_to_keep
 from lexmill.operators.scoring import PROBABILITIES, Predictor, score, stable_softmax
-from lexmill.session import delete_path, list_names, shared_dir
+from lexmill.session import delete_path, list_names, shared_dir, written
 
 MAX_WEIGHTS = 16_000_000
+#: Training rows for which there is a partition, where that makes more partitions than workers.
+PARTITION_ROWS = 20_000
 
 
 def hashed_tokens(text: Column | str, bits: int, max_token_length: int = -1) -> Column:
@@ -178,6 +180,11 @@ def partition_rows(df: DataFrame) -> list[int]:
     return [found.get(part, 0) for part in range(max(found, default=-1) + 1)]
 
 
+def spread(rows: int, workers: int) -> int:
+    """Partitions of so many training rows: one for each worker, more of a large table, so that none grows with it."""
+    return max(workers, -(-rows // PARTITION_ROWS))
+
+
 def step_quotas(rows: Sequence[int], batch_size: int, steps: int) -> list[int] | None:
     """Steps for each partition, together exactly ``steps``, in proportion to what a whole pass would take.
 
@@ -299,7 +306,8 @@ def fit_softmax(
     ``lazy=False`` hashes the texts once into reliable checkpoint files, spread
     evenly by ``row_key`` (which must identify the row), and visits training rows
     in a new seeded order each epoch. ``lazy=True`` reads the table anew each
-    epoch, in file order, as it is partitioned, whatever its size.
+    epoch, in file order, as it is partitioned, whatever its size. Partitions are as
+    many as workers, or more by PARTITION_ROWS: a task does not grow with the table.
     ``max_steps`` bounds the steps over all epochs, counted as those of all workers
     together divided by ``parallelism``, their number: a worker with many rows uses
     its own share and that of idle ones, not everyone's. In the last pass every
@@ -324,15 +332,18 @@ def fit_softmax(
         )
 
     if lazy:
-        rows, held_out = features(train).coalesce(workers), features(test)
+        tasks = spread(sum(partition_rows(train)), workers)
+        rows, held_out = features(train).coalesce(tasks), features(test)
     else:
         shared_dir(spark)
-        rows = features(train).repartition(workers, "row_key").checkpoint()
+        hashed = written(features(train), "features")
+        tasks = spread(hashed.count(), workers)
+        rows = hashed.repartition(tasks, "row_key").checkpoint()
         held_out = features(test).checkpoint()
 
     sizes = None
     if max_steps is not None:
-        sizes = partition_rows(train.coalesce(workers) if lazy else rows)
+        sizes = partition_rows(train.coalesce(tasks) if lazy else rows)
     parts = 1
     if eval_steps:
         steps_per_epoch = -(-rows.count() // (batch_size * workers))

@@ -24,7 +24,7 @@ from lexmill.functions import (
     stringify,
 )
 from lexmill.operators import bayes, encode, metrics, prepare, runs, scoring
-from lexmill.operators.softmax import fit_softmax, softmax_predictor
+from lexmill.operators.softmax import fit_softmax, softmax_predictor, spread
 from lexmill.plans.centroid import centroid_predictor, fit_centroids
 from lexmill.plans.inference import run_predictor, run_scoring, score_counted
 from lexmill.plans.training import run_sweep, run_training
@@ -604,12 +604,15 @@ def step_evaluations(spark: SparkSession, sf: str) -> DataFrame:
 def step_budget(spark: SparkSession, sf: str) -> DataFrame:
     """A run over the table's own partitions, in lots of unlike size, with two workers' steps: it is as long as planned."""
     train, test = prepare.split_pair(documents(spark, sf), "text")
-    plan = prepare.step_plan(train, SOFTMAX_BATCH, epochs=4, parallelism=2).first()["max_steps"]
+    planned = prepare.step_plan(train, SOFTMAX_BATCH, epochs=4, parallelism=2).first()
+    plan = planned["max_steps"]
     path = scratch_path(spark, "softmax")
     options = {"batch_size": SOFTMAX_BATCH, "epochs": 4, "parallelism": 2, "lazy": True, "max_steps": plan}
     source = scratch_path(spark, "lots")
     lot = F.when(F.col("doc_id") % 7 < 4, 0).otherwise(F.col("doc_id") % 7)
-    train.repartition(lot).write.parquet(source)
+    # A large table has several of each lot, so that none grows with it.
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread(planned["n_rows"], 1)))
+    train.repartition(lot, share).write.parquet(source)
     _, state = fit_softmax(read_back(spark, source), test, path, len(LANGS), "doc_id", **options)
     log = log_history(read_log_history(spark, f"{state.path}/trainer_state", multi_line=False))
     return log.agg(

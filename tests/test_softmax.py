@@ -169,3 +169,39 @@ def test_only_touched_features_leave_a_worker(spark, tmp_path):
     assert sent.count() == 4 * (9 + 1)
     weights, _, steps = softmax._run_epoch(features, model, 8, 1.0, 0.0, None)
     assert steps == sent.agg(F.sum("steps")).first()[0] and np.count_nonzero(weights.any(axis=1)) <= 10
+
+
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from lexmill.operators import softmax
+
+    monkeypatch.setattr(softmax, "PARTITION_ROWS", 100)
+    rows = spark.range(0, 1_000, 1, 20).selectExpr("id as doc_id", "concat('w', id % 7) as text", "cast(id % 2 as int) as label")
+    whole, sizes = softmax._run_epoch, []
+
+    def seen(visited, *args):
+        sizes.append(softmax.partition_rows(visited))
+        return whole(visited, *args)
+
+    monkeypatch.setattr(softmax, "_run_epoch", seen)
+    options = {"batch_size": 10, "epochs": 2, "parallelism": 2}
+    for lazy, most in ((False, None), (True, 80)):
+        _, state = fit_softmax(rows, rows, str(tmp_path / str(lazy)), 2, "doc_id", lazy=lazy, max_steps=most, **options)
+        assert state.global_step == 80 if lazy else state.global_step >= 100
+        assert all(len(n) == 10 and max(n) < 200 and sum(n) == 1_000 for n in sizes)
+
+
+def test_lots_do_not_grow_with_the_table(spark, monkeypatch, tmp_path):
+    from lexmill.operators import softmax
+    from lexmill.plans import queries
+
+    monkeypatch.setattr(softmax, "PARTITION_ROWS", 10)
+    monkeypatch.setattr(queries, "scratch_path", lambda _, label: str(tmp_path / label))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = queries.step_budget(spark, "/root/testdata/sf0.001").first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got["spent"]
+    lots = [r["count"] for r in spark.read.parquet(str(tmp_path / "lots")).selectExpr("input_file_name() as f").groupBy("f").count().collect()]
+    assert len(lots) == 4 and max(lots) < 0.45 * sum(lots)  # one lot alone had 4 of 7 rows
