@@ -14,12 +14,16 @@ A fitted model is a folder of two tables:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from lexmill.functions import decode, round_half_even, softmax, tokens
+from lexmill.functions.arrow import coded_tokens, cuts
 from lexmill.operators.encode import top_tokens
 from lexmill.session import written
 
@@ -29,6 +33,8 @@ TEXT_MARK = " "
 MARK_COUNT = 2**62
 # Up to this many classes, counts per class are summed in one wide aggregation.
 WIDE_SUM_CLASSES = 16
+# Bytes of text that are counted in one go, to bound a worker's memory.
+COUNTED_BYTES = 16_000_000
 # A class without training rows: a logit no document can make up for.
 ABSENT_CLASS = -(10**15)
 
@@ -168,12 +174,47 @@ def fit_counts(df: DataFrame, num_labels: int, text: str = "text", label: str =
     """What ``vocabulary`` sums up per token: rows that count one each, or counts per label.
 
     With few classes a row of per-class sums is built at once, combined map-side,
-    in a single shuffle. With many, wide sums per token and task would cost more
-    than counting per (token, label) first.
+    in a single shuffle; texts are counted in chunks before, so that sums meet a token
+    once a chunk. With many, wide sums per token and task would cost more than counting
+    per (token, label) first.
     """
-    if num_labels <= WIDE_SUM_CLASSES:
+    if num_labels > WIDE_SUM_CLASSES:
+        return token_counts(df, text, label)
+    if isinstance(df.schema[text].dataType, T.ArrayType):
         return token_rows(df, text, label).withColumn("n", F.lit(1).cast("bigint"))
-    return token_counts(df, text, label)
+    number = F.col(label).cast("int")
+    known = F.when(number.between(0, num_labels - 1), number).alias("label")
+    rows = df.where(F.col(text).isNotNull()).select(F.lower(text).alias("text"), known)
+    return rows.mapInArrow(_chunk_counts(num_labels), "token string, label int, n bigint")
+
+
+def _chunk_counts(num_labels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(token, label, n) of every COUNTED_BYTES of lower-cased texts, the mark included; a null label counts as one class more."""
+    names, width = ["token", "label", "n"], num_labels + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.string())
+            classes = batch.column(1).fill_null(num_labels).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, stop in cuts(texts, COUNTED_BYTES):
+                coded, row = coded_tokens(texts.slice(start, stop - start))
+                own = classes[start:stop]
+                # The mark comes last, after the tokens; the empty token is none.
+                tokens_found = pa.concat_arrays([coded.dictionary, pa.array([TEXT_MARK])])
+                cells = coded.indices.to_numpy().astype(np.int64) * width + own[row]
+                marks = np.bincount(own, minlength=width)
+                counts = np.r_[np.bincount(cells, minlength=width * len(coded.dictionary)), marks]
+                place = np.flatnonzero(counts)
+                label = place % width
+                columns = [
+                    tokens_found.take(pa.array(place // width)),
+                    pa.array(label, pa.int32(), mask=label == num_labels),
+                    pa.array(counts[place], pa.int64()),
+                ]
+                found = pa.RecordBatch.from_arrays(columns, names)
+                yield found.filter(pc.not_equal(found.column(0), ""))
+
+    return count
 
 
 def finish_bayes(counts: DataFrame, path: str, num_labels: int, max_vocab: int | None = None) -> BayesModel:
@@ -206,7 +247,9 @@ def fit_bayes_family(
     df: DataFrame, paths: Sequence[str], num_labels: int, max_vocabs: Sequence[int | None], text: str = "text", label: str = "label"
 ) -> list[BayesModel]:
     """One model per vocabulary limit, all from one table of counts: the texts are read once."""
-    counted = written(vocabulary(fit_counts(df, num_labels, text, label), num_labels), "counts")
+    counted = vocabulary(fit_counts(df, num_labels, text, label), num_labels)
+    if len(paths) > 1 or max_vocabs[0] is not None:  # a single whole vocabulary is the table of counts
+        counted = written(counted, "counts")
     return [finish_counted(counted, path, num_labels, limit) for path, limit in zip(paths, max_vocabs)]
 
 

@@ -188,7 +188,7 @@ def _lookup(spark: SparkSession, vocab: Vocabulary):
             id_of = {token: place + FIRST_TOKEN_ID for place, token in enumerate(shared.value)}
         for column in batches:
             coded = column.values.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False)
             if published:
                 found, known = table.find(distinct)
                 ids = np.where(known, found[:, 0], UNK_ID)

@@ -48,6 +48,52 @@ def key_hash(key: str) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
+#: The five factors of XXH64, and the length in bytes from which it works in another way.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p)
+    for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+_LONG = 32
+#: Up to so many keys are hashed one by one.
+FEW_KEYS = 64
+
+
+def key_hashes(keys: pa.StringArray) -> np.ndarray:
+    """``key_hash`` of every key, taken of all keys shorter than 32 bytes at once."""
+    if len(keys) <= FEW_KEYS:
+        return np.fromiter((key_hash(k) for k in keys.to_pylist()), np.int64, len(keys))
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    held = keys.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.empty(0, np.uint8)
+    data = np.r_[data, np.zeros(8, np.uint8)]  # so that eight bytes can be read from every place
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    fours = np.ndarray((len(data) - 7,), "<u4", data, strides=(1,))
+    at, length = offsets[:-1] - offsets[0], np.diff(offsets)
+    h = np.uint64(SPARK_SEED) + _P5 + length.astype(np.uint64)
+    short = length < _LONG
+    for lane in range(0, _LONG, 8):
+        of = np.flatnonzero(short & (length >= lane + 8))
+        h[of] = _turned(h[of] ^ (_turned(eights[at[of] + lane] * _P2, 31) * _P1), 27) * _P1 + _P4
+    done = length & ~7
+    of = np.flatnonzero(short & (length - done >= 4))
+    h[of] = _turned(h[of] ^ (fours[at[of] + done[of]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+    done[of] += 4
+    for byte in range(3):
+        of = np.flatnonzero(short & (length > done + byte))
+        h[of] = _turned(h[of] ^ (data[at[of] + done[of] + byte].astype(np.uint64) * _P5), 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    hashes = (h ^ (h >> np.uint64(32))).view(np.int64)
+    for i in np.flatnonzero(~short).tolist():
+        hashes[i] = key_hash(keys[i].as_py())
+    return hashes
+
+
+def _turned(values: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each value turned to the left."""
+    return (values << np.uint64(bits)) | (values >> np.uint64(64 - bits))
+
+
 @dataclass(frozen=True, eq=False)
 class SharedLookup:
     """A published table: its files, and the first hash of each of their blocks in rising order.
@@ -158,14 +204,15 @@ class Lookup:
         values = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.shared.width)
         return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), values
 
-    def find(self, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: Sequence[str] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """((n, width) integers, n booleans): the values of each key, zeros where it is unknown."""
+        keys = pa.array(keys, pa.string())
         values = np.zeros((len(keys), self.shared.width), np.int64)
         found = np.zeros(len(keys), bool)
         firsts = self.shared.firsts
         if not len(keys) or not len(firsts):
             return values, found
-        hashes = np.fromiter((key_hash(k) for k in keys), np.int64, len(keys))
+        hashes = key_hashes(keys)
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
         # The last block that begins below a hash has its first row of that hash, or the next block does.
@@ -176,7 +223,7 @@ class Lookup:
         return values, found
 
     def _search(
-        self, block: int, keys: Sequence[str], hashes: np.ndarray, wanted: np.ndarray, values: np.ndarray, found: np.ndarray
+        self, block: int, keys: pa.StringArray, hashes: np.ndarray, wanted: np.ndarray, values: np.ndarray, found: np.ndarray
     ) -> None:
         held, names, numbers = self._block(block)
         at = np.searchsorted(held, hashes[wanted], "left")
@@ -184,15 +231,15 @@ class Lookup:
         equal = np.zeros(len(wanted), bool)
         equal[inside] = held[at[inside]] == hashes[wanted[inside]]
         hits, places = wanted[equal], at[equal]
-        same = pc.equal(names.take(pa.array(places)), pa.array([keys[i] for i in hits], pa.string()))
+        same = pc.equal(names.take(pa.array(places)), keys.take(pa.array(hits)))
         same = same.to_numpy(zero_copy_only=False)
         values[hits[same]] = numbers[places[same]]
         found[hits[same]] = True
         # Left are keys beyond the block's end and keys that share a hash with another.
-        open_keys = ~inside | equal
+        open_keys = ~inside
+        open_keys[equal] = ~same
         for i, place in zip(wanted[open_keys], at[open_keys]):
-            if not found[i]:
-                self._walk(block, int(place), keys[i], hashes[i], i, values, found)
+            self._walk(block, int(place), keys[int(i)].as_py(), hashes[i], i, values, found)
 
     def _walk(self, block: int, place: int, key: str, wanted: int, i: int, values: np.ndarray, found: np.ndarray) -> None:
         """Go on through rows of one hash, into the next block where they do."""

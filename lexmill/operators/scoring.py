@@ -12,11 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lexmill.functions import decode, round_half_even, stringify
+from lexmill.functions.arrow import coded_tokens, cuts
 from lexmill.operators.bayes import MICRO, TEXT_MARK, BayesModel, family_weights
 from lexmill.operators.encode import Vocabulary, encoded_struct
 from lexmill.operators.lookup import Lookup, publish
@@ -206,34 +206,20 @@ def bayes_family_logits(spark: SparkSession, models: Sequence[BayesModel], text:
 def _chunked_sums(texts: pa.Array, weights: Lookup, prior: np.ndarray, most: int | None = None) -> np.ndarray:
     """``_logit_sums`` of all texts, of CHARS_PER_CHUNK bytes (or one text) and ``most`` rows at a time."""
     texts = texts.cast(pa.string())
-    chunk = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // CHARS_PER_CHUNK
-    cuts = np.flatnonzero(np.diff(chunk)) + 1
-    cuts = np.unique(np.r_[0, cuts, np.arange(0, len(texts), most or len(texts) or 1), len(texts)]).tolist()
-    parts = [_logit_sums(texts.slice(a, b - a), weights, prior) for a, b in zip(cuts[:-1], cuts[1:])]
+    parts = [_logit_sums(texts.slice(a, b - a), weights, prior) for a, b in cuts(texts, CHARS_PER_CHUNK, most)]
     return np.vstack(parts) if parts else np.zeros((0, len(prior)))
 
 
 def _logit_sums(texts: pa.StringArray, weights: Lookup, prior: np.ndarray) -> np.ndarray:
     """Sums of the weights of each lower-cased text's tokens, and the prior."""
-    words = pc.split_pattern(_spaced(texts), " ")  # of blanks in a row come empty tokens, which have no weight
-    coded = words.flatten().dictionary_encode()
-    found, _ = weights.find(coded.dictionary.to_pylist())
-    row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    coded, row = coded_tokens(texts)  # empty tokens have no weight
+    found, _ = weights.find(coded.dictionary.to_numpy(zero_copy_only=False))
     return _row_sums(found, coded.indices.to_numpy(), row, len(texts)) + prior
 
 
-def _spaced(texts: pa.StringArray) -> pa.StringArray:
-    """The texts with blanks for tabs and line ends; in UTF-8 these bytes stand for nothing else."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    held = texts.buffers()[2]
-    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]].copy() if held else np.empty(0, np.uint8)
-    data[(data == 9) | (data == 10) | (data == 13)] = 32
-    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data))
-
-
 def _row_sums(weights: np.ndarray, which: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """(n, k) sums over each row's tokens, ``which`` of ``weights``: of integers far below 2**53, so exact in any order."""
-    return np.column_stack([np.bincount(row, weights=weights[which, c], minlength=n) for c in range(weights.shape[1])])
+    return np.column_stack([np.bincount(row, weights=of_class[which], minlength=n) for of_class in weights.T.astype(np.float64, "C")])
 
 
 def stable_softmax(logits: np.ndarray) -> np.ndarray:

@@ -146,3 +146,33 @@ def test_scoring_keeps_rows_with_null_and_repeated_keys(spark, split, model):
     alone = bayes.score_bayes(spark.createDataFrame(single, "doc_id long, text string"), model, "doc_id")
     expected = {r["text"]: r["probabilities"] for r in alone.collect()}
     assert all(r["probabilities"] == expected[r["text"]] for r in got)
+
+
+def test_chunked_counts_are_those_of_single_tokens(spark, monkeypatch):
+    texts = [None, "", " ", "\t\n", "Der\tHund\r\nund  die KATZE ", "the cat\x0bthe cat", "İstanbul ÉTÉ été", " the  the", "x y " * 50]
+    rows = [(t, label) for t in texts for label in (0, 1, 1, None, 7, -1)]
+    frame = spark.createDataFrame(rows, "text string, label int").coalesce(2)
+    single = bayes.token_rows(frame).withColumn("n", F.lit(1).cast("bigint"))
+    want = sorted(map(str, bayes.vocabulary(single, 3).collect()))
+    # One chunk a batch, one text a chunk, and chunks that end between batches.
+    for size in (bayes.COUNTED_BYTES, 1, 40):
+        monkeypatch.setattr(bayes, "COUNTED_BYTES", size)
+        counts = bayes.fit_counts(frame, 3)
+        assert sorted(map(str, bayes.vocabulary(counts, 3).collect())) == want
+    assert bayes.fit_counts(frame.limit(0), 3).isEmpty()
+
+
+def test_a_token_is_one_row_per_class_and_chunk(spark):
+    frame = spark.range(900).selectExpr("'to be or not to be' text", "cast(id % 3 as int) label").coalesce(1)
+    assert bayes.fit_counts(frame, 3).count() == 3 * 5
+
+
+def test_one_whole_vocabulary_is_written_once(spark, docs, tmp_path, monkeypatch):
+    extra = []
+    keep = bayes.written
+    monkeypatch.setattr(bayes, "written", lambda df, label: extra.append(label) or keep(df, label))
+    (alone,) = bayes.fit_bayes_family(docs, [str(tmp_path / "a")], 4, [None])
+    assert not extra
+    whole, _ = bayes.fit_bayes_family(docs, [str(tmp_path / "b"), str(tmp_path / "c")], 4, [None, 50])
+    assert extra == ["counts"]
+    assert alone.weights(spark).exceptAll(whole.weights(spark)).isEmpty()

@@ -43,6 +43,36 @@ def test_hash_is_that_of_the_session(spark):
     assert [r[0] for r in got] == [lookup.key_hash(w) for w in words]
 
 
+def test_many_keys_are_hashed_at_once(numbers, monkeypatch):
+    """The same hashes as one by one, and no call for each key but for the long ones."""
+    words = ["aé€😀z"[i % 5] * (i % 40) + str(i) for i in range(2_000)] + ["", "\x00", "x" * 31, "x" * 32]
+    column = pa.array(["in front", *words]).slice(1)
+    one_by_one = lookup.key_hash
+    asked = []
+    monkeypatch.setattr(lookup, "key_hash", lambda key: asked.append(key) or one_by_one(key))
+    assert lookup.key_hashes(column).tolist() == [one_by_one(w) for w in words]
+    assert asked == [w for w in words if len(w.encode()) >= 32]
+    asked.clear()
+    values, found = numbers.open().find([f"k{i}" for i in range(149_000, 151_000)])
+    assert not asked and found.tolist() == [True] * 1_000 + [False] * 1_000
+    assert values[:1_000].tolist() == [[i, 2 * i] for i in range(149_000, 150_000)]
+
+
+def test_many_keys_of_one_hash_are_told_apart(tmp_path, monkeypatch):
+    schema = pa.schema([("hash", pa.int64()), ("key", pa.string()), ("values", pa.list_(pa.int64(), 1))])
+    name, keys = str(tmp_path / "a.arrow"), [f"k{i:03d}" for i in range(400)]
+    with pa.OSFile(name, "wb") as sink, pa.ipc.new_file(sink, schema) as writer:
+        for start in range(0, 400, 100):
+            part = range(start, start + 100)
+            fixed = pa.FixedSizeListArray.from_arrays(pa.array(list(part), pa.int64()), 1)
+            hashes = pa.array([i // 150 for i in part], pa.int64())
+            writer.write_batch(pa.RecordBatch.from_arrays([hashes, pa.array(keys[start : start + 100]), fixed], schema=schema))
+    shared = lookup.SharedLookup(str(tmp_path), 1, (name,), np.array([0, 0, 1, 2]), np.zeros(4, int), np.arange(4))
+    monkeypatch.setattr(lookup, "key_hashes", lambda asked: np.array([int(k.as_py()[1:]) // 150 for k in asked]))
+    values, found = lookup.Lookup(shared).find([*keys[::-1], "k0001", "k9999"])
+    assert values[:400].ravel().tolist() == list(range(399, -1, -1)) and found.tolist() == [True] * 400 + [False] * 2
+
+
 def test_keys_of_one_hash_are_told_apart_across_blocks(tmp_path, monkeypatch):
     """Rows of one hash that fill blocks: the walk goes on through them."""
     schema = pa.schema([("hash", pa.int64()), ("key", pa.string()), ("values", pa.list_(pa.int64(), 1))])
