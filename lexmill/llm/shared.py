@@ -34,6 +34,15 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_merging(df: DataFrame) -> DataFrame:
+    """The rows, as a side of a join that shuffles both of its sides and broadcasts neither.
+
+    The planner takes a written table for as large as its files, and an exploded row
+    for one row still: tables that it thinks small may not fit into the driver.
+    """
+    return df.hint("merge")
+
+
 def whole_text(text: Column | str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.llm.shared import LOWER, UPPER, kept, row_key, slices, whole_text
+from lexmill.llm.shared import LOWER, UPPER, by_merging, kept, row_key, slices, whole_text
 
 RADIUS = 4
 SHINGLE = 4
@@ -124,7 +124,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     shared = tabled.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
     members = (
-        tabled.join(shared, "bucket")
+        tabled.join(by_merging(shared), "bucket")
         .withColumn("parts", parts)
         .withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
@@ -167,10 +167,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = both.where("b > a").join(by_merging(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         stars = kept(large.where("a > b").distinct(), "stars-large")
         least = stars.groupBy("a").agg(F.min("b").alias("low"))
-        joined = stars.join(least, "a")
+        joined = stars.join(by_merging(least), "a")
         small = joined.select("b", "low").where("b > low").unionAll(least.select(F.col("a").alias("b"), "low"))
         after = kept(small.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "stars-small")
         ends, current = _signature(current), after
@@ -184,14 +184,14 @@ def _rooted_rows(docs: DataFrame, radius: int) -> DataFrame:
     different = kept(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints-different")
     stars = components(links(different.select("fingerprint"), radius))
     rooted = kept(
-        different.join(stars, F.col("fingerprint") == F.col("node"), "left").select(
+        different.join(by_merging(stars), F.col("fingerprint") == F.col("node"), "left").select(
             "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
         ),
         "prints-rooted",
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fingerprint", "component_id", "root")
-    return prints.join(by_print, "fingerprint").select("doc_id", "row_key", "fingerprint", "component_id", "root")
+    by_print = rooted.join(by_merging(named), "root").select("fingerprint", "component_id", "root")
+    return prints.join(by_merging(by_print), "fingerprint").select("doc_id", "row_key", "fingerprint", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
