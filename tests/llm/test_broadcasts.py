@@ -2,13 +2,22 @@
 
 import pytest
 
-from lexmill.llm import shared, simhash
+import corpus_pipeline
+from lexmill.llm import shared, simhash, substrings
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def broadcasts(text):
+    """What each broadcast of a plan is made of, as its next lines."""
+    lines = text.splitlines()
+    return ["\n".join(lines[i + 1 : i + 3]) for i, line in enumerate(lines) if "BroadcastExchange" in line]
+
+
 @pytest.fixture
 def plans(monkeypatch):
     """The plan of each table that the operators write, by label."""
@@ -43,3 +52,20 @@ def test_masked_fingerprints_are_not_broadcast(spark):
         assert "Broadcast" not in plan(found)
     finally:
         spark.conf.set(limit, before)
+
+
+def test_pipeline_broadcasts_frequent_keys_only(spark, sample, monkeypatch):
+    """Of the two deduplicating stages: landmarks are exploded, cut texts are larger than their files."""
+    found = []
+
+    def kept(df, label):
+        found.append(plan(df))
+        return shared.kept(df, label)
+
+    for module in (simhash, substrings):
+        monkeypatch.setattr(module, "kept", kept)
+    rest = corpus_pipeline.drop_near_duplicates(spark, sample, DATA)
+    corpus_pipeline.cut_repeats(spark, shared.kept(rest, "rest"), DATA)
+    sent = [lines for text in found for lines in broadcasts(text)]
+    frequent = f" * {substrings.HOT_PARTS}) > "
+    assert sent and all(frequent in lines for lines in sent)
